@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup",)
+MODULES = ("decontamination", "exact_dedup")
 
 
 def _collect(name: str) -> dict:

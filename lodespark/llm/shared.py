@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
     """Runs of rows of a batch with at most ``most`` bytes of text, or one row."""
     text = batch.column(column)
     text = pa.array(text.to_pylist(), pa.large_string()) if not (pa.types.is_string(text.type) or pa.types.is_large_string(text.type)) else text
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     start = 0
     while start < len(lengths):
