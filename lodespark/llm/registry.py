@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "exact_dedup", "simhash")
+MODULES = ("bpe", "decontamination", "exact_dedup", "simhash")
 
 
 def _collect(name: str) -> dict:
