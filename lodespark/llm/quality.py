@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Labelled documents used, for each label, for the dictionaries and for the curve, and bytes taken of each.
 SAMPLE, SAMPLE_BYTES = 1200, 6_000
 BLOCK, DICT_BYTES, LEVEL = 1024, 110_000, 3
+#: Added to the length that the difference is divided by: a few bytes decide little about a short text.
+SMOOTH = 200
 THRESHOLD = 0.3
 
 
@@ -56,7 +58,7 @@ def sizes(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompre
         block = text[i : i + BLOCK]
         a += len(good.compress(block))
         b += len(bad.compress(block))
-    return ((b - a) / len(text), min(a, b) / len(text)) if text else (0.0, 0.0)
+    return ((b - a) / (len(text) + SMOOTH), min(a, b) / len(text)) if text else (0.0, 0.0)
 
 
 def fold(id_col: Column, folds: int = 5) -> Column:
@@ -93,7 +95,7 @@ def dictionary(texts: list[bytes]) -> bytes:
     """The texts' most useful pieces, or where there are too few to choose from, the texts themselves."""
     pieces = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces, k=512, d=8).as_bytes() if sum(map(len, pieces)) > 4 * DICT_BYTES else b"".join(pieces)[-DICT_BYTES:]
+        return zstandard.train_dictionary(DICT_BYTES, pieces, k=256, d=8).as_bytes() if sum(map(len, pieces)) > 4 * DICT_BYTES else b"".join(pieces)[-DICT_BYTES:]
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICT_BYTES:]
 
