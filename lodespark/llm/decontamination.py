@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, slices
+from .shared import bit_map, materialize, slices
 from .words import grams, whole, winnow, words_of
 
 SPAN, WIDTH = 10, 6
@@ -85,15 +85,6 @@ def item_prints(items: DataFrame, span: int, width: int) -> DataFrame:
 HIT_TYPE = pa.list_(pa.struct([("size", pa.int32()), ("print", pa.int64()), ("left", pa.int32()), ("at", pa.int32()), ("words", pa.string())]))
 
 
-def bit_map(windows: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each possible first ``bits`` bits of a window's hash: 2^bits bits, whatever the number of items."""
-    words = windows.selectExpr(f"shiftrightunsigned(h, {64 - bits}) as place").selectExpr("cast(shiftright(place, 6) as int) as i", "shiftleft(1L, cast(pmod(place, 64) as int)) as b")
-    marked = np.zeros(1 << bits, bool)
-    for i, b in words.groupBy("i").agg(F.bit_or("b").alias("b")).collect():  # at most 2^bits / 64 rows
-        marked[i * 64 : i * 64 + 64] = np.unpackbits(np.array([b], np.int64).view(np.uint8), bitorder="little")
-    return marked
-
-
 def extended(size, left, mine, left_there, theirs, span: int) -> np.ndarray:
     """Per pair of fingerprints: words before and after the fingerprint's start that agree, as (from, to) in the document's words; empty where too short."""
     out = []

@@ -80,3 +80,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
         stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A mark for each first ``bits`` bits that some hash in column h has: 2^bits of them, whatever the number of hashes."""
+    words = hashes.selectExpr(f"shiftrightunsigned(h, {64 - bits}) as place").selectExpr("cast(shiftright(place, 6) as int) as i", "shiftleft(1L, cast(pmod(place, 64) as int)) as b")
+    marked = np.zeros(1 << bits, bool)
+    for i, b in words.groupBy("i").agg(F.bit_or("b").alias("b")).collect():  # at most 2^bits / 64 rows
+        marked[i * 64 : i * 64 + 64] = np.unpackbits(np.array([b], np.int64).view(np.uint8), bitorder="little")
+    return marked

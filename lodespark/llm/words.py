@@ -6,6 +6,7 @@ multi-byte UTF-8 character together, so byte runs are character runs."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int, have: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """BASE^i and BASE^-i modulo 2^64 for i < n; kept between calls up to a bound."""
-    if len(have[0]) < n:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, inverse)]
-        if n > 1 << 23:
-            return made[0], made[1]
-        have[:] = made
-    return have[0][:n], have[1][:n]
+BLOCK = 1 << 22
+
+
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i up to BLOCK."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    first, second = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK, b, np.uint64)])) for b in (BASE, inverse))
+    return first, second
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes data[start:end], by prefix sums over blocks; runs are ascending and don't overlap."""
+    up, down = powers()
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + BLOCK, "right")))
+        if end[i] - base > BLOCK:  # one run of several blocks
+            total = 0
+            for at in range(base, int(end[i]), BLOCK):
+                part = data[at : min(at + BLOCK, int(end[i]))]
+                total += int(((part + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(BASE), at - base, 1 << 64)
+            out[i], j = np.uint64(total % (1 << 64)), i + 1
+        else:
+            part = data[base : int(end[j - 1])]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])])
+            a, b = start[i:j] - base, end[i:j] - base
+            out[i:j] = (sums[b] - sums[a]) * down[a]
+        i = j
+    return mix(out)
 
 
 @dataclass
@@ -79,9 +102,7 @@ def words_of(texts: pa.Array, member: np.ndarray = ALNUM) -> Words:
     after[:-1] = inside[1:]
     after[ends[1:] - 1] = False  # a text ends; the last slot stands for the empty first text
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    value = mix((sums[end] - sums[start]) * down[start])
+    value = run_hashes(data, start, end)
     first = np.searchsorted(start, ends)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     return Words(data, doc, start, end, value, first)
