@@ -1 +1,64 @@
-STAGES = []
+"""The corpus pipeline: score, dedup lines, dedup near copies, decontaminate, encode.
+
+Each stage takes all that its predecessor kept and returns a DataFrame; all but
+the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodespark.llm import bpe, decontamination, line_dedup, quality, simhash
+from lodespark.llm.shared import materialize
+
+
+def by_id_and_text(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """``docs`` whose id is in ``verdict``, a table of ids to keep; narrow on one side, so the text moves once."""
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["__keep"]), "left_semi")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least the threshold."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that an earlier document has; n_chars follows the text."""
+    out = line_dedup.deduplicate_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id."""
+    kept = simhash.near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+    return by_id_and_text(docs, kept)
+
+
+def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of words of a benchmark item."""
+    hit = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return by_id_and_text(docs, hit.where("n_hit = 0").select(F.col("doc_id").alias("__keep")))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return bpe.encode(docs, bpe.tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_filter),
+    ("SimHash near-dedup", near_duplicate_filter),
+    ("benchmark decontamination", decontamination_filter),
+    ("BPE encoding", encoding),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = materialize(docs, f"stage-{i + 1}") if i + 1 < len(STAGES) else docs
+    return docs

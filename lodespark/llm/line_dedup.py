@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from .shared import bit_map, lookup, materialize, slices
@@ -139,7 +140,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], [*keep, "chunks_removed", "chars_removed"])
 
-    schema = docs.select(*keep).schema.add("chunks_removed", "long").add("chars_removed", "long")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("chunks_removed", LongType()), StructField("chars_removed", LongType())])
     return joined.mapInArrow(without, schema)
 
 

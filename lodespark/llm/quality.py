@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled documents used, for each label, for the dictionaries and for the curve, and bytes taken of each.
 SAMPLE, SAMPLE_BYTES = 1200, 6_000
@@ -116,21 +117,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return (*(w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] / scale * middle).sum()))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id and score, of the whole text.
+def with_score(docs: DataFrame, model: Model, column: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of each whole text in a further column, which replaces one of that name.
 
     Null and empty texts get the score of a difference of zero. Rows that repeat are
-    each scored. Other columns are ignored, whatever their names."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    each scored. All other columns stay, whatever their names."""
+    keep = [c for c in docs.columns if c != column]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
         for batch in batches:
-            made = [of((t.as_py() or "").encode()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.float64())], ["id", "score"])
+            made = [of((t.as_py() or "").encode()) for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(made, pa.float64())], [*keep, column])
+
+    rows = docs.select(*keep)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id and score, as of :func:`with_score`."""
+    return with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select(F.col("id").alias(id_col), "score")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ def _collect(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _collect("QUERIES")
+    import corpus_pipeline
+
+    return _collect("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
