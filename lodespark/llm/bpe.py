@@ -16,13 +16,15 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE, LEAF, CACHED = 32_768, 128, 250_000
+PIECE, LEAF, CACHED = 32_768, 128, 125_000
 END = "</w>"
 #: Texts of these characters only (ASCII, and Latin letters that NFC leaves alone) are split here; others by the library itself.
 LATIN = "À-ÖØ-öø-ÿ"
@@ -46,47 +48,48 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
-        spec["model"]["end_of_word_suffix"] = None
-        self.plain = Tokenizer.from_str(json.dumps(spec)).model
-        self.model = self.tok.model
-        vocab = self.tok.get_vocab()
-        self.names = {i: t for t, i in vocab.items()}
+        self.names = {i: t for t, i in self.tok.get_vocab().items()}
+        self.name_bytes = {i: t.encode() for i, t in self.names.items()}
+        self.id_bytes = {i: str(i).encode() for i in self.names}
         self.symbol = [byte_symbols()[b] for b in range(256)]
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_id = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.known: dict[str, tuple] = {}
-        self.mapped: dict[str, tuple] = {}
+        special = sorted(self.special_id, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.model = self.tok.model
+        spec["model"]["end_of_word_suffix"] = None
+        self.plain = Tokenizer.from_str(json.dumps(spec)).model
+        #: (ids, names) of the words met last, as joined bytes; by symbols where the library split the text. Two generations each.
+        self.known: list[dict[str, tuple]] = [{}, {}]
+        self.mapped: list[dict[str, tuple]] = [{}, {}]
 
     # words of one text
 
-    def words(self, text: str) -> tuple[list[str], dict[str, tuple]]:
-        """The words of a text without special tokens, and the table that has them."""
+    def words(self, text: str) -> tuple[list[str], list[dict]]:
+        """The words of a text without special tokens, and the tables that have them."""
         if SIMPLE.fullmatch(text):
             return SPLIT.findall(text.lower()), self.known
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))], self.mapped
 
-    def entry(self, word: str, table: dict[str, tuple]) -> tuple[int, bytes, bytes, tuple[int, ...]]:
-        """Number of tokens, ids and names as joined bytes, ids."""
-        mapped = "".join(self.symbol[b] for b in word.encode()) if table is self.known else word
-        return self.made(self.word(mapped))
+    def symbols(self, word: str, tables: list[dict]) -> str:
+        return word if tables is self.mapped or word.isascii() else "".join([self.symbol[b] for b in word.encode()])
 
-    def made(self, ids: list[int]) -> tuple[int, bytes, bytes, tuple[int, ...]]:
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join(self.names[i] for i in ids).encode(), tuple(ids)
+    def made(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b" ".join([self.id_bytes[i] for i in ids]), b" ".join([self.name_bytes[i] for i in ids])
 
-    def entries(self, words: list[str], table: dict[str, tuple]) -> list[tuple]:
+    def entries(self, words: list[str], tables: list[dict]) -> list[tuple[bytes, bytes]]:
+        young, old = tables
         try:
-            return [table[w] for w in words]
+            return [young[w] for w in words]
         except KeyError:
-            if len(table) > CACHED:
-                table.clear()
-            for w in set(words):
-                if w not in table:
-                    table[w] = self.entry(w, table)
-            return [table[w] for w in words]
-
-    def encode(self, text: str) -> list[tuple]:
-        """Entries of a text, special tokens included."""
+            if len(young) > CACHED:
+                tables[:] = young, old = {}, young
+            for w in words:
+                if w not in young:
+                    young[w] = old.get(w) or self.made(self.word(self.symbols(w, tables)))
+            return [young[w] for w in words]
+
+    def encode(self, text: str) -> list[tuple[bytes, bytes]]:
+        """An entry for each word of a text, special tokens included."""
         if "<" not in text or self.special is None or not self.special.search(text):
             return self.entries(*self.words(text))
         out, at = [], 0
@@ -123,21 +126,46 @@ class Encoder:
                 return left_ids[: len(left_ids) - a] + again + right_ids[b:]
             a, b = a * (1 if whole_left else 2), b * (1 if whole_right else 2)
 
-    def joined(self, left: list[tuple[str, list[int]]], right: list[tuple[str, list[int]]]) -> list[tuple[str, list[int]]]:
-        """Words (as symbols, with ids) of two neighbouring pieces without white space between them."""
-        k = 1
-        while left and right:
-            end, start = left[-1], right[:k]
-            text = end[0] + "".join(w for w, _ in start)
-            words = self.resplit(text)
-            if words == [end[0], *(w for w, _ in start)]:
-                return left + right
-            if k == 1 and words == [text]:
-                return left[:-1] + [(text, self.concat(end[0], end[1], start[0][0], start[0][1], True))] + right[1:]
-            if k >= len(right) or len(words) > 1 and words[-1] == start[-1][0]:
-                return left[:-1] + [(w, self.word(w)) for w in words] + right[k:]
-            k += 1
-        return left + right
+    def piece(self, text: str) -> Piece:
+        """The encoding of a piece of a text. A special token is a word of its own, marked by a negative count."""
+        ids, counts, at = [], [], 0
+        for m in [*(self.special.finditer(text) if self.special else ()), None]:
+            found = self.entries(*self.words(text[at : m.start() if m else len(text)]))
+            counts += [e[0].count(b" ") + 1 for e in found]
+            ids += [int(i) for e in found for i in e[0].split()]
+            if m:
+                ids.append(self.special_id[m[0]])
+                counts.append(-1)
+                at = m.end()
+        return Piece(np.array(ids, np.int32), np.array(counts, np.int32), text[:1] in ("", " ", "\n"), text[-1:] in ("", " ", "\n"))
+
+    def joined(self, x: Piece, y: Piece) -> Piece:
+        """Two neighbouring pieces as one. Without white space between them, the words around the join are split again,
+        in a window that grows to the right until it ends where a word of y does; a word across the join is concatenated."""
+        plain = Piece(np.concatenate([x.ids, y.ids]), np.concatenate([x.counts, y.counts]), x.space_before, y.space_after)
+        if x.space_after or y.space_before or not len(x.counts) or not len(y.counts) or x.counts[-1] < 0 or y.counts[0] < 0:
+            return plain
+        left_ids = x.ids[len(x.ids) - x.counts[-1] :].tolist()
+        left, k, used, right = self.surface(left_ids), 0, 0, []
+        while True:
+            right.append(y.ids[used : used + y.counts[k]].tolist())
+            used, k = used + int(y.counts[k]), k + 1
+            texts = [self.surface(r) for r in right]
+            words = self.resplit(left + "".join(texts))
+            if words == [left, *texts]:
+                return plain
+            if k == 1 and len(words) == 1:
+                made = [self.concat(left, left_ids, texts[0], right[0], True)]
+            elif k == len(y.counts) or y.counts[k] < 0 or len(words) > 1 and words[-1] == texts[-1]:
+                made = [self.word(w) for w in words]
+            else:
+                continue
+            return Piece(np.concatenate([x.ids[: len(x.ids) - len(left_ids)], np.array([i for m in made for i in m], np.int32), y.ids[used:]]),
+                         np.concatenate([x.counts[:-1], np.array([len(m) for m in made], np.int32), y.counts[k:]]), x.space_before, y.space_after)
+
+    def surface(self, ids: list[int]) -> str:
+        """The symbols of a whole word."""
+        return "".join([self.names[i] for i in ids])[: -len(END)]
 
     def resplit(self, symbols: str) -> list[str]:
         """The words of normalized text without white space, given and returned as symbols."""
@@ -145,11 +173,13 @@ class Encoder:
         text = bytes(back[s] for s in symbols).decode()
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def piece_words(self, text: str) -> list[tuple[str, list[int]]]:
-        words, table = self.words(text)
-        found = self.entries(words, table)
-        mapped = words if table is self.mapped else ["".join(self.symbol[b] for b in w.encode()) for w in words]
-        return [(w, list(e[3])) for w, e in zip(mapped, found, strict=True)]
+
+@dataclass
+class Piece:
+    ids: np.ndarray
+    counts: np.ndarray  # tokens of each word
+    space_before: bool
+    space_after: bool
 
 
 @lru_cache(maxsize=4)
@@ -175,16 +205,19 @@ def cuts(text: str, piece: int) -> list[int]:
 OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def outputs(found: list[tuple], columns: tuple[str, ...]) -> list:
-    row = []
+def outputs(found: list[tuple[bytes, bytes]], columns: tuple[str, ...]) -> list:
+    """The columns of one text from the entries of its words."""
+    ids, row = b" ".join([e[0] for e in found]), []
     for c in columns:
         if c == "n_tokens":
-            row.append(sum(e[0] for e in found))
+            row.append(ids.count(b" ") + 1 if ids else 0)
         elif c == "ids":
-            row.append([i for e in found for i in e[3]])
+            row.append([int(i) for i in ids.split()])
+        elif c == "ids_sha256":
+            row.append(hashlib.sha256(ids).hexdigest())
         else:
-            joined = b" ".join([e[1] for e in found] if c.startswith("ids") else [e[2] for e in found])
-            row.append(hashlib.sha256(joined).hexdigest() if c.endswith("sha256") else joined.decode())
+            names = b" ".join([e[1] for e in found])
+            row.append(hashlib.sha256(names).hexdigest() if c == "decoded_sha256" else names.decode())
     return row
 
 
@@ -225,31 +258,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            found = []
-            for t in batch.column("part"):
-                part, words, marked = t.as_py(), [], 0
-                for m in [*(own.special.finditer(part) if own.special else ()), None]:  # a special token stands alone, apart from both neighbours
-                    words += own.piece_words(part[marked : m.start() if m else len(part)])
-                    if m:
-                        words += [(None, [own.special_id[m[0]]])]
-                        marked = m.end()
-                found.append((words, part))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("id", "key", "i", "copies")],
-                 pa.array([[w for w, _ in ws] for ws, _ in found], pa.list_(pa.string())), pa.array([[ids for _, ids in ws] for ws, _ in found], pa.list_(pa.list_(pa.int32()))),
-                 pa.array([not p or p[0] in " \n" for _, p in found]), pa.array([not p or p[-1] in " \n" for _, p in found])],
-                ["id", "key", "i", "copies", "words", "ids", "space_before", "space_after"])
+            for row in range(len(batch)):
+                p = own.piece(batch.column("part")[row].as_py())
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("id", "key", "i", "copies")], pa.array([p.ids]), pa.array([p.counts]), pa.array([p.space_before]), pa.array([p.space_after])],
+                                                 ["id", "key", "i", "copies", "ids", "counts", "space_before", "space_after"])
 
     def united(key, group):
         own = encoder(path)
         group = group.sort_by("i")
-        c = {k: group.column(k).to_pylist() for k in ("words", "ids", "space_before", "space_after")}
-        nodes = [(list(zip(w, i, strict=True)), b, a) for w, i, b, a in zip(c["words"], c["ids"], c["space_before"], c["space_after"], strict=True)]
+        nodes = [Piece(np.array(group.column("ids")[i].values), np.array(group.column("counts")[i].values), group.column("space_before")[i].as_py(), group.column("space_after")[i].as_py()) for i in range(len(group))]
         while len(nodes) > 1:  # neighbours in pairs, up the tree
-            pairs = [(nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
-            odd = nodes[-1:] if len(nodes) % 2 else []
-            nodes = [((x + y) if xa or yb or not x or not y or x[-1][0] is None or y[0][0] is None else own.joined(x, y), xb, ya) for (x, xb, xa), (y, yb, ya) in pairs] + odd
-        row = outputs([own.made(ids) for _, ids in nodes[0][0]], columns)
+            nodes = [own.joined(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        row = outputs([own.made(nodes[0].ids.tolist())] if len(nodes[0].ids) else [], columns)
         copies = group.column("copies")[0].as_py()
         return pa.Table.from_batches([table_of([row] * copies, ["id"], [pa.array([group.column("id")[0].as_py()] * copies, group.schema.field("id").type)], columns)])
 
@@ -257,7 +278,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     parts = long.mapInArrow(cut, f"id {kind}, key bigint, i int, part string")
     # dealt out by piece; rows that repeat are encoded once and returned as often as they came
     parts = parts.groupBy("id", "key", "i").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("copies"))
-    parts = parts.mapInArrow(encoded, f"id {kind}, key bigint, i int, copies bigint, words array<string>, ids array<array<int>>, space_before boolean, space_after boolean")
+    parts = parts.mapInArrow(encoded, f"id {kind}, key bigint, i int, copies bigint, ids array<int>, counts array<int>, space_before boolean, space_after boolean")
     joined = parts.groupBy("id", "key").applyInArrow(united, f"id {kind}, {schema}")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
