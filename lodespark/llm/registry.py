@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "decontamination", "exact_dedup", "line_dedup", "pii", "quality", "simhash")
+MODULES = ("bpe", "decontamination", "exact_dedup", "licenses", "line_dedup", "pii", "quality", "simhash")
 
 
 def _collect(name: str) -> dict:
