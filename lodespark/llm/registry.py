@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "chat", "decontamination", "exact_dedup", "licenses", "line_dedup", "pii", "quality", "simhash")
+MODULES = ("bpe", "chat", "decontamination", "exact_dedup", "licenses", "line_dedup", "pii", "quality", "simhash", "token_counts")
 
 
 def _collect(name: str) -> dict:
