@@ -44,9 +44,12 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     after[ends[1:] - 1] = False
     word_end = np.flatnonzero(inside & ~after) + 1
     # a line begins with the first word of a text and after a word that ends one
-    newline = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 10)])
-    following = np.concatenate([word[1:], [len(data)]])[: len(word)]
-    fold = FOLD[data[word_end - 1]] | (run_hashes(data, word, word_end) % np.uint64(FOLD_EVERY) == 0) | (newline[following] > newline[word_end])
+    if not len(word):
+        none = np.zeros(0, np.int64)
+        return data, none, none, none, np.zeros(0, bool)
+    word_hash = run_hashes(data, word, word_end)
+    fold = FOLD[data[word_end - 1]] | (word_hash % np.uint64(FOLD_EVERY) == 0)
+    fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
     doc_of_word = np.searchsorted(ends, word, "right") - 1
     fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])[: len(word)]
     begins = np.flatnonzero(np.concatenate([[True], fold[:-1]])[: len(word)] | fresh)
@@ -56,7 +59,7 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     words = np.diff(np.append(begins, len(word)))
     start = np.where(first, ends[doc], word[begins])  # white space goes with the line before it, at the start of a text with the first
     stop = np.where(last, ends[doc + 1], np.roll(start, -1))
-    own = run_hashes(data, word[begins], word_end[np.append(begins[1:], len(word))[: len(begins)] - 1])
+    own = run_hashes(word_hash, begins, np.append(begins[1:], len(word))[: len(begins)])
     rolled = np.maximum(mix(own + np.where(first, np.uint64(0), np.roll(own, 1)) * np.uint64(3)), np.uint64(1))
     best = ~last
     for r in range(1, RADIUS + 1):  # larger than those before, not smaller than those behind; another text counts as zero
@@ -72,19 +75,18 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     return data, doc[cut], begin, end, (lines >= MIN_LINES) & (many >= min_words)
 
 
-def occurrences(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, bool, int, bytes]]:
-    """(row, place in the text, whether the text had it before, hash, content) of the chunks of a batch that may be removed."""
+def occurrences(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, int, bool, int, bytes]]:
+    """(row, first and last byte in the text, whether the text had it before, hash, content) of the chunks of a batch that may be removed."""
     data, doc, start, end, may = chunks(batch.column("text"), min_words)
     raw = data.tobytes()
-    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    seen, of = set(), -1
-    for d, p, s, e in zip(doc[may].tolist(), place[may].tolist(), start[may].tolist(), end[may].tolist(), strict=True):
+    seen, of, first = set(), -1, start[np.searchsorted(doc, doc[may])]
+    for d, b, s, e in zip(doc[may].tolist(), first.tolist(), start[may].tolist(), end[may].tolist(), strict=True):
         if d != of:
             seen, of = set(), d
         content = raw[s:e].rstrip(b" \n")
         h = xxh3_64_intdigest(content)
         h -= (h >> 63) << 64
-        yield d, p, content in seen, h, content
+        yield d, s - b, e - b, content in seen, h, content
         seen.add(content)
 
 
@@ -102,7 +104,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in slices(batch, "text"):
                 found = list(occurrences(part, min_words))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.binary())], ["id", "h", "content"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[4] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.binary())], ["id", "h", "content"])
 
     # by content: equal hashes alone remove nothing
     equal = rows.mapInArrow(contents, f"id {kind}, h bigint, content binary").groupBy("h", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -113,16 +115,16 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [f for f in occurrences(part, min_words) if marked.value[(f[3] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)]]
+                found = [f for f in occurrences(part, min_words) if marked.value[(f[4] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)]]
                 take = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.bool_()), pa.array([f[3] for f in found], pa.int64())], ["id", "key", "place", "again", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.bool_()), pa.array([f[4] for f in found], pa.int64())], ["id", "key", "a", "b", "again", "h"])
 
-    found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, place int, again boolean, h bigint"), "chunk-places")
+    found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, a int, b int, again boolean, h bigint"), "chunk-places")
     met = lookup(found, equal, "h", "n").where("n is not null")
     # a hash met more often than its content occurs belongs to another content too; such chunks stay
     odd = met.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")).where("met <> n").select("h")
     gone = met.where(F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))).join(odd, "h", "left_anti")
-    gone = gone.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_set("place")).alias("__gone"))
+    gone = gone.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
     marked_docs = docs.select(*keep, F.xxhash64(id_col, text_col).alias("__key"))
@@ -130,13 +132,13 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops = batch.column(text_col), batch.column("__gone")
-            out, counts, chars = texts.to_pylist(), [0] * len(batch), [0] * len(batch)
+            drops = batch.column("__gone")
+            out, counts, chars = batch.column(text_col).to_pylist(), [0] * len(batch), [0] * len(batch)
             for i in np.flatnonzero(np.asarray(drops.is_valid())).tolist():
-                data, _, start, end, _ = chunks(texts.slice(i, 1), min_words)
-                some, before = set(drops[i].as_py()), len(out[i])
-                out[i] = b"".join(data[s:e].tobytes() for p, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)) if p not in some).decode()
-                counts[i], chars[i] = len(some), before - len(out[i])
+                raw, spans, before = out[i].encode(), drops[i].as_py(), len(out[i])
+                ends = [0, *(s["b"] for s in spans)]
+                out[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(s["a"] for s in spans), len(raw)], strict=True)).decode()
+                counts[i], chars[i] = len(spans), before - len(out[i])
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], [*keep, "chunks_removed", "chars_removed"])
 
