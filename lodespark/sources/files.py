@@ -17,8 +17,7 @@ PAGE_BREAK = "\n\n---\n\n"
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None, stem: bool = False) -> DataFrame:
     """(doc_id, text), a document for each file in name order, folders within not included. doc_id: the file's name, or its stem."""
-    reader = spark.read.option("wholetext", True)
-    rows = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     name = F.regexp_replace("name", "\\.[^.]*$", "") if stem else F.col("name")
     return rows.select(F.url_decode(name).alias("doc_id"), "text").orderBy("doc_id")
 
