@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: All line breaks of Unicode text, white space at either end, and the breaks after a sentence.
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-SPACE = "[\\s\\x1c-\\x1f]"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "(?<=[.!?…。])(?U:\\s+)"
 HEADING = "^(#{1,6})(?U:\\s+)(.*)$"
 WORD = "[0-9A-Za-z가-힣]+"
@@ -16,8 +16,8 @@ CITATION = "\\[([0-9]+)\\]"
 
 
 def strip(x: Column) -> Column:
-    """Without Unicode white space at either end; trim() knows only the space character."""
-    return F.regexp_replace(x, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without Unicode white space at either end; trim() alone knows only the space character."""
+    return F.btrim(x, F.lit(SPACE))
 
 
 def lines(x: Column) -> Column:

@@ -1,7 +1,8 @@
 """BM25 over many queries at once.
 
 The corpus is tokenised twice, once for its statistics and once for the postings of
-the queries' own tokens: every other token is dropped right after tokenising, by a
+the queries' own tokens, which are kept as a table, as document frequencies and scores
+both read them. Every other token is dropped right after tokenising, by a
 broadcast of the queries' vocabulary if that is small, so only postings that can
 score are shuffled."""
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workspace import materialize
 from .sizes import is_small, small
 
 K1, B = 1.5, 0.75
@@ -28,7 +30,9 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 def postings(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(tok, ord, tf, dl), of the tokens of ``vocabulary`` (tok) only if that is given."""
-    rows = tokens.select("ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("tok"))
+    # the length goes first, or each token's row would carry the whole array; an outer explode keeps
+    # the optimizer from testing the array for emptiness, and so tokenising, once more at the scan
+    rows = tokens.select("ord", F.size("tokens").alias("dl"), "tokens").select("ord", "dl", F.explode_outer("tokens").alias("tok")).where("tok is not null")
     if vocabulary is not None:
         rows = rows.join(vocabulary, "tok", "left_semi")
     return rows.groupBy("tok", "ord", "dl").agg(F.count(F.lit(1)).alias("tf")).select("tok", "ord", "tf", "dl")
@@ -46,7 +50,7 @@ def terms(posts: DataFrame, stats: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "text", tokens=T.words) -> DataFrame:
     """(qid, tok, qtf): a token that a query repeats counts as often."""
-    rows = queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tok"))
+    rows = queries.select(F.col(qid_col).alias("qid"), F.explode_outer(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tok")).where("tok is not null")
     return rows.groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -55,7 +59,8 @@ def scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = K
     asked = queries.join(terms(posts, stats).select("tok", "idf"), "tok").select("tok", "qid", (F.col("qtf") * F.col("idf")).alias("w"))
     asked = F.broadcast(asked) if is_small(queries) else asked  # each of the queries' tokens has one row in terms at most
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = posts.crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("weight", weight)  # stats is one row
+    # dealt out by document, so that the sum over (qid, ord), which has far more rows, needs no shuffle of its own
+    rows = posts.repartition("ord").crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("weight", weight)  # stats is one row
     return rows.join(asked, "tok").groupBy("qid", "ord").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
@@ -73,5 +78,5 @@ def ranked(pairs: DataFrame, k: int, score: str = "score", digits: int | None =
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, tokens=T.words) -> DataFrame:
     """(qid, ord, score, rank) of the ``k`` best documents with a positive score. corpus (ord, text), queries (qid, text)."""
     toks, asked = tokenized(corpus, tokens=tokens), query_terms(queries, tokens=tokens)
-    posts, stats = postings(toks, small(asked.select("tok").distinct())), corpus_stats(toks)
+    posts, stats = materialize(postings(toks, small(asked.select("tok").distinct())), "postings"), corpus_stats(toks)
     return ranked(scores(asked, posts, stats, k1, b).where("score > 0"), k)
