@@ -120,10 +120,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.bool_()), pa.array([f[4] for f in found], pa.int64())], ["id", "key", "a", "b", "again", "h"])
 
     found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, a int, b int, again boolean, h bigint"), "chunk-places")
-    met = lookup(found, equal, "h", "n").where("n is not null")
     # a hash met more often than its content occurs belongs to another content too; such chunks stay
-    odd = met.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")).where("met <> n").select("h")
-    gone = met.where(F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))).join(odd, "h", "left_anti")
+    met = found.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
+    sure = materialize(equal.join(met, "h").where("met = n").select("h", "first", "n"), "sure-chunks")
+    gone = lookup(found, sure, "h", "n").where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
     gone = gone.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
