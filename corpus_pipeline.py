@@ -25,7 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the chunks of lines that an earlier document has; n_chars follows the text."""
-    out = line_dedup.deduplicate_lines(docs)
+    out = line_dedup.deduplicate_lines(docs, passages=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 

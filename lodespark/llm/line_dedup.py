@@ -6,11 +6,19 @@ hashes of two neighbouring lines is taken after each line; where it is a local
 maximum, a chunk ends. That depends on a few lines around only, so equal passages
 are cut alike wherever they stand, and chunks between two cuts have several lines. Chunks are grouped by
 hash and content; of a chunk that occurs again, the occurrence in the document
-with the smallest id stays, the first one there."""
+with the smallest id stays, the first one there.
+
+Two chunks may differ where passages of some 50 words agree. For passages of PASSAGE
+words and more there are seeds besides: the smallest hashes of SEED_WORDS words in each
+window of SEED_WINDOW, so that each such passage has one at the same place. A seed that
+occurs again is compared word by word, to either side, with the first occurrence, and
+what agrees goes if it has PASSAGE words; within a text, with the occurrence before it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +28,29 @@ from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from .shared import bit_map, lookup, materialize, slices
-from .words import byte_view, mix, run_hashes
+from .words import BASE, byte_view, mix, run_hashes
 
 #: Words that a chunk has at least to be removed: shorter ones may be equal by chance.
 MIN_WORDS, MIN_LINES = 8, 2
 MAP_BITS = 24
 #: A line is folded after punctuation and after one word in so many; a cut is the largest of so many rolling hashes to either side.
 FOLD_EVERY, RADIUS = 2, 3
+#: Words that a passage has at least to be removed whole, wherever chunks end; any such passage has PASSAGE - SEED_WORDS >= SEED_WINDOW places of seeds.
+PASSAGE, SEED_WORDS = 51, 8
+SEED_WINDOW = PASSAGE - SEED_WORDS
+#: Words to either side that a seed is compared in: what agrees beyond has seeds of its own.
+AROUND = PASSAGE - 1
+SEED_ROWS = 4096
+PLACE = ["id", "key", "a", "b", "again", "h", "around", "own_a", "own_b"]
+WORD = re.compile(rb"[^ \t\n\v\f\r]+")
 FOLD = np.zeros(256, bool)
 FOLD[list(b".,;:!?|")] = True
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
 
 
-def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, text, start, end, whether it may be removed) of all chunks of the texts; a text's chunks make it up, but a text without words has none."""
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where each text starts and the end, start, end and hash of each word, its text)."""
     data, ends = byte_view(texts)
     inside = np.concatenate([~SPACE[data], [False]])
     before = np.concatenate([[False], inside[:-1]])
@@ -43,14 +59,20 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     after = np.concatenate([inside[1:], [False]])
     after[ends[1:] - 1] = False
     word_end = np.flatnonzero(inside & ~after) + 1
+    return data, ends, word, word_end, run_hashes(data, word, word_end), np.searchsorted(ends, word, "right") - 1
+
+
+def chunks(texts: pa.Array, min_words: int = MIN_WORDS, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text, start, end, whether it may be removed) of all chunks of the texts; a text's chunks make it up, but a text without words has none.
+
+    ``found``: what :func:`split` gives for the texts, if that is there."""
+    data, ends, word, word_end, word_hash, doc_of_word = found or split(texts)
     # a line begins with the first word of a text and after a word that ends one
     if not len(word):
         none = np.zeros(0, np.int64)
         return data, none, none, none, np.zeros(0, bool)
-    word_hash = run_hashes(data, word, word_end)
     fold = FOLD[data[word_end - 1]] | (word_hash % np.uint64(FOLD_EVERY) == 0)
     fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
-    doc_of_word = np.searchsorted(ends, word, "right") - 1
     fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])[: len(word)]
     begins = np.flatnonzero(np.concatenate([[True], fold[:-1]])[: len(word)] | fresh)
     doc = doc_of_word[begins]
@@ -61,13 +83,15 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     stop = np.where(last, ends[doc + 1], np.roll(start, -1))
     own = run_hashes(word_hash, begins, np.append(begins[1:], len(word))[: len(begins)])
     rolled = np.maximum(mix(own + np.where(first, np.uint64(0), np.roll(own, 1)) * np.uint64(3)), np.uint64(1))
-    best = ~last
+    best, again = ~last, np.zeros(len(last), bool)
     for r in range(1, RADIUS + 1):  # larger than those before, not smaller than those behind; another text counts as zero
         behind, ahead = np.roll(rolled, r), np.roll(rolled, -r)
         behind[np.roll(doc, r) != doc], ahead[np.roll(doc, -r) != doc] = 0, 0
         behind[:r], ahead[len(ahead) - r :] = 0, 0
         best &= (rolled > behind) & (rolled >= ahead)
-    cut = np.flatnonzero(best | last)
+        again |= rolled == behind
+    edge = again & ~(np.roll(again, 1) & np.roll(again, -1))  # a run of few lines again and again ends a chunk at its first repeat and at its last
+    cut = np.flatnonzero(best | edge | last)
     end, lines = stop[cut], np.diff(np.concatenate([[-1], cut]))
     begin = start[cut - lines + 1]
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
@@ -75,9 +99,89 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     return data, doc[cut], begin, end, (lines >= MIN_LINES) & (many >= min_words)
 
 
-def occurrences(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, int, bool, int, bytes]]:
+def sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
+    """``best`` (minimum or maximum) of each ``width`` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        x, size = best(x[:-size], x[size:]), size * 2
+    return best(x[: len(x) - (width - size)], x[width - size :])
+
+
+def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the seeds of texts that :func:`split` took apart."""
+    hashes, doc = found[4], found[5]
+    n = len(hashes) - SEED_WORDS + 1
+    windows = n - SEED_WINDOW + 1
+    if windows <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(SEED_WORDS):
+        h = h * BASE + hashes[j : j + n]
+    h = np.maximum(mix(h), np.uint64(1))
+    low = np.where(doc[:windows] == doc[len(doc) - windows :], sliding(h, SEED_WINDOW, np.minimum), np.uint64(0))  # a window is of one text
+    side = np.zeros(SEED_WINDOW - 1, np.uint64)
+    at = np.flatnonzero(sliding(np.concatenate([side, low, side]), SEED_WINDOW, np.maximum) == h)
+    if not len(at):
+        return at, h[at]
+    # of a run of equal ones, as repeated words have, the first and last of each stretch of SEED_WINDOW words are enough
+    same = np.concatenate([[False], (h[at[1:]] == h[at[:-1]]) & (at[1:] - at[:-1] < SEED_WINDOW) & (doc[at[1:]] == doc[at[:-1]])])
+    stretch = (at - np.maximum.accumulate(np.where(same, 0, at))) // SEED_WINDOW
+    begins = ~same | (stretch != np.roll(stretch, 1))
+    at = at[begins | np.append(begins[1:], True)]
+    return at, h[at]
+
+
+def seed_places(found: tuple, chosen: Callable) -> Iterator[tuple[int, int, int, bool, int, bytes, int | None, int | None]]:
+    """(row, byte in the text where the words around begin, how many of them come before the seed, whether the text had the seed before, hash, words around, first and last byte of what the text had at its last such seed) of the seeds whose hashes are ``chosen``."""
+    data, ends, word, word_end, _, doc = found
+    at, h = seeds(found)
+    take = chosen(h)
+    at, h = at[take], h[take].view(np.int64)
+    of = doc[at]
+    begin = np.maximum(at - AROUND, np.searchsorted(doc, of))
+    stop = np.minimum(at + SEED_WORDS + AROUND, np.searchsorted(doc, of, "right"))
+    seen: dict[int, tuple[bytes, int]] = {}
+    last = -1
+    for d, s, e, x, before in zip(of.tolist(), word[begin].tolist(), word_end[stop - 1].tolist(), h.tolist(), (at - begin).tolist(), strict=True):
+        if d != last:
+            seen, last = {}, d
+        around, a = data[s:e].tobytes(), s - int(ends[d])
+        had = agreeing(around, before, *seen[x]) if x in seen else None
+        yield d, a, before, x in seen, x, around, a + had[0] if had else None, a + had[1] if had else None
+        seen[x] = around, before
+
+
+def agreeing(own: bytes, before: int, other: bytes, other_before: int) -> tuple[int, int] | None:
+    """Bytes of ``own`` that agree with ``other``, around the seed, if they are PASSAGE words; the space behind goes with them."""
+    spans = [m.span() for m in WORD.finditer(own)]
+    mine, theirs = [own[a:b] for a, b in spans], WORD.findall(other)
+    if mine[before : before + SEED_WORDS] != theirs[other_before : other_before + SEED_WORDS]:
+        return None
+    left = 0
+    while left < min(before, other_before) and mine[before - left - 1] == theirs[other_before - left - 1]:
+        left += 1
+    i, j = before + SEED_WORDS, other_before + SEED_WORDS
+    while i < len(mine) and j < len(theirs) and mine[i] == theirs[j]:
+        i, j = i + 1, j + 1
+    if i - before + left < PASSAGE:
+        return None
+    return spans[before - left][0], spans[i][0] if i < len(spans) else spans[-1][1]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def occurrences(batch: pa.RecordBatch, min_words: int, split_text: tuple | None = None) -> Iterator[tuple[int, int, int, bool, int, bytes]]:
     """(row, first and last byte in the text, whether the text had it before, hash, content) of the chunks of a batch that may be removed."""
-    data, doc, start, end, may = chunks(batch.column("text"), min_words)
+    data, doc, start, end, may = chunks(batch.column("text"), min_words, split_text)
     raw = data.tobytes()
     seen, of, first = set(), -1, start[np.searchsorted(doc, doc[may])]
     for d, b, s, e in zip(doc[may].tolist(), first.tolist(), start[may].tolist(), end[may].tolist(), strict=True):
@@ -90,9 +194,32 @@ def occurrences(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, in
         seen.add(content)
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = MAP_BITS) -> DataFrame:
+def repeated_passages(found: DataFrame, sure: DataFrame, kind: str) -> DataFrame:
+    """(id, key, a, b) of the passages around seeds (id, key, a, b words before, again, h, around) that agree with the first occurrence.
+
+    Within rows of one id, only what a text itself had before: that is in own_a and own_b."""
+    first = found.join(sure, "h").where(~F.col("again") & F.col("id").eqNullSafe(F.col("first")))
+    first = first.groupBy("h", "n", "first").agg(F.min_by(F.struct("around", "b"), F.struct("key", "a", "b")).alias("f"))
+    first = materialize(first.select("h", "n", "first", F.col("f.around").alias("f_around"), F.col("f.b").alias("f_b")), "first-seeds")
+    pairs = lookup(found.drop("own_a", "own_b"), first, "h", "n").where(F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = batch.column("around").to_pylist(), batch.column("f_around").to_pylist()
+            a, b, f_b = (batch.column(c).to_pylist() for c in ("a", "b", "f_b"))
+            same = [(i, at) for i, x in enumerate(zip(own, b, other, f_b, strict=True)) if (at := agreeing(*x))]
+            take = pa.array([i for i, _ in same], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array([a[i] + x for i, (x, _) in same], pa.int32()), pa.array([a[i] + y for i, (_, y) in same], pa.int32())], ["id", "key", "a", "b"])
+
+    gone = pairs.select("id", "key", "a", "b", "around", "f_around", "f_b").mapInArrow(compare, f"id {kind}, key bigint, a int, b int")
+    return gone.unionByName(found.where("own_a is not null").select("id", "key", F.col("own_a").alias("a"), F.col("own_b").alias("b")))
+
+
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = MAP_BITS, passages: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, plus columns chunks_removed and chars_removed.
 
+    With ``passages``, repeated passages of PASSAGE words go too, whole, wherever chunks end.
+
     Null and empty texts stay as they are. Rows that share an id count as one document,
     and rows without an id as one with an id after all others; what their chunks
     have in common stays in each. All other columns stay, whatever their names, but
@@ -103,7 +230,11 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(occurrences(part, min_words))
+                texts = split(part.column("text"))
+                found = list(occurrences(part, min_words, texts))
+                if passages:
+                    at, h = seeds(texts)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(texts[5][at])), pa.array(h.view(np.int64)), pa.array([b""] * len(at), pa.binary())], ["id", "h", "content"])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[4] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.binary())], ["id", "h", "content"])
 
     # by content: equal hashes alone remove nothing
@@ -112,18 +243,30 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal = materialize(equal, "repeated-chunks")
     marked = docs.sparkSession.sparkContext.broadcast(bit_map(equal.select("h"), bits))
 
+    def known(h: np.ndarray) -> np.ndarray:
+        return marked.value[h >> np.uint64(64 - bits)]
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [f for f in occurrences(part, min_words) if marked.value[(f[4] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)]]
+                texts = split(part.column("text"))
+                some = seed_places(texts, known) if passages else iter(())
+                while rows := list(islice(some, SEED_ROWS)):
+                    take = pa.array([f[0] for f in rows], pa.int64())
+                    values = [pa.array([f[k] for f in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), 1)]
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *values], PLACE)
+                found = [f for f in occurrences(part, min_words, texts) if marked.value[(f[4] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)]]
                 take = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.bool_()), pa.array([f[4] for f in found], pa.int64())], ["id", "key", "a", "b", "again", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.bool_()), pa.array([f[4] for f in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int32())], PLACE)
 
-    found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, a int, b int, again boolean, h bigint"), "chunk-places")
+    found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, a int, b int, again boolean, h bigint, around binary, own_a int, own_b int"), "chunk-places")
     # a hash met more often than its content occurs belongs to another content too; such chunks stay
     met = found.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
     sure = materialize(equal.join(met, "h").where("met = n").select("h", "first", "n"), "sure-chunks")
-    gone = lookup(found, sure, "h", "n").where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
+    gone = lookup(found.where("around is null").drop("around", "own_a", "own_b"), sure, "h", "n").where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
+    gone = gone.select("id", "key", "a", "b")
+    if passages:
+        gone = gone.unionByName(repeated_passages(found.where("around is not null"), sure, kind))
     gone = gone.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
@@ -135,9 +278,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             drops = batch.column("__gone")
             out, counts, chars = batch.column(text_col).to_pylist(), [0] * len(batch), [0] * len(batch)
             for i in np.flatnonzero(np.asarray(drops.is_valid())).tolist():
-                raw, spans, before = out[i].encode(), drops[i].as_py(), len(out[i])
-                ends = [0, *(s["b"] for s in spans)]
-                out[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(s["a"] for s in spans), len(raw)], strict=True)).decode()
+                raw, before = out[i].encode(), len(out[i])
+                spans = merged([(s["a"], s["b"]) for s in drops[i].as_py()])
+                ends = [0, *(b for _, b in spans)]
+                out[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True)).decode()
                 counts[i], chars[i] = len(spans), before - len(out[i])
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], [*keep, "chunks_removed", "chars_removed"])
@@ -147,7 +291,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passages=True)
     return out.select("doc_id", "chunks_removed", "chars_removed", F.length("text").cast("bigint").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 

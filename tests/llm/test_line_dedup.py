@@ -75,3 +75,59 @@ def test_chunks_make_up_the_text():
 
 def test_empty_table(spark):
     assert L.deduplicate_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def without_repeats(rows):
+    """Words of each text that no window of PASSAGE words has in a text before it or earlier in it; no cutter is used."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - L.PASSAGE + 1):
+            window = tuple(w[k : k + L.PASSAGE])
+            if window in seen:
+                gone.update(range(k, k + L.PASSAGE))
+            seen.add(window)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def plain_words(rnd, n):
+    return ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randrange(4, 9))) + rnd.choice(["", "", "", ",", "."]) for _ in range(n)]
+
+
+def test_passages_just_over_fifty_words_go_whole(spark):
+    rnd = random.Random(5)
+    rows = []
+    for n in range(200):  # each passage in two documents, at the start, within or at the end
+        p = plain_words(rnd, rnd.randrange(51, 61))
+        rows += [(2 * n + k, " ".join(plain_words(rnd, rnd.choice([0, 3, 40])) + p + plain_words(rnd, rnd.choice([0, 2, 70])))) for k in range(2)]
+    p = plain_words(rnd, 400)
+    rows += [(1000, " ".join(p)), (1001, " ".join(plain_words(rnd, 9) + p + p[:60]))]
+    want = without_repeats(rows)
+    out = L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True)
+    assert {r.doc_id: r.text.split() for r in out.collect()} == want
+    assert sum(len(t.split()) for _, t in rows) - sum(map(len, want.values())) > 200 * 51
+
+
+def test_repeated_short_lines_go(spark):
+    rnd = random.Random(6)
+    rows = []
+    for n in range(60):  # a line of up to 6 words, again and again, in other surroundings
+        run = plain_words(rnd, rnd.randrange(1, 7)) * 60
+        rows += [(2 * n + k, " ".join(plain_words(rnd, 30)) + "\n" + " ".join(run) + "\n" + " ".join(plain_words(rnd, 30))) for k in range(2)]
+    want = without_repeats(rows)
+    out = {r.doc_id: r.text.split() for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True).collect()}
+    assert all(out[i][:30] == want[i][:30] and out[i][-30:] == want[i][-30:] for i in out)
+    assert all(out[i] == want[i] for i in out if i % 2)
+
+
+def test_runs_of_equal_lines_end_a_chunk():
+    rnd = random.Random(7)
+    for words in range(1, 4):  # up to 3 folded lines
+        run = ("\n".join([" ".join(plain_words(rnd, words))] * 12) + "\n").encode()
+        found = []
+        for _ in range(2):
+            data, _, start, end, may = L.chunks(pa.array([" ".join(plain_words(rnd, 30)) + "\n" + run.decode() + " ".join(plain_words(rnd, 30))]))
+            found.append({data[s:e].tobytes() for s, e, m in zip(start, end, may, strict=True) if m})
+        assert any(len(c) > len(run) // 2 for c in found[0] & found[1])
