@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD, SHINGLE, SIMILAR = 0.5, 5, 0.8
 UNKNOWN = "unknown"
+BLANK, LEADING = r"\n[ \t\r]*\n", r"^\s*"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 #: Names of each family as statements give them, and statements in full. Fixed public wording.
@@ -198,17 +199,35 @@ def verdict(p: str, c: Classifier) -> str:
 def scan(docs: DataFrame, text_col: str = "text", classifier: Classifier | None = None) -> DataFrame:
     """``docs`` with a column licences: an array of (paragraph, family, probability, similarity, confirmed).
 
-    Paragraphs are lines, counted from 0. Null and empty texts have no licences. All
+    Paragraphs are lines, counted from 0, and runs of lines without a blank one, which
+    have the number of their first line: a statement that is wrapped is no single line.
+    A run counts if a template confirms it or no line of it is found, and once: not beside
+    a line of its family that is confirmed, and in place of lines that are not. Null and empty texts have no licences. All
     other columns stay, whatever their names, but licences is replaced."""
     c = classifier or train()
     keep = [x for x in docs.columns if x != "licences"]
     near = text_literal(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, c.anchors)) + r")(?![a-z0-9])")
     kind = "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
     lines = f"filter(transform(split(`{text_col}`, '\\n'), (p, i) -> named_struct('p', p, 'i', i)), x -> lower(x.p) rlike {near})"
-    found = docs.select(*keep, F.expr(f"if(lower(`{text_col}`) rlike {near}, {lines}, null)").alias("__lines"))
+    runs = f"split(`{text_col}`, {text_literal(BLANK)})"
+    wrapped = text_literal(r"\S\s*\n\s*\S")
+    blocks = f"filter(transform({runs}, (p, i) -> named_struct('p', p, 'i', i)), x -> x.p rlike {wrapped} and lower(x.p) rlike {near})"
+    has = f"lower(`{text_col}`) rlike {near}"
+    found = docs.select(*keep, F.expr(f"if({has}, {lines}, null)").alias("__lines"), F.expr(f"if({has}, {blocks}, null)").alias("__blocks"), F.expr(f"if({has}, transform({runs}, p -> size(split(p, '\\n'))), null)").alias("__sizes"))
     made = f"transform(__lines, x -> named_struct('i', x.i, 'v', {verdict('x.p', c)}))"
-    found = found.select(*keep, F.expr(f"if(size(__lines) > 0, {made}, null)").alias("__made"))
-    out = f"coalesce(transform(filter(__made, m -> m.v.family <> {text_literal(UNKNOWN)}), m -> named_struct('paragraph', m.i, 'family', m.v.family, 'probability', m.v.probability, 'similarity', m.v.similarity, 'confirmed', m.v.confirmed)), cast(array() as {kind}))"
+    # a blank line stands between two runs; further ones begin the second
+    start = "x.i + aggregate(slice(__sizes, 1, x.i), 0, (t, n) -> t + n)"
+    blank = f"size(split(regexp_extract(x.p, {text_literal(LEADING)}, 0), '\\n')) - 1"
+    made_blocks = f"transform(__blocks, x -> named_struct('i', {start} + {blank}, 'e', {start} + __sizes[x.i] - 1, 'v', {verdict('x.p', c)}))"
+    known = f"m -> m.v.family <> {text_literal(UNKNOWN)}"
+    found = found.select(*keep, F.expr(f"filter(if(size(__lines) > 0, {made}, null), {known})").alias("__made"), F.expr(f"filter(if(size(__blocks) > 0, {made_blocks}, null), {known})").alias("__blocks"))
+    within = "l.i between m.i and m.e"
+    alone = f"filter(__blocks, m -> if(m.v.confirmed, not coalesce(exists(__made, l -> {within} and l.v.family = m.v.family and l.v.confirmed), false), not coalesce(exists(__made, l -> {within}), false)))"
+    found = found.select(*keep, "__made", F.expr(alone).alias("__blocks"))
+    fields = "named_struct('paragraph', m.i, 'family', m.v.family, 'probability', m.v.probability, 'similarity', m.v.similarity, 'confirmed', m.v.confirmed)"
+    single = f"transform(filter(__made, l -> l.v.confirmed or not coalesce(exists(__blocks, m -> {within} and m.v.confirmed and l.v.family = m.v.family), false)), m -> {fields})"
+    empty = f"cast(array() as {kind})"
+    out = f"array_sort(concat(coalesce({single}, {empty}), coalesce(transform(__blocks, m -> {fields}), {empty})))"
     return found.select(*keep, F.expr(out).alias("licences"))
 
 

@@ -1,6 +1,7 @@
 """The licence scan against the same model evaluated in plain Python, and on statements and text made here."""
 
 import math
+import textwrap
 
 from lodespark.llm import licenses as L
 
@@ -43,3 +44,15 @@ def test_families_and_other_text(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_wrapped_statements(spark):
+    rows = [(f, "Some title\n\n\n" + textwrap.fill(t[0], 72) + "\n\nA river runs through the town.\nIt is long.") for f, t in L.TEMPLATES.items()]
+    rows += [(f + " comment", "\n".join("# " + x for x in textwrap.wrap(t[0], 72))) for f, t in L.TEMPLATES.items()]
+    rows += [("half", "intro\n\nThis work is licensed under the Creative Commons\nAttribution-NonCommercial 4.0 International License"), ("other", "\n".join(L.OTHER))]
+    out = {r.name: r.licences for r in L.scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+    for f in L.TEMPLATES:
+        for name, at in ((f, 3), (f + " comment", 0)):
+            assert [(x.paragraph, x.family) for x in out[name] if x.confirmed] == [(at, f)]
+    assert "cc-by-nc-4.0" in [x.family for x in out["half"]]
+    assert not out["other"]
