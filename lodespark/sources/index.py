@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import registry
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk as C
@@ -36,12 +37,22 @@ def numbered(chunks: DataFrame, first: int = 0) -> DataFrame:
 
 class Index:
     def __init__(self, spark: SparkSession, path: str, embedder: str = "hash", dim: int = V.DIM, size: int = C.SIZE, overlap: int = C.OVERLAP, tokens=T.words):
-        """Opens the index at ``path``, or starts one. One written with another embedder or length of vectors is an error."""
+        """Opens the index at ``path``, or starts one. One written with another embedder or length of vectors is an error.
+
+        ``embedder``: a name that registry.embedder knows; it embeds documents and queries."""
         self.spark, self.path, self.embedder, self.dim, self.size, self.overlap, self.tokens = spark, path.rstrip("/"), embedder, dim, size, overlap, tokens
         found = self.meta()
         if found["embedder"] != embedder or found["dim"] != dim:
             raise ValueError(f"the index at {path} is of embedder {found['embedder']} ({found['dim']}), not {embedder} ({dim})")
 
+    def embed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the embedding of their text by the index's embedder; vectors of another length are an error."""
+        if self.embedder == "hash":
+            return dense.embed(rows, dim=self.dim)
+        made = registry.embedder(self.embedder)(rows)
+        wrong = F.raise_error(F.format_string(f"embedder {self.embedder} gave %d numbers, not {self.dim}", F.size("embedding"))).cast("array<float>")
+        return made.withColumn("embedding", F.when(F.size("embedding") == self.dim, F.col("embedding")).otherwise(wrong))
+
     def meta(self) -> dict:
         if not exists(self.spark, f"{self.path}/meta"):
             return {"embedder": self.embedder, "dim": self.dim, "n": 0, "batches": 0}
@@ -74,7 +85,7 @@ class Index:
             return 0
         posts = lexical.postings(lexical.tokenized(own, tokens=self.tokens))
         posts.select("tok", "ord", "dl", "tf").repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
-        dense.embed(own.select("ord", "text"), dim=self.dim).select("ord", "embedding").write.mode("overwrite").parquet(f"{self.path}/embeddings/batch={batch}")
+        self.embed(own.select("ord", "text")).select("ord", "embedding").write.mode("overwrite").parquet(f"{self.path}/embeddings/batch={batch}")
         row = [(self.embedder, self.dim, now["n"] + n, batch + 1)]
         self.spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{self.path}/meta")
         return n
@@ -86,7 +97,7 @@ class Index:
         return lexical.ranked(lexical.scores(asked, posts, stats).where("score > 0"), k)
 
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
-        return dense.dense_vectors(self.embeddings(), dense.embed(queries.select("qid", "text"), dim=self.dim), k)
+        return dense.dense_vectors(self.embeddings(), self.embed(queries.select("qid", "text")), k)
 
     def search(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", rrf_k: int = fuse.RRF_K, with_ranks: bool = True) -> DataFrame:
         """The ``k`` best chunks of each query (qid, text), with the columns of schemas.RESULT, qid and rank."""

@@ -173,3 +173,16 @@ def test_library_does_not_need_llm():
 
     root = pathlib.Path(cli.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and ("lodespark.llm" in p.read_text() or "from .llm" in p.read_text() or "from ..llm" in p.read_text())]
+
+
+def test_index_embeds_by_the_name_it_has(spark, tmp_path, monkeypatch):
+    own = registry.model_embedder(lambda: lambda texts: [[1.0, 0.0] if "x" in t else [0.0, 1.0] for t in texts])
+    monkeypatch.setattr(registry, "embedder", lambda name: {"two": own}[name])
+    docs = spark.createDataFrame([("a", "x x x"), ("b", "y y y")], "doc_id string, text string")
+    index = Index(spark, str(tmp_path / "two"), embedder="two", dim=2)
+    assert index.add(docs) == 2
+    assert sorted(r.embedding for r in index.embeddings().collect()) == [[0.0, 1.0], [1.0, 0.0]]
+    queries = spark.createDataFrame([(1, "about x")], "qid bigint, text string")
+    assert index.search(queries, 1, "dense").first().doc_id == "a"
+    with pytest.raises(Exception, match="gave 2 numbers"):
+        Index(spark, str(tmp_path / "three"), embedder="two", dim=3).add(docs)
