@@ -8,6 +8,12 @@ outermost tokens of the window are those that both sides had. A sequence of
 tokens is the encoding of its text if each two neighbours are the encoding of
 theirs, so the joined sequence is then exactly that of the whole text.
 
+Where words end may change at a join too. The splitting pattern looks at most
+``AHEAD`` characters beyond a word's first one, so all words of the left piece
+stay that end before those; from the next on, the text up to the first white
+space behind the join is split again, until a word ends where one of the right
+piece does. From there on both are split alike.
+
 All other words are encoded by the library's model, once per worker and word."""
 
 from __future__ import annotations
@@ -30,6 +36,28 @@ END = "</w>"
 LATIN = "À-ÖØ-öø-ÿ"
 SIMPLE = re.compile(f"[\t-\r -~{LATIN}]*")
 SPLIT = re.compile(f"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9{LATIN}]+")
+#: Characters that a contraction has: what the pattern reads ahead of a word's first character.
+AHEAD = 3
+#: What the splitting above is made for; a file with other settings is refused.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "byte_fallback": False, "ignore_merges": False}
+
+
+def supported(spec: dict) -> bool:
+    """Whether a tokenizers file has the normalizer, splitting pattern, model and special tokens that this module takes apart itself."""
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    parts = splitter.get("pretokenizers") or [{}, {}]
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    return (
+        normalizer.get("type") == "Sequence" and normalizer.get("normalizers") == NORMALIZERS
+        and splitter.get("type") == "Sequence" and len(parts) == 2
+        and parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": PATTERN} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+        and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        and all(spec["model"].get(k) == v for k, v in MODEL.items())
+        and not any(t.get(flag) for t in spec["added_tokens"] for flag in flags)
+        and not spec.get("post_processor") and not spec.get("decoder")
+    )
 
 
 def byte_symbols() -> dict[int, str]:
@@ -47,6 +75,8 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not supported(spec):
+            raise ValueError(f"{path} is not a lower-casing BPE file with word ends, which is what this operator takes apart")
         self.tok = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         self.names = {i: t for t, i in self.tok.get_vocab().items()}
         self.name_bytes = {i: t.encode() for i, t in self.names.items()}
@@ -128,58 +158,64 @@ class Encoder:
 
     def piece(self, text: str) -> Piece:
         """The encoding of a piece of a text. A special token is a word of its own, marked by a negative count."""
-        ids, counts, at = [], [], 0
+        ids, counts, at, runs = [], [], 0, []
         for m in [*(self.special.finditer(text) if self.special else ()), None]:
-            found = self.entries(*self.words(text[at : m.start() if m else len(text)]))
+            section = text[at : m.start() if m else len(text)]
+            runs.append(self.normalized(section))
+            found = self.entries(*self.words(section))
             counts += [e[0].count(b" ") + 1 for e in found]
             ids += [int(i) for e in found for i in e[0].split()]
             if m:
                 ids.append(self.special_id[m[0]])
                 counts.append(-1)
                 at = m.end()
-        return Piece(np.array(ids, np.int32), np.array(counts, np.int32), text[:1] in ("", " ", "\n"), text[-1:] in ("", " ", "\n"))
+        one = len(runs) == 1 and " " not in runs[0]
+        return Piece(np.array(ids, np.int32), np.array(counts, np.int32), runs[0].partition(" ")[0], runs[-1].rpartition(" ")[2], one)
+
+    def normalized(self, text: str) -> str:
+        return re.sub(r"\s+", " ", text).lower() if SIMPLE.fullmatch(text) else self.tok.normalizer.normalize_str(text)
+
+    def spans(self, run: str) -> list[tuple[str, int, int]]:
+        """(symbols, start, end) of the words of normalized text without white space."""
+        if SIMPLE.fullmatch(run):
+            return [(self.symbols(m[0], self.known), m.start(), m.end()) for m in SPLIT.finditer(run)]
+        return [(w, a, b) for w, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(run)]
 
     def joined(self, x: Piece, y: Piece) -> Piece:
-        """Two neighbouring pieces as one. Without white space between them, the words around the join are split again,
-        in a window that grows to the right until it ends where a word of y does; a word across the join is concatenated."""
-        plain = Piece(np.concatenate([x.ids, y.ids]), np.concatenate([x.counts, y.counts]), x.space_before, y.space_after)
-        if x.space_after or y.space_before or not len(x.counts) or not len(y.counts) or x.counts[-1] < 0 or y.counts[0] < 0:
-            return plain
-        left_ids = x.ids[len(x.ids) - x.counts[-1] :].tolist()
-        left, k, used, right = self.surface(left_ids), 0, 0, []
-        while True:
-            right.append(y.ids[used : used + y.counts[k]].tolist())
-            used, k = used + int(y.counts[k]), k + 1
-            texts = [self.surface(r) for r in right]
-            words = self.resplit(left + "".join(texts))
-            if words == [left, *texts]:
-                return plain
-            if k == 1 and len(words) == 1:
-                made = [self.concat(left, left_ids, texts[0], right[0], True)]
-            elif k == len(y.counts) or y.counts[k] < 0 or len(words) > 1 and words[-1] == texts[-1]:
-                made = [self.word(w) for w in words]
-            else:
-                continue
-            return Piece(np.concatenate([x.ids[: len(x.ids) - len(left_ids)], np.array([i for m in made for i in m], np.int32), y.ids[used:]]),
-                         np.concatenate([x.counts[:-1], np.array([len(m) for m in made], np.int32), y.counts[k:]]), x.space_before, y.space_after)
-
-    def surface(self, ids: list[int]) -> str:
-        """The symbols of a whole word."""
-        return "".join([self.names[i] for i in ids])[: -len(END)]
-
-    def resplit(self, symbols: str) -> list[str]:
-        """The words of normalized text without white space, given and returned as symbols."""
-        back = {s: b for b, s in enumerate(self.symbol)}
-        text = bytes(back[s] for s in symbols).decode()
-        return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        """Two neighbouring pieces as one. Without white space between them, the words around the join are split again;
+        a word that is one of each side put together is concatenated, others are encoded anew."""
+        head, tail = x.head + y.head * x.one, x.tail * y.one + y.tail
+        if not x.tail or not y.head:
+            return Piece(np.concatenate([x.ids, y.ids]), np.concatenate([x.counts, y.counts]), head, tail, x.one and y.one)
+        left, right = self.spans(x.tail), self.spans(y.head)
+        sure = max(i for i, (_, a, _) in enumerate(left) if a <= max(0, len(x.tail) - AHEAD))
+        start = left[sure][1]
+        join = len(x.tail) - start
+        ends = {join + a: i for i, (_, a, _) in enumerate(right)} | {join + len(y.head): len(right)}
+        words = []
+        for w in self.spans(x.tail[start:] + y.head):
+            words.append(w)
+            if w[2] in ends:
+                break
+        drop, take = len(left) - sure, ends[words[-1][2]]
+        left_ids = x.ids[len(x.ids) - int(x.counts[len(x.counts) - drop :].sum()) :]
+        right_ids = y.ids[: int(y.counts[:take].sum())]
+        if len(words) == drop == take == 1:
+            made = [self.concat(left[sure][0], left_ids.tolist(), right[0][0], right_ids.tolist(), True)]
+        else:
+            made = [self.word(w) for w, _, _ in words]
+        ids = np.concatenate([x.ids[: len(x.ids) - len(left_ids)], np.array([i for m in made for i in m], np.int32), y.ids[len(right_ids) :]])
+        counts = np.concatenate([x.counts[: len(x.counts) - drop], np.array([len(m) for m in made], np.int32), y.counts[take:]])
+        return Piece(ids, counts, head, tail, x.one and y.one)
 
 
 @dataclass
 class Piece:
     ids: np.ndarray
     counts: np.ndarray  # tokens of each word
-    space_before: bool
-    space_after: bool
+    head: str  # normalized text before the first white space or special token
+    tail: str  # and after the last one
+    one: bool  # there is none
 
 
 @lru_cache(maxsize=4)
@@ -187,21 +223,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(text: str, piece: int) -> list[int]:
-    """Where a long text is cut: some ``piece`` characters apart, between two ASCII letters, digits or spaces, where neither
-    normalization nor a special token reaches across. Text without such places stays whole."""
-    safe = re.compile(r"(?<=[A-Za-z0-9 \n])(?=[A-Za-z0-9 \n])")
-    out, at = [], piece
-    while at < len(text) and (m := safe.search(text, at)) and m.start() < len(text):
-        near = text[max(0, m.start() - 24) : m.start() + 24]
-        if "<|" in near or "|>" in near:
-            at = m.start() + 24
-            continue
-        out.append(m.start())
-        at = m.start() + piece
+def inert(c: str) -> bool:
+    """Whether normalization leaves a character alone, whatever comes before it: ASCII, and letters and digits but conjoining Korean ones."""
+    return c < "\x7f" and (c >= " " or c in "\t\n\r") or c.isalnum() and not "\u1100" <= c <= "\u11ff"
+
+
+def cuts(text: str, piece: int, special: re.Pattern | None = None) -> list[int]:
+    """Where a long text is cut: some ``piece`` characters apart, between two characters that are :func:`inert` and not within
+    a special token. Text without such places stays whole."""
+    tokens, out, at = [m.span() for m in special.finditer(text)] if special else [], [], piece
+    i = 0
+    while at < len(text):
+        while i < len(tokens) and tokens[i][1] <= at:
+            i += 1
+        if i < len(tokens) and tokens[i][0] < at:
+            at = tokens[i][1]
+        elif inert(text[at - 1]) and inert(text[at]):
+            out.append(at)
+            at += piece
+        else:
+            at += 1
     return out
 
 
+PIECE_COLUMNS = ("ids", "counts", "head", "tail", "one")
 OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -247,13 +292,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     short = rows.where(F.length("text") <= piece).mapInArrow(whole, f"id {kind}, {schema}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
         for batch in batches:
             for row in range(len(batch)):
                 text = batch.column("text")[row].as_py()
-                marks = [0, *cuts(text, piece), len(text)]
+                marks = [0, *cuts(text, piece, own.special), len(text)]
                 parts = [text[i:j] for i, j in zip(marks, marks[1:], strict=False)]
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[row].as_py()] * n, batch.schema.field("id").type), pa.array([batch.column("key")[row].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["id", "key", "i", "part"])
+                ids = pa.array([batch.column("id")[row].as_py()] * n, batch.schema.field("id").type)
+                keys = pa.array([batch.column("key")[row].as_py()] * n, pa.int64())
+                arrays = [ids, keys, pa.array(range(n), pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "i", "part"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -261,13 +310,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for row in range(len(batch)):
                 p = own.piece(batch.column("part")[row].as_py())
                 one = batch.slice(row, 1)
-                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("id", "key", "i", "copies")], pa.array([p.ids]), pa.array([p.counts]), pa.array([p.space_before]), pa.array([p.space_after])],
-                                                 ["id", "key", "i", "copies", "ids", "counts", "space_before", "space_after"])
+                arrays = [one.column(c) for c in ("id", "key", "i", "copies")]
+                arrays += [pa.array([p.ids]), pa.array([p.counts]), pa.array([p.head]), pa.array([p.tail]), pa.array([p.one])]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "i", "copies", *PIECE_COLUMNS])
 
     def united(key, group):
         own = encoder(path)
         group = group.sort_by("i")
-        nodes = [Piece(np.array(group.column("ids")[i].values), np.array(group.column("counts")[i].values), group.column("space_before")[i].as_py(), group.column("space_after")[i].as_py()) for i in range(len(group))]
+        rows = [[group.column(c)[i] for c in PIECE_COLUMNS] for i in range(len(group))]
+        nodes = [Piece(np.array(ids.values), np.array(counts.values), head.as_py(), tail.as_py(), one.as_py()) for ids, counts, head, tail, one in rows]
         while len(nodes) > 1:  # neighbours in pairs, up the tree
             nodes = [own.joined(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
         row = outputs([own.made(nodes[0].ids.tolist())] if len(nodes[0].ids) else [], columns)
@@ -278,7 +329,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     parts = long.mapInArrow(cut, f"id {kind}, key bigint, i int, part string")
     # dealt out by piece; rows that repeat are encoded once and returned as often as they came
     parts = parts.groupBy("id", "key", "i").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("copies"))
-    parts = parts.mapInArrow(encoded, f"id {kind}, key bigint, i int, copies bigint, ids array<int>, counts array<int>, space_before boolean, space_after boolean")
+    parts = parts.mapInArrow(encoded, f"id {kind}, key bigint, i int, copies bigint, ids array<int>, counts array<int>, head string, tail string, one boolean")
     joined = parts.groupBy("id", "key").applyInArrow(united, f"id {kind}, {schema}")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
