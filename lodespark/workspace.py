@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
+#: Folders of tables made by :func:`materialize` within :func:`temporary_tables`, innermost last.
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
     a lost executor costs only a reread."""
     path = f"{shared_dir(df.sparkSession)}/lodespark/{name}-{uuid.uuid4().hex}"
+    for tables in _open[-1:]:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables made within at the end, but not those of a block of its own inside it."""
+    _open.append(tables := [])
+    try:
+        yield
+    finally:
+        _open.pop()
+        for path in tables:
+            delete(spark, path)
