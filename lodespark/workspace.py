@@ -51,9 +51,19 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+@contextmanager
+def kept_tables() -> Iterator[None]:
+    """Tables made within outlive a block of :func:`temporary_tables` around it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables made within at the end, but not those of a block of its own inside it."""
+    """Deletes the tables made within at the end."""
     _open.append(tables := [])
     try:
         yield
