@@ -67,3 +67,39 @@ def test_stages_equal_brute_force(spark, tables):
     want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in kept.items()}
     assert {r.doc_id: r.n_tokens for r in P.run(spark, path).collect()} == want
     assert simhash.BITS == 2
+
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_rows_of_one_id_or_none_are_decided_each_on_its_own(spark, tables):
+    path, item = tables
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(7, f"{a} {item} x"), (7, a), (None, f"{item} {b}"), (None, b), (None, c), (9, c), (9, c), (3, None), (4, ""), (9, prose(40)), (None, f"{prose(50)} z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    kept = P.STAGES[3][1](spark, docs, path)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((i, t) for i, t in rows if item not in (t or "")), key=repr)
+    near = sorted(((r.doc_id, r.text) for r in P.STAGES[2][1](spark, docs, path).collect()), key=repr)
+    # c is in a row without an id and twice under 9; null and empty texts are linked
+    want = [r for r in dict.fromkeys(rows) if r not in ((None, c), (4, ""))]
+    assert near == sorted(want, key=repr)
+
+
+def test_empty_table_through_all_stages(spark, tables):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in P.STAGES[1:]:
+        assert stage(spark, docs, tables[0]).count() == 0
+
+
+def test_tables_of_finished_stages_are_deleted(spark, tables):
+    import os
+
+    from lodespark.workspace import shared_dir
+
+    folder = f"{shared_dir(spark)}/lodespark"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    P.run(spark, tables[0]).count()
+    assert [n.rpartition("-")[0] for n in set(os.listdir(folder)) - before] == ["stage-4"]
