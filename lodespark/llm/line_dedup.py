@@ -1,52 +1,53 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are folded after punctuation and after words with a certain hash, so that a
-passage within a long line has short lines of its own. A rolling hash over the
-hashes of two neighbouring lines is taken after each line; where it is a local
-maximum, a chunk ends. That depends on a few lines around only, so equal passages
-are cut alike wherever they stand, and chunks between two cuts have several lines. Chunks are grouped by
-hash and content; of a chunk that occurs again, the occurrence in the document
-with the smallest id stays, the first one there.
-
-Two chunks may differ where passages of some 50 words agree. For passages of PASSAGE
-words and more there are seeds besides: the smallest hashes of SEED_WORDS words in each
-window of SEED_WINDOW, so that each such passage has one at the same place. A seed that
-occurs again is compared word by word, to either side, with the first occurrence, and
-what agrees goes if it has PASSAGE words; within a text, with the occurrence before it."""
+A line ends at a line break; a line of several sentences, as a paragraph of prose is,
+is folded after each ASCII . ! or ? that ends a word. A rolling hash over the hashes
+of two neighbouring lines is taken after each line; where it is a local maximum, a
+chunk ends. That depends on the lines around only, so equal passages are cut alike
+wherever they stand. Chunks of two lines and ``MIN_WORDS`` words or more that occur
+again, by comparison of their bytes, are removed: the occurrence in the document with
+the smallest id stays, the first one there.
+
+Equal passages may begin or end within a line, and one very long line is never cut.
+So passages of ``PASSAGE`` words and more go too, wherever they begin: seeds are the
+smallest hashes of ``SEED_WORDS`` words in each window of ``SEED_WINDOW``, so that each
+such passage has one at the same place. A seed that occurs again is compared word by
+word, to either side, with the first occurrence, and what agrees goes if it has PASSAGE
+words. Seeds within text that goes with its chunks anyway are not compared."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from xxhash import xxh3_64_intdigest
 
-from .shared import bit_map, lookup, materialize, slices
+from .shared import bit_words, lookup, marked, materialize, slices, unused
 from .words import BASE, byte_view, mix, run_hashes
 
-#: Words that a chunk has at least to be removed: shorter ones may be equal by chance.
+#: What a chunk has at least to be removed: shorter ones may be equal by chance.
 MIN_WORDS, MIN_LINES = 8, 2
-MAP_BITS = 24
-#: A line is folded after punctuation and after one word in so many; a cut is the largest of so many rolling hashes to either side.
-FOLD_EVERY, RADIUS = 2, 3
-#: Words that a passage has at least to be removed whole, wherever chunks end; any such passage has PASSAGE - SEED_WORDS >= SEED_WINDOW places of seeds.
-PASSAGE, SEED_WORDS = 51, 8
-SEED_WINDOW = PASSAGE - SEED_WORDS
+#: A cut is the largest of so many rolling hashes to either side.
+RADIUS = 1
+#: Words that a passage has at least to be removed wherever lines end. Any such passage has SEED_WINDOW places where a seed may begin.
+PASSAGE, SEED_WORDS = 51, 26
+SEED_WINDOW = PASSAGE - SEED_WORDS + 1
 #: Words to either side that a seed is compared in: what agrees beyond has seeds of its own.
 AROUND = PASSAGE - 1
-SEED_ROWS = 4096
-PLACE = ["id", "key", "a", "b", "again", "h", "around", "own_a", "own_b"]
+#: Neighbouring seeds are compared together, in stretches that end at one seed in so many and after so many.
+STRETCH_EVERY, STRETCH_SEEDS = 8, 32
 WORD = re.compile(rb"[^ \t\n\v\f\r]+")
-FOLD = np.zeros(256, bool)
-FOLD[list(b".,;:!?|")] = True
+SENTENCE = np.zeros(256, bool)
+SENTENCE[list(b".!?")] = True
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
+SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int>>"
+PLACES = {"id": None, "key": "bigint", "s": "int", "a": "int", "b": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,26 +63,24 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, ends, word, word_end, run_hashes(data, word, word_end), np.searchsorted(ends, word, "right") - 1
 
 
-def chunks(texts: pa.Array, min_words: int = MIN_WORDS, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, text, start, end, whether it may be removed) of all chunks of the texts; a text's chunks make it up, but a text without words has none.
+def chunks(found: tuple, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
+    """The chunks of texts that :func:`split` took apart: doc, start and end byte, first and last word + 1, hash, and whether they may go.
 
-    ``found``: what :func:`split` gives for the texts, if that is there."""
-    data, ends, word, word_end, word_hash, doc_of_word = found or split(texts)
-    # a line begins with the first word of a text and after a word that ends one
+    A text's chunks make it up, but a text without words has none."""
+    data, ends, word, word_end, word_hash, doc_of_word = found
     if not len(word):
         none = np.zeros(0, np.int64)
-        return data, none, none, none, np.zeros(0, bool)
-    fold = FOLD[data[word_end - 1]] | (word_hash % np.uint64(FOLD_EVERY) == 0)
+        return {"doc": none, "start": none, "end": none, "first": none, "last": none, "hash": none.view(np.uint64), "may": none.astype(bool)}
+    fold = SENTENCE[data[word_end - 1]]
     fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
-    fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])[: len(word)]
-    begins = np.flatnonzero(np.concatenate([[True], fold[:-1]])[: len(word)] | fresh)
-    doc = doc_of_word[begins]
-    first = fresh[begins]
-    last = np.concatenate([first[1:], [True]])[: len(first)]
-    words = np.diff(np.append(begins, len(word)))
+    fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])
+    begins = np.flatnonzero(np.concatenate([[True], fold[:-1]]) | fresh)
+    doc, first = doc_of_word[begins], fresh[begins]
+    last = np.concatenate([first[1:], [True]])
+    stops = np.append(begins[1:], len(word))
     start = np.where(first, ends[doc], word[begins])  # white space goes with the line before it, at the start of a text with the first
     stop = np.where(last, ends[doc + 1], np.roll(start, -1))
-    own = run_hashes(word_hash, begins, np.append(begins[1:], len(word))[: len(begins)])
+    own = run_hashes(word_hash, begins, stops)
     rolled = np.maximum(mix(own + np.where(first, np.uint64(0), np.roll(own, 1)) * np.uint64(3)), np.uint64(1))
     best, again = ~last, np.zeros(len(last), bool)
     for r in range(1, RADIUS + 1):  # larger than those before, not smaller than those behind; another text counts as zero
@@ -90,13 +89,12 @@ def chunks(texts: pa.Array, min_words: int = MIN_WORDS, found: tuple | None = No
         behind[:r], ahead[len(ahead) - r :] = 0, 0
         best &= (rolled > behind) & (rolled >= ahead)
         again |= rolled == behind
-    edge = again & ~(np.roll(again, 1) & np.roll(again, -1))  # a run of few lines again and again ends a chunk at its first repeat and at its last
+    edge = again & ~(np.roll(again, 1) & np.roll(again, -1))  # a run of equal lines ends a chunk at its first repeat and at its last
     cut = np.flatnonzero(best | edge | last)
-    end, lines = stop[cut], np.diff(np.concatenate([[-1], cut]))
-    begin = start[cut - lines + 1]
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
-    many = total[cut + 1] - total[cut - lines + 1]
-    return data, doc[cut], begin, end, (lines >= MIN_LINES) & (many >= min_words)
+    lines = np.diff(np.concatenate([[-1], cut]))
+    from_word, to_word = begins[cut - lines + 1], stops[cut]
+    may = (lines >= MIN_LINES) & (to_word - from_word >= min_words)
+    return {"doc": doc[cut], "start": start[cut - lines + 1], "end": stop[cut], "first": from_word, "last": to_word, "hash": run_hashes(word_hash, from_word, to_word), "may": may}
 
 
 def sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
@@ -107,17 +105,25 @@ def sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :])
 
 
+def gram_hashes(x: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` neighbours, put together from those of 1, 2, 4 and so on."""
+    n, out, done, part, size = len(x) - width + 1, np.zeros(len(x) - width + 1, np.uint64), 0, x, 1
+    while True:
+        if width & size:
+            out = out * np.uint64(pow(int(BASE), size, 1 << 64)) + part[done : done + n]
+            done += size
+        if done == width:
+            return mix(out)
+        part, size = part[:-size] * np.uint64(pow(int(BASE), size, 1 << 64)) + part[size:], size * 2
+
+
 def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the seeds of texts that :func:`split` took apart."""
     hashes, doc = found[4], found[5]
-    n = len(hashes) - SEED_WORDS + 1
-    windows = n - SEED_WINDOW + 1
+    windows = len(hashes) - PASSAGE + 1
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(SEED_WORDS):
-        h = h * BASE + hashes[j : j + n]
-    h = np.maximum(mix(h), np.uint64(1))
+    h = np.maximum(gram_hashes(hashes, SEED_WORDS), np.uint64(1))
     low = np.where(doc[:windows] == doc[len(doc) - windows :], sliding(h, SEED_WINDOW, np.minimum), np.uint64(0))  # a window is of one text
     side = np.zeros(SEED_WINDOW - 1, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate([side, low, side]), SEED_WINDOW, np.maximum) == h)
@@ -131,168 +137,247 @@ def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def seed_places(found: tuple, chosen: Callable) -> Iterator[tuple[int, int, int, bool, int, bytes, int | None, int | None]]:
-    """(row, byte in the text where the words around begin, how many of them come before the seed, whether the text had the seed before, hash, words around, first and last byte of what the text had at its last such seed) of the seeds whose hashes are ``chosen``."""
-    data, ends, word, word_end, _, doc = found
+def rows_of(part: pa.RecordBatch, of: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of PLACES for the rows ``of`` of a batch, with nulls for columns that are not given."""
+    take = pa.array(of, pa.int64())
+    types = {"s": pa.int32(), "a": pa.int32(), "b": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
+    made = {n: columns[n].cast(t) if n in columns else pa.nulls(len(take), t) for n, t in types.items()}
+    return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *made.values()], ["id", "key", *made])
+
+
+def chunk_rows(part: pa.RecordBatch, found: tuple, min_words: int, known: Callable) -> pa.RecordBatch:
+    """A row for each chunk that may go and whose hash is ``known``: its bytes, first and last byte in the text, and whether the text had it before."""
+    c = chunks(found, min_words)
+    at = np.flatnonzero(c["may"])
+    at = at[known(c["hash"][at])]
+    doc, raw = c["doc"][at], found[0].tobytes() if len(at) else b""
+    contents, again, seen, of = [], [], set(), -1
+    for d, s, e in zip(doc.tolist(), c["start"][at].tolist(), c["end"][at].tolist(), strict=True):
+        if d != of:
+            seen, of = set(), d
+        contents.append(raw[s:e].rstrip(b" \n"))
+        again.append(contents[-1] in seen)
+        seen.add(contents[-1])
+    base = found[1][doc]
+    return rows_of(part, doc, a=pa.array(c["start"][at] - base), b=pa.array(c["end"][at] - base), again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()))
+
+
+def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows of the seeds whose hashes are ``known``: one for each text, with its seeds, and one for each stretch of them, with its words.
+
+    Of a seed: hash, stretch, word in the stretch, and first and last byte in the text of the words around it."""
+    data, ends, word, word_end, _, doc_of_word = found
     at, h = seeds(found)
-    take = chosen(h)
-    at, h = at[take], h[take].view(np.int64)
-    of = doc[at]
-    begin = np.maximum(at - AROUND, np.searchsorted(doc, of))
-    stop = np.minimum(at + SEED_WORDS + AROUND, np.searchsorted(doc, of, "right"))
-    seen: dict[int, tuple[bytes, int]] = {}
-    last = -1
-    for d, s, e, x, before in zip(of.tolist(), word[begin].tolist(), word_end[stop - 1].tolist(), h.tolist(), (at - begin).tolist(), strict=True):
-        if d != last:
-            seen, last = {}, d
-        around, a = data[s:e].tobytes(), s - int(ends[d])
-        had = agreeing(around, before, *seen[x]) if x in seen else None
-        yield d, a, before, x in seen, x, around, a + had[0] if had else None, a + had[1] if had else None
-        seen[x] = around, before
-
-
-def agreeing(own: bytes, before: int, other: bytes, other_before: int) -> tuple[int, int] | None:
-    """Bytes of ``own`` that agree with ``other``, around the seed, if they are PASSAGE words; the space behind goes with them."""
+    take = known(h)
+    at, h = at[take], h[take]
+    if not len(at):
+        return
+    doc = doc_of_word[at]
+    low, high = np.searchsorted(doc_of_word, doc), np.searchsorted(doc_of_word, doc, "right")
+    fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
+    far = np.concatenate([[True], at[1:] - at[:-1] > 2 * AROUND])
+    begins = np.flatnonzero(fresh | far | (h % np.uint64(STRETCH_EVERY) == 0))
+    nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+    begins = np.flatnonzero(nth % STRETCH_SEEDS == 0)
+    stops = np.append(begins[1:], len(at)) - 1
+    lengths = stops - begins + 1
+    from_word = np.maximum(at[begins] - AROUND, low[begins])
+    to_word = np.minimum(at[stops] + SEED_WORDS + AROUND, high[stops])
+    of = np.flatnonzero(fresh)
+    number = np.repeat(np.arange(len(begins)), lengths)
+    s = number - number[np.repeat(of, np.diff(np.append(of, len(at))))]  # counted from 0 in each text
+    base = ends[doc]
+    around_a, around_b = word[np.maximum(at - AROUND, low)] - base, word_end[np.minimum(at + SEED_WORDS + AROUND, high) - 1] - base
+    fields = [h.view(np.int64), s, at - from_word[number], around_a, around_b]
+    struct = pa.StructArray.from_arrays([pa.array(x).cast(t.type) for x, t in zip(fields, SEED_TYPE, strict=True)], fields=list(SEED_TYPE))
+    yield rows_of(part, doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(at)), pa.int32()), struct))
+    start, stop = word[from_word], word_end[to_word - 1]
+    for i in range(0, len(begins), 1024):
+        some = slice(i, i + 1024)
+        texts = [data[x:y].tobytes() for x, y in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
+        mine = begins[some]
+        yield rows_of(part, doc[mine], s=pa.array(s[mine]), a=pa.array(start[some] - base[mine]), content=pa.array(texts, pa.binary()))
+
+
+def agreeing(own: bytes, other: bytes, places: list[tuple[int, int]], least: int = PASSAGE) -> list[tuple[int, int]]:
+    """Bytes of ``own`` that agree with ``other`` around places, as words in each, in runs of ``least`` words or more; the space behind goes with them."""
+    mine, theirs, out, done = own.split(), other.split(), [], {}
+    for i, j in sorted(places):
+        if i < done.get(i - j, 0):
+            continue
+        a, b, c, d = i, i, j, j
+        while a and c and mine[a - 1] == theirs[c - 1]:
+            a, c = a - 1, c - 1
+        while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
+            b, d = b + 1, d + 1
+        done[i - j] = b
+        if b - a >= least:
+            out.append((a, b))
+    if not out:
+        return []
     spans = [m.span() for m in WORD.finditer(own)]
-    mine, theirs = [own[a:b] for a, b in spans], WORD.findall(other)
-    if mine[before : before + SEED_WORDS] != theirs[other_before : other_before + SEED_WORDS]:
-        return None
-    left = 0
-    while left < min(before, other_before) and mine[before - left - 1] == theirs[other_before - left - 1]:
-        left += 1
-    i, j = before + SEED_WORDS, other_before + SEED_WORDS
-    while i < len(mine) and j < len(theirs) and mine[i] == theirs[j]:
-        i, j = i + 1, j + 1
-    if i - before + left < PASSAGE:
-        return None
-    return spans[before - left][0], spans[i][0] if i < len(spans) else spans[-1][1]
+    return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in out]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ascending spans with those that overlap made one."""
+    """Ascending spans with those that touch or overlap made one."""
     out: list[tuple[int, int]] = []
     for a, b in spans:
-        if out and a < out[-1][1]:
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
 
 
-def occurrences(batch: pa.RecordBatch, min_words: int, split_text: tuple | None = None) -> Iterator[tuple[int, int, int, bool, int, bytes]]:
-    """(row, first and last byte in the text, whether the text had it before, hash, content) of the chunks of a batch that may be removed."""
-    data, doc, start, end, may = chunks(batch.column("text"), min_words, split_text)
-    raw = data.tobytes()
-    seen, of, first = set(), -1, start[np.searchsorted(doc, doc[may])]
-    for d, b, s, e in zip(doc[may].tolist(), first.tolist(), start[may].tolist(), end[may].tolist(), strict=True):
-        if d != of:
-            seen, of = set(), d
-        content = raw[s:e].rstrip(b" \n")
-        h = xxh3_64_intdigest(content)
-        h -= (h >> 63) << 64
-        yield d, s - b, e - b, content in seen, h, content
-        seen.add(content)
+def collected(spans: DataFrame) -> DataFrame:
+    """(id_, key_, gone): the spans (id, key, a, b) of each text, in order."""
+    return spans.groupBy(F.col("id").alias("id_"), F.col("key").alias("key_")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone"))
+
+
+def repeated_chunks(places: DataFrame) -> DataFrame:
+    """(id, key, a, b) of the chunks that another document of smaller id, or the text itself before, has with the same bytes."""
+    rows = places.where("content is not null and s is null")
+    # by content: equal digests alone remove nothing
+    equal = rows.groupBy("digest", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    equal = equal.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).where("contents = 1")
+    equal = materialize(equal.select("digest", "first", "n"), "repeated-chunks")
+    gone = lookup(rows.select("id", "key", "a", "b", "again", "digest"), equal, "digest", "n")
+    return gone.where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first")))).select("id", "key", "a", "b")
 
 
-def repeated_passages(found: DataFrame, sure: DataFrame, kind: str) -> DataFrame:
-    """(id, key, a, b) of the passages around seeds (id, key, a, b words before, again, h, around) that agree with the first occurrence.
+def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
+    """(id, key, s, w, h) of the seeds with words around them that are not gone."""
 
-    Within rows of one id, only what a text itself had before: that is in own_a and own_b."""
-    first = found.join(sure, "h").where(~F.col("again") & F.col("id").eqNullSafe(F.col("first")))
-    first = first.groupBy("h", "n", "first").agg(F.min_by(F.struct("around", "b"), F.struct("key", "a", "b")).alias("f"))
-    first = materialize(first.select("h", "n", "first", F.col("f.around").alias("f_around"), F.col("f.b").alias("f_b")), "first-seeds")
-    pairs = lookup(found.drop("own_a", "own_b"), first, "h", "n").where(F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for i in range(len(batch)):
+                spans = merged([(x["a"], x["b"]) for x in batch.column("gone")[i].as_py() or ()])
+                starts = np.array([a for a, _ in spans], np.int64)
+                stops = np.array([0, *(b for _, b in spans)], np.int64)  # of the last span that begins before
+                flat = batch.column("seeds")[i].values
+                a, b = (np.asarray(flat.field(n), np.int64) for n in ("a", "b"))
+                left = np.flatnonzero(stops[np.searchsorted(starts, a, "right")] < b)
+                of.append(np.full(len(left), i))
+                out.append([np.asarray(flat.field(n))[left] for n in ("s", "w", "h")])
+            take = pa.array(np.concatenate(of), pa.int64()) if of else pa.array([], pa.int64())
+            made = [pa.array(np.concatenate([x[k] for x in out]), t) if out else pa.array([], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *made], ["id", "key", "s", "w", "h"])
+
+    rows = places.where("seeds is not null").select("id", "key", "seeds")
+    rows = rows.join(collected(gone), F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
+    return rows.select("id", "key", "seeds", "gone").mapInArrow(run, f"id {kind}, key bigint, s int, w int, h bigint")
+
+
+def repeated_passages(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
+    """(id, key, a, b) of the passages that agree with those around the first occurrence of a seed.
+
+    First is the smallest id, null last, then the place. Rows of one id but unlike texts are not compared."""
+    every = places.where("seeds is not null").select("id", "key", F.explode("seeds").alias("x")).select("id", "key", "x.h", "x.s", "x.w")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "s", "w")
+    first = every.groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first.select("h", "n", F.struct("f.id", "f.key", "f.s").alias("f"), F.col("f.w").alias("f_w")), "first-seeds")
+    some = materialize(open_seeds(places, gone, kind), "open-seeds")
+    pairs = lookup(some, first, "h", "n").where("n is not null")
+    same_row = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
+    pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
+    pairs = pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w")).alias("at"))  # places in one stretch
+    stretches = places.where("content is not null and s is not null")
+    own = stretches.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("s").alias("s_"), "a", "content")
+    pairs = pairs.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("s") == F.col("s_")))
+    pairs = materialize(pairs.select("id", "key", "a", "content", "f", "at"), "stretch-pairs")
+    weight = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    other = stretches.select(F.struct("id", "key", "s").alias("f"), F.col("content").alias("f_content")).join(weight, "f").dropDuplicates(["f"])
+    both = lookup(pairs, materialize(other, "first-stretches"), "f", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = batch.column("around").to_pylist(), batch.column("f_around").to_pylist()
-            a, b, f_b = (batch.column(c).to_pylist() for c in ("a", "b", "f_b"))
-            same = [(i, at) for i, x in enumerate(zip(own, b, other, f_b, strict=True)) if (at := agreeing(*x))]
-            take = pa.array([i for i, _ in same], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), pa.array([a[i] + x for i, (x, _) in same], pa.int32()), pa.array([a[i] + y for i, (_, y) in same], pa.int32())], ["id", "key", "a", "b"])
+            of, spans = [], []
+            columns = (batch.column(c).to_pylist() for c in ("a", "content", "f_content", "at"))
+            for i, (a, mine, theirs, at) in enumerate(zip(*columns, strict=True)):
+                for x, y in agreeing(mine, theirs, [(p["w"], p["f_w"]) for p in at]):
+                    of.append(i)
+                    spans.append((a + x, a + y))
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *(pa.array([x[k] for x in spans], pa.int32()) for k in (0, 1))], ["id", "key", "a", "b"])
 
-    gone = pairs.select("id", "key", "a", "b", "around", "f_around", "f_b").mapInArrow(compare, f"id {kind}, key bigint, a int, b int")
-    return gone.unionByName(found.where("own_a is not null").select("id", "key", F.col("own_a").alias("a"), F.col("own_b").alias("b")))
+    return both.select("id", "key", "a", "content", "f_content", "at").mapInArrow(compare, f"id {kind}, key bigint, a int, b int")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = MAP_BITS, passages: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, plus columns chunks_removed and chars_removed.
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int | None = None, passages: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks of lines taken out of the text, plus columns chunks_removed (spans taken out) and chars_removed.
 
-    With ``passages``, repeated passages of PASSAGE words go too, whole, wherever chunks end.
+    With ``passages``, repeated passages of PASSAGE words go too, whole, wherever lines end.
+    ``bits``: length of the bit map that passes over hashes that occur once; by default it
+    follows their number. It decides only how much is looked at, never what goes.
 
-    Null and empty texts stay as they are. Rows that share an id count as one document,
-    and rows without an id as one with an id after all others; what their chunks
-    have in common stays in each. All other columns stay, whatever their names, but
-    chunks_removed and chars_removed are replaced."""
+    Null and empty texts stay as they are. Rows that share an id count as one document;
+    what they have in common stays in each. Rows without an id come after all others, and
+    count as one document likewise. All other columns stay, whatever their names, but
+    chunks_removed and chars_removed are replaced. An empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = split(part.column("text"))
-                found = list(occurrences(part, min_words, texts))
-                if passages:
-                    at, h = seeds(texts)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(texts[5][at])), pa.array(h.view(np.int64)), pa.array([b""] * len(at), pa.binary())], ["id", "h", "content"])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[4] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.binary())], ["id", "h", "content"])
+                found = split(part.column("text"))
+                c = chunks(found, min_words)
+                h = [c["hash"][c["may"]], *([seeds(found)[1]] if passages else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
-    # by content: equal hashes alone remove nothing
-    equal = rows.mapInArrow(contents, f"id {kind}, h bigint, content binary").groupBy("h", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    equal = equal.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).where("contents = 1").select("h", "first", "n")
-    equal = materialize(equal, "repeated-chunks")
-    marked = docs.sparkSession.sparkContext.broadcast(bit_map(equal.select("h"), bits))
+    met = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_words(materialize(met, "repeated-hashes"), bits))
 
     def known(h: np.ndarray) -> np.ndarray:
-        return marked.value[h >> np.uint64(64 - bits)]
+        return marked(sent.value, h)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = split(part.column("text"))
-                some = seed_places(texts, known) if passages else iter(())
-                while rows := list(islice(some, SEED_ROWS)):
-                    take = pa.array([f[0] for f in rows], pa.int64())
-                    values = [pa.array([f[k] for f in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), 1)]
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *values], PLACE)
-                found = [f for f in occurrences(part, min_words, texts) if marked.value[(f[4] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)]]
-                take = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.bool_()), pa.array([f[4] for f in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int32())], PLACE)
-
-    found = materialize(rows.mapInArrow(places, f"id {kind}, key bigint, a int, b int, again boolean, h bigint, around binary, own_a int, own_b int"), "chunk-places")
-    # a hash met more often than its content occurs belongs to another content too; such chunks stay
-    met = found.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
-    sure = materialize(equal.join(met, "h").where("met = n").select("h", "first", "n"), "sure-chunks")
-    gone = lookup(found.where("around is null").drop("around", "own_a", "own_b"), sure, "h", "n").where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
-    gone = gone.select("id", "key", "a", "b")
-    if passages:
-        gone = gone.unionByName(repeated_passages(found.where("around is not null"), sure, kind))
-    gone = gone.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
+                found = split(part.column("text"))
+                yield chunk_rows(part, found, min_words, known)
+                if passages:
+                    yield from seed_rows(part, found, known)
+
+    places = rows.mapInArrow(found_places, ", ".join(f"{n} {t or kind}" for n, t in PLACES.items()))
+    places = materialize(places.withColumn("digest", F.when(F.col("s").isNull(), F.unhex(F.sha2("content", 256)))), "chunk-places")
+    gone = materialize(repeated_chunks(places), "gone-chunks")
+    spans = gone.unionByName(repeated_passages(places, gone, kind)) if passages else gone
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
-    marked_docs = docs.select(*keep, F.xxhash64(id_col, text_col).alias("__key"))
-    joined = marked_docs.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
+    own_id, own_key, drops = unused(docs.select(*keep), "id_", "key_", "gone")
+    found = collected(spans).toDF(own_id, own_key, drops)
+    keyed = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(f"`{id_col}`", f"`{text_col}`") == F.col(own_key))
+    joined = docs.select(*(f"`{c}`" for c in keep)).join(found, keyed, "left").drop(own_id, own_key)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = batch.column("__gone")
-            out, counts, chars = batch.column(text_col).to_pylist(), [0] * len(batch), [0] * len(batch)
-            for i in np.flatnonzero(np.asarray(drops.is_valid())).tolist():
-                raw, before = out[i].encode(), len(out[i])
-                spans = merged([(s["a"], s["b"]) for s in drops[i].as_py()])
-                ends = [0, *(b for _, b in spans)]
-                out[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True)).decode()
-                counts[i], chars[i] = len(spans), before - len(out[i])
-            arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], [*keep, "chunks_removed", "chars_removed"])
-
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("chunks_removed", LongType()), StructField("chars_removed", LongType())])
-    return joined.mapInArrow(without, schema)
+            lists, text = batch.column(drops), batch.column(text_col)
+            counts, chars, new = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), {}
+            for i in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
+                whole = text[i].as_py()
+                raw, cut = whole.encode(), merged([(s["a"], s["b"]) for s in lists[i].as_py()])
+                ends = [0, *(b for _, b in cut)]
+                new[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in cut), len(raw)], strict=True)).decode()
+                counts[i], chars[i] = len(cut), len(whole) - len(new[i])
+            if new:
+                out = text.to_pylist()
+                for i, t in new.items():
+                    out[i] = t
+                text = pa.array(out, pa.string())
+            arrays = [text if c == text_col else batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts), pa.array(chars)], [*keep, "chunks_removed", "chars_removed"])
+
+    fields = [docs.schema[c] for c in keep]
+    return joined.mapInArrow(without, StructType([*fields, StructField("chunks_removed", LongType()), StructField("chars_removed", LongType())]))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passages=True)
-    return out.select("doc_id", "chunks_removed", "chars_removed", F.length("text").cast("bigint").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "chunks_removed", "chars_removed", F.length("text").cast("bigint").alias("chars_left"), digest.alias("text_sha256"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
