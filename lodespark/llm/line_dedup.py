@@ -4,9 +4,9 @@ A line ends at a line break; a line of several sentences, as a paragraph of pros
 is folded after each ASCII . ! or ? that ends a word. A rolling hash over the hashes
 of two neighbouring lines is taken after each line; where it is a local maximum, a
 chunk ends. That depends on the lines around only, so equal passages are cut alike
-wherever they stand. Chunks of two lines and ``MIN_WORDS`` words or more that occur
-again, by comparison of their bytes, are removed: the occurrence in the document with
-the smallest id stays, the first one there.
+wherever they stand. Chunks that occur again, by comparison of their bytes, are removed
+where neighbouring ones together have two lines and ``MIN_WORDS`` words or more: the
+occurrence in the document with the smallest id stays, the first one there.
 
 Equal passages may begin or end within a line, and one very long line is never cut.
 So passages of ``PASSAGE`` words and more go too, wherever they begin: seeds are the
@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .shared import bit_words, lookup, marked, materialize, slices, unused
 from .words import BASE, byte_view, mix, run_hashes
 
-#: What a chunk has at least to be removed: shorter ones may be equal by chance.
+#: What neighbouring chunks have at least to be removed: shorter ones may be equal by chance.
 MIN_WORDS, MIN_LINES = 8, 2
 #: A cut is the largest of so many rolling hashes to either side.
 RADIUS = 1
@@ -47,7 +47,7 @@ SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
 SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int>>"
-PLACES = {"id": None, "key": "bigint", "s": "int", "a": "int", "b": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
+PLACES = {"id": None, "key": "bigint", "s": "int", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,14 +63,14 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, ends, word, word_end, run_hashes(data, word, word_end), np.searchsorted(ends, word, "right") - 1
 
 
-def chunks(found: tuple, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """The chunks of texts that :func:`split` took apart: doc, start and end byte, first and last word + 1, hash, and whether they may go.
+def chunks(found: tuple) -> dict[str, np.ndarray]:
+    """The chunks of texts that :func:`split` took apart: doc, start and end byte, lines, words and hash.
 
     A text's chunks make it up, but a text without words has none."""
     data, ends, word, word_end, word_hash, doc_of_word = found
     if not len(word):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "start": none, "end": none, "first": none, "last": none, "hash": none.view(np.uint64), "may": none.astype(bool)}
+        return {"doc": none, "start": none, "end": none, "lines": none, "words": none, "hash": none.view(np.uint64)}
     fold = SENTENCE[data[word_end - 1]]
     fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
     fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])
@@ -93,8 +93,7 @@ def chunks(found: tuple, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     cut = np.flatnonzero(best | edge | last)
     lines = np.diff(np.concatenate([[-1], cut]))
     from_word, to_word = begins[cut - lines + 1], stops[cut]
-    may = (lines >= MIN_LINES) & (to_word - from_word >= min_words)
-    return {"doc": doc[cut], "start": start[cut - lines + 1], "end": stop[cut], "first": from_word, "last": to_word, "hash": run_hashes(word_hash, from_word, to_word), "may": may}
+    return {"doc": doc[cut], "start": start[cut - lines + 1], "end": stop[cut], "lines": lines, "words": to_word - from_word, "hash": run_hashes(word_hash, from_word, to_word)}
 
 
 def sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
@@ -140,16 +139,15 @@ def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
 def rows_of(part: pa.RecordBatch, of: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of PLACES for the rows ``of`` of a batch, with nulls for columns that are not given."""
     take = pa.array(of, pa.int64())
-    types = {"s": pa.int32(), "a": pa.int32(), "b": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
+    types = {"s": pa.int32(), "a": pa.int32(), "b": pa.int32(), "lines": pa.int32(), "words": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
     made = {n: columns[n].cast(t) if n in columns else pa.nulls(len(take), t) for n, t in types.items()}
     return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *made.values()], ["id", "key", *made])
 
 
-def chunk_rows(part: pa.RecordBatch, found: tuple, min_words: int, known: Callable) -> pa.RecordBatch:
-    """A row for each chunk that may go and whose hash is ``known``: its bytes, first and last byte in the text, and whether the text had it before."""
-    c = chunks(found, min_words)
-    at = np.flatnonzero(c["may"])
-    at = at[known(c["hash"][at])]
+def chunk_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> pa.RecordBatch:
+    """A row for each chunk whose hash is ``known``: its bytes, first and last byte in the text, lines and words, and whether the text had it before."""
+    c = chunks(found)
+    at = np.flatnonzero(known(c["hash"]))
     doc, raw = c["doc"][at], found[0].tobytes() if len(at) else b""
     contents, again, seen, of = [], [], set(), -1
     for d, s, e in zip(doc.tolist(), c["start"][at].tolist(), c["end"][at].tolist(), strict=True):
@@ -159,7 +157,8 @@ def chunk_rows(part: pa.RecordBatch, found: tuple, min_words: int, known: Callab
         again.append(contents[-1] in seen)
         seen.add(contents[-1])
     base = found[1][doc]
-    return rows_of(part, doc, a=pa.array(c["start"][at] - base), b=pa.array(c["end"][at] - base), again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()))
+    numbers = {"a": c["start"][at] - base, "b": c["end"][at] - base, "lines": c["lines"][at], "words": c["words"][at]}
+    return rows_of(part, doc, **{n: pa.array(x) for n, x in numbers.items()}, again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()))
 
 
 def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
@@ -230,20 +229,34 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def collected(spans: DataFrame) -> DataFrame:
-    """(id_, key_, gone): the spans (id, key, a, b) of each text, in order."""
-    return spans.groupBy(F.col("id").alias("id_"), F.col("key").alias("key_")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone"))
-
-
-def repeated_chunks(places: DataFrame) -> DataFrame:
-    """(id, key, a, b) of the chunks that another document of smaller id, or the text itself before, has with the same bytes."""
+def repeated_chunks(places: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(id, key, gone) per text: spans of chunks that another document of smaller id, or the text itself before, has with the same bytes."""
     rows = places.where("content is not null and s is null")
     # by content: equal digests alone remove nothing
     equal = rows.groupBy("digest", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     equal = equal.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).where("contents = 1")
     equal = materialize(equal.select("digest", "first", "n"), "repeated-chunks")
-    gone = lookup(rows.select("id", "key", "a", "b", "again", "digest"), equal, "digest", "n")
-    return gone.where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first")))).select("id", "key", "a", "b")
+    found = lookup(rows.select("id", "key", "a", "b", "lines", "words", "again", "digest"), equal, "digest", "n")
+    found = found.where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
+    found = found.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b", "lines", "words"))).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chunks_there in batch.column("found").to_pylist():
+                spans: list[list[int]] = []
+                for c in chunks_there:  # neighbours count together
+                    if spans and spans[-1][1] == c["a"]:
+                        spans[-1][1:] = c["b"], spans[-1][2] + c["lines"], spans[-1][3] + c["words"]
+                    else:
+                        spans.append([c["a"], c["b"], c["lines"], c["words"]])
+                out.append([{"a": a, "b": b} for a, b, lines, words in spans if lines >= MIN_LINES and words >= min_words])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out, SPANS)], ["id", "key", "gone"])
+
+    return found.mapInArrow(run, f"id {kind}, key bigint, gone array<struct<a:int,b:int>>").where("size(gone) > 0")
+
+
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
@@ -266,7 +279,8 @@ def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *made], ["id", "key", "s", "w", "h"])
 
     rows = places.where("seeds is not null").select("id", "key", "seeds")
-    rows = rows.join(collected(gone), F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
+    gone = gone.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "gone")
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
     return rows.select("id", "key", "seeds", "gone").mapInArrow(run, f"id {kind}, key bigint, s int, w int, h bigint")
 
 
@@ -282,14 +296,14 @@ def repeated_passages(places: DataFrame, gone: DataFrame, kind: str) -> DataFram
     pairs = lookup(some, first, "h", "n").where("n is not null")
     same_row = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
     pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
-    pairs = pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w")).alias("at"))  # places in one stretch
+    # the places in one stretch, with the words of the other one, of which many may have the same, and then the own ones
+    pairs = materialize(pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w")).alias("at")), "stretch-pairs")
     stretches = places.where("content is not null and s is not null")
-    own = stretches.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("s").alias("s_"), "a", "content")
-    pairs = pairs.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("s") == F.col("s_")))
-    pairs = materialize(pairs.select("id", "key", "a", "content", "f", "at"), "stretch-pairs")
     weight = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     other = stretches.select(F.struct("id", "key", "s").alias("f"), F.col("content").alias("f_content")).join(weight, "f").dropDuplicates(["f"])
-    both = lookup(pairs, materialize(other, "first-stretches"), "f", "n")
+    both = lookup(pairs, materialize(other, "first-stretches"), "f", "n").select("id", "key", "s", "at", "f_content")
+    own = stretches.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("s").alias("s_"), "a", "content")
+    both = both.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("s") == F.col("s_")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,8 +337,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in slices(batch, "text"):
                 found = split(part.column("text"))
-                c = chunks(found, min_words)
-                h = [c["hash"][c["may"]], *([seeds(found)[1]] if passages else [])]
+                h = [chunks(found)["hash"], *([seeds(found)[1]] if passages else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
     met = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -337,18 +350,19 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in slices(batch, "text"):
                 found = split(part.column("text"))
-                yield chunk_rows(part, found, min_words, known)
+                yield chunk_rows(part, found, known)
                 if passages:
                     yield from seed_rows(part, found, known)
 
     places = rows.mapInArrow(found_places, ", ".join(f"{n} {t or kind}" for n, t in PLACES.items()))
     places = materialize(places.withColumn("digest", F.when(F.col("s").isNull(), F.unhex(F.sha2("content", 256)))), "chunk-places")
-    gone = materialize(repeated_chunks(places), "gone-chunks")
-    spans = gone.unionByName(repeated_passages(places, gone, kind)) if passages else gone
+    gone = materialize(repeated_chunks(places, kind, min_words), "gone-chunks")
+    spans = gone.select("id", "key", F.explode("gone").alias("x")).select("id", "key", "x.a", "x.b")
+    spans = spans.unionByName(repeated_passages(places, gone, kind)) if passages else spans
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
     own_id, own_key, drops = unused(docs.select(*keep), "id_", "key_", "gone")
-    found = collected(spans).toDF(own_id, own_key, drops)
+    found = spans.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone")).toDF(own_id, own_key, drops)
     keyed = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(f"`{id_col}`", f"`{text_col}`") == F.col(own_key))
     joined = docs.select(*(f"`{c}`" for c in keep)).join(found, keyed, "left").drop(own_id, own_key)
 

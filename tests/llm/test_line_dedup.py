@@ -13,8 +13,8 @@ from lodespark.llm.words import mix, run_hashes
 SPACES = " \t\n\v\f\r"
 
 
-def cut(text, min_words):
-    """(chunk, whether it may go) of a text, line by line; only the hashes of words are the module's."""
+def cut(text):
+    """(chunk, lines, words) of a text, line by line; only the hashes of words are the module's."""
     lines, line = [], ""
     for part in re.split("(\n)|(?<=[.!?])(?=[ \t\n\v\f\r])", text):
         line += part or ""
@@ -46,29 +46,32 @@ def cut(text, min_words):
     out, start = [], 0
     for e in ends:
         some = joined[start : e + 1]
-        out.append(("".join(some), len(some) >= L.MIN_LINES and len("".join(some).encode().split()) >= min_words))
+        out.append(("".join(some), len(some), len("".join(some).encode().split())))
         start = e + 1
     return out
 
 
 def plain(rows, min_words=L.MIN_WORDS):
-    """Repeated chunks taken out; kept are the first occurrences, by id (null last) and place."""
-    found = [cut(t or "", min_words) for _, t in rows]
+    """Runs of repeated chunks taken out; kept are the first occurrences, by id (null last) and place."""
+    found = [cut(t or "") for _, t in rows]
     first = {}
     for (i, _), cs in zip(rows, found, strict=True):
-        for c, m in cs:
-            if m and i is not None:
+        for c, _, _ in cs:
+            if i is not None:
                 k = c.rstrip(" \n")
                 first[k] = min(first.get(k, i), i)
     out = []
     for (i, t), cs in zip(rows, found, strict=True):
-        seen, left = set(), ""
-        for c, m in cs:
-            k = c.rstrip(" \n")
-            if not (m and (k in seen or first.get(k) != i)):
-                left += c
-            if m:
-                seen.add(k)
+        seen, left, run = set(), "", []
+        for c, lines, words in [*cs, (None, 0, 0)]:
+            k = c and c.rstrip(" \n")
+            if c is not None and (k in seen or first.get(k, i) != i):
+                run.append((c, lines, words))
+            else:
+                if sum(x[1] for x in run) < L.MIN_LINES or sum(x[2] for x in run) < min_words:
+                    left += "".join(x[0] for x in run)
+                left, run = left + (c or ""), []
+            seen.add(k)
         out.append((i, t if not cs else left))
     return out
 
@@ -113,7 +116,7 @@ def test_repeated_blocks_of_lines(spark, lines):
         block = "".join(line() for _ in range(lines))
         blocks.append(block)
         rows += [(2 * n + k, "".join(line() for _ in range(rnd.randrange(0, 9))) + block + "".join(line() for _ in range(rnd.randrange(0, 9)))) for k in range(2)]
-    for passages, least in ((False, 0.25), (True, 0.6 if lines < 8 else 1)):
+    for passages, least in ((False, 0.25), (True, 0.6 if lines < 8 else 0.99)):
         out = {r.doc_id: r for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=passages).collect()}
         gone = sum(out[2 * n + 1].chars_removed for n in range(120))
         recall = gone / sum(map(len, blocks))
