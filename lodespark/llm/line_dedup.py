@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
 SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int>>"
-PLACES = {"id": None, "key": "bigint", "s": "int", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
+PLACES = {"id": None, "key": "bigint", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
 def rows_of(part: pa.RecordBatch, of: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of PLACES for the rows ``of`` of a batch, with nulls for columns that are not given."""
     take = pa.array(of, pa.int64())
-    types = {"s": pa.int32(), "a": pa.int32(), "b": pa.int32(), "lines": pa.int32(), "words": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
+    types = {"a": pa.int32(), "b": pa.int32(), "lines": pa.int32(), "words": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
     made = {n: columns[n].cast(t) if n in columns else pa.nulls(len(take), t) for n, t in types.items()}
     return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *made.values()], ["id", "key", *made])
 
@@ -161,16 +162,31 @@ def chunk_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> pa.Record
     return rows_of(part, doc, **{n: pa.array(x) for n, x in numbers.items()}, again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()))
 
 
-def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows of the seeds whose hashes are ``known``: one for each text, with its seeds, and one for each stretch of them, with its words.
+@dataclass
+class Stretches:
+    """The seeds with certain hashes of some texts, in stretches: hash, text, number of the stretch in all and in its text, word in
+    the stretch, and first and last byte in the text of the words around each; and of each stretch its first seed, first and last byte."""
+
+    h: np.ndarray
+    doc: np.ndarray
+    number: np.ndarray
+    s: np.ndarray
+    w: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    begins: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+
 
-    Of a seed: hash, stretch, word in the stretch, and first and last byte in the text of the words around it."""
-    data, ends, word, word_end, _, doc_of_word = found
+def stretches(found: tuple, known: Callable) -> Stretches | None:
+    """The seeds whose hashes are ``known``, if there are any."""
+    _, ends, word, word_end, _, doc_of_word = found
     at, h = seeds(found)
     take = known(h)
     at, h = at[take], h[take]
     if not len(at):
-        return
+        return None
     doc = doc_of_word[at]
     low, high = np.searchsorted(doc_of_word, doc), np.searchsorted(doc_of_word, doc, "right")
     fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
@@ -179,23 +195,36 @@ def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[p
     nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
     begins = np.flatnonzero(nth % STRETCH_SEEDS == 0)
     stops = np.append(begins[1:], len(at)) - 1
-    lengths = stops - begins + 1
     from_word = np.maximum(at[begins] - AROUND, low[begins])
     to_word = np.minimum(at[stops] + SEED_WORDS + AROUND, high[stops])
+    number = np.repeat(np.arange(len(begins)), stops - begins + 1)
     of = np.flatnonzero(fresh)
-    number = np.repeat(np.arange(len(begins)), lengths)
-    s = number - number[np.repeat(of, np.diff(np.append(of, len(at))))]  # counted from 0 in each text
+    s = number - number[np.repeat(of, np.diff(np.append(of, len(at))))]
     base = ends[doc]
-    around_a, around_b = word[np.maximum(at - AROUND, low)] - base, word_end[np.minimum(at + SEED_WORDS + AROUND, high) - 1] - base
-    fields = [h.view(np.int64), s, at - from_word[number], around_a, around_b]
-    struct = pa.StructArray.from_arrays([pa.array(x).cast(t.type) for x, t in zip(fields, SEED_TYPE, strict=True)], fields=list(SEED_TYPE))
-    yield rows_of(part, doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(at)), pa.int32()), struct))
-    start, stop = word[from_word], word_end[to_word - 1]
-    for i in range(0, len(begins), 1024):
-        some = slice(i, i + 1024)
-        texts = [data[x:y].tobytes() for x, y in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
-        mine = begins[some]
-        yield rows_of(part, doc[mine], s=pa.array(s[mine]), a=pa.array(start[some] - base[mine]), content=pa.array(texts, pa.binary()))
+    a, b = word[np.maximum(at - AROUND, low)] - base, word_end[np.minimum(at + SEED_WORDS + AROUND, high) - 1] - base
+    return Stretches(h, doc, number, s, at - from_word[number], a, b, begins, word[from_word], word_end[to_word - 1])
+
+
+def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
+    """A row for each text that has such seeds, with them."""
+    if x := stretches(found, known):
+        fields = [x.h.view(np.int64), x.s, x.w, x.a, x.b]
+        struct = pa.StructArray.from_arrays([pa.array(v).cast(t.type) for v, t in zip(fields, SEED_TYPE, strict=True)], fields=list(SEED_TYPE))
+        of = np.flatnonzero(np.concatenate([[True], x.doc[1:] != x.doc[:-1]]))
+        yield rows_of(part, x.doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(x.h)), pa.int32()), struct))
+
+
+def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
+    """A row (id, key, s, a, content) for each stretch: its number and first byte in the text, and its bytes."""
+    if x := stretches(found, known):
+        data, ends = found[0], found[1]
+        for i in range(0, len(x.begins), 1024):
+            some = slice(i, i + 1024)
+            mine = x.begins[some]
+            doc, take = x.doc[mine], pa.array(x.doc[mine], pa.int64())
+            texts = [data[p:q].tobytes() for p, q in zip(x.start[some].tolist(), x.stop[some].tolist(), strict=True)]
+            arrays = [part.column("id").take(take), part.column("key").take(take), pa.array(x.s[mine]).cast(pa.int32()), pa.array(x.start[some] - ends[doc]).cast(pa.int32()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "s", "a", "content"])
 
 
 def agreeing(own: bytes, other: bytes, places: list[tuple[int, int]], least: int = PASSAGE) -> list[tuple[int, int]]:
@@ -231,7 +260,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_chunks(places: DataFrame, kind: str, min_words: int) -> DataFrame:
     """(id, key, gone) per text: spans of chunks that another document of smaller id, or the text itself before, has with the same bytes."""
-    rows = places.where("content is not null and s is null")
+    rows = places.where("content is not null")
     # by content: equal digests alone remove nothing
     equal = rows.groupBy("digest", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     equal = equal.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).where("contents = 1")
@@ -284,7 +313,7 @@ def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
     return rows.select("id", "key", "seeds", "gone").mapInArrow(run, f"id {kind}, key bigint, s int, w int, h bigint")
 
 
-def repeated_passages(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
+def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind: str, known: Callable) -> DataFrame:
     """(id, key, a, b) of the passages that agree with those around the first occurrence of a seed.
 
     First is the smallest id, null last, then the place. Rows of one id but unlike texts are not compared."""
@@ -296,13 +325,22 @@ def repeated_passages(places: DataFrame, gone: DataFrame, kind: str) -> DataFram
     pairs = lookup(some, first, "h", "n").where("n is not null")
     same_row = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
     pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
-    # the places in one stretch, with the words of the other one, of which many may have the same, and then the own ones
+    # the places in one stretch; its words are read only now, from the texts that have some such stretch
     pairs = materialize(pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w")).alias("at")), "stretch-pairs")
-    stretches = places.where("content is not null and s is not null")
+    keys = materialize(pairs.select(F.col("key").alias("h")).unionByName(pairs.select(F.col("f.key").alias("h"))).distinct(), "pair-keys")
+    sent = rows.sparkSession.sparkContext.broadcast(bit_words(keys))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(marked(sent.value, np.asarray(batch.column("key"), np.int64).view(np.uint64))))
+            for part in slices(some, "text"):
+                yield from stretch_rows(part, split(part.column("text")), known)
+
+    texts = materialize(rows.mapInArrow(cut_out, f"id {kind}, key bigint, s int, a int, content binary"), "stretches")
     weight = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    other = stretches.select(F.struct("id", "key", "s").alias("f"), F.col("content").alias("f_content")).join(weight, "f").dropDuplicates(["f"])
+    other = texts.select(F.struct("id", "key", "s").alias("f"), F.col("content").alias("f_content")).join(weight, "f").dropDuplicates(["f"])
     both = lookup(pairs, materialize(other, "first-stretches"), "f", "n").select("id", "key", "s", "at", "f_content")
-    own = stretches.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("s").alias("s_"), "a", "content")
+    own = texts.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("s").alias("s_"), "a", "content")
     both = both.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("s") == F.col("s_")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,10 +393,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield from seed_rows(part, found, known)
 
     places = rows.mapInArrow(found_places, ", ".join(f"{n} {t or kind}" for n, t in PLACES.items()))
-    places = materialize(places.withColumn("digest", F.when(F.col("s").isNull(), F.unhex(F.sha2("content", 256)))), "chunk-places")
+    places = materialize(places.withColumn("digest", F.unhex(F.sha2("content", 256))), "chunk-places")
     gone = materialize(repeated_chunks(places, kind, min_words), "gone-chunks")
     spans = gone.select("id", "key", F.explode("gone").alias("x")).select("id", "key", "x.a", "x.b")
-    spans = spans.unionByName(repeated_passages(places, gone, kind)) if passages else spans
+    spans = spans.unionByName(repeated_passages(rows, places, gone, kind, known)) if passages else spans
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
     own_id, own_key, drops = unused(docs.select(*keep), "id_", "key_", "gone")

@@ -73,20 +73,20 @@ def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
     return marked
 
 
-#: Lengths of a bit map, as powers of 2: from 8 KB to 4 MB.
-LEAST_BITS, MOST_BITS = 16, 25
+#: Lengths of a bit map, as powers of 2: from 8 KB to 8 MB.
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def bit_words(hashes: DataFrame, bits: int | None = None) -> np.ndarray:
-    """A bit map over the first bits of the hashes in column h, packed into words: 16 bits a hash or more, as far as MOST_BITS goes.
+    """A bit map over the first bits of the hashes in column h, packed into words: 64 bits a hash or more, as far as MOST_BITS goes.
 
     Beyond that it fills up and passes over less, and is never wrong. ``hashes`` is read twice unless ``bits`` is given."""
-    bits = bits or min(max(LEAST_BITS, (16 * hashes.count()).bit_length()), MOST_BITS)
+    bits = bits or min(max(LEAST_BITS, (64 * hashes.count()).bit_length()), MOST_BITS)
     place = hashes.selectExpr(f"shiftrightunsigned(h, {64 - bits}) as place")
     word = place.selectExpr("cast(shiftright(place, 6) as int) as i", "shiftleft(1L, cast(pmod(place, 64) as int)) as b")
     out = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
-    for i, b in word.groupBy("i").agg(F.bit_or("b").alias("b")).collect():  # at most 2^MOST_BITS / 64 rows
-        out[i] = np.int64(b).view(np.uint64)
+    found = word.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^MOST_BITS / 64 rows of 12 bytes
+    out[np.asarray(found.column("i"))] = np.asarray(found.column("b"), np.int64).view(np.uint64)
     return out
 
 
