@@ -149,6 +149,29 @@ def without_repeats(rows):
     return out
 
 
+def plain_both(rows):
+    """Texts without the runs of repeated chunks and the repeated passages of PASSAGE words; both are looked for in the texts as they were."""
+    seen, out, left = set(), [], dict(enumerate(t for _, t in plain(rows)))
+    for n, (i, t) in enumerate(rows):
+        gone = bytearray(len(t or ""))
+        at, rest = 0, left[n] or ""
+        for c, _, _ in cut(t or ""):  # what plain has left, chunk by chunk
+            if rest.startswith(c):
+                rest = rest[len(c) :]
+            else:
+                gone[at : at + len(c)] = b"\1" * len(c)
+            at += len(c)
+        words = [m.span() for m in re.finditer("[^ \t\n\v\f\r]+", t or "")]
+        for k in range(len(words) - L.PASSAGE + 1):
+            window = tuple(t[a:b] for a, b in words[k : k + L.PASSAGE])
+            if window in seen:
+                a, b = words[k][0], words[k + L.PASSAGE][0] if k + L.PASSAGE < len(words) else words[-1][1]
+                gone[a:b] = b"\1" * (b - a)
+            seen.add(window)
+        out.append((i, t if t is None else "".join(x for x, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
 def plain_words(rnd, n):
     return ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randrange(4, 9))) + rnd.choice(["", "", "", ",", "."]) for _ in range(n)]
 

@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import pytest
 from lodespark.llm import bpe, quality, simhash
 from tests.llm.test_decontamination import plain as hits
-from tests.llm.test_line_dedup import plain as without_repeats
+from tests.llm.test_line_dedup import plain_both as without_repeats
 from tests.llm.test_simhash import classes, near, plain_print
 from tokenizers import Tokenizer
 
@@ -22,7 +22,8 @@ def tables(spark, tmp_path_factory):
     for i in range(160):
         t = junk(90) if i % 5 == 0 else prose(rnd.randrange(40, 160))
         if i % 9 == 1:
-            t += "\n" + passage + "\n" + prose(30)
+            # a word of its own on either side: what agrees beyond the passage with a later occurrence than the first one may stay
+            t += f" {i}\n" + passage + f"\n{i} " + prose(30)
         if i % 11 == 2:
             t += "\n" + item + "\n" + prose(20)
         rows.append((i, t, "en", "s", len(t)))
