@@ -1,12 +1,19 @@
-"""The retrieval index as tables: chunks, postings and embeddings by batch, and one meta row.
+"""The retrieval index as tables: chunks, postings and embeddings by batch, and a meta row for each batch.
 
-A batch is written as folders of its own and counts from when the meta row names it,
-so a reader never sees half of one and a failed write leaves nothing behind that is
-read. Postings are kept, so opening an index costs nothing and searching reads only
-the postings of the queries' tokens."""
+A batch is written as folders of its own name and counts from when a meta row names
+it, so a reader never sees half of one and a failed write leaves nothing behind that
+is read. Meta rows are numbered files, each of which only one writer can put in place;
+a writer that comes second takes the next number. Within a batch chunks are numbered
+from 0, and its meta row says where it starts, so writers need not wait for each
+other. Postings are kept, so opening an index costs nothing, and sorted by token, so
+a search by few tokens passes over the row groups that have none of them."""
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +27,20 @@ from ..operators.sizes import small
 from ..workspace import exists
 
 BUCKETS = 4096
-META = "embedder string, dim int, n bigint, batches int"
+META = "embedder string, dim int, n bigint, version int, batch string, start bigint, token string"
+#: Tokens of the queries up to which a search filters the postings by their values.
+FEW_TOKENS = 1000
+_claiming = threading.Lock()  # local file systems replace a file silently; others refuse by themselves
 
 
-def numbered(chunks: DataFrame, first: int = 0) -> DataFrame:
-    """``chunks`` with ord, counting from ``first`` by bucket, document and chunk.
+def numbered(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ord, counting from 0 by bucket, document and chunk.
 
     Numbers are dense without any task seeing all rows: each of BUCKETS buckets counts
     its own, and starts where the buckets before it end."""
     rows = chunks.withColumn("__b", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     starts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))  # BUCKETS rows at most
-    starts = starts.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n") + F.lit(first)).alias("__s"))
+    starts = starts.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__s"))
     own = F.row_number().over(Window.partitionBy("__b").orderBy("doc_id", "chunk_id", "text"))
     return rows.withColumn("__n", own).join(F.broadcast(starts), "__b").withColumn("ord", (F.col("__s") + F.col("__n") - 1).cast("bigint")).drop("__b", "__s", "__n")
 
@@ -53,15 +63,28 @@ class Index:
         wrong = F.raise_error(F.format_string(f"embedder {self.embedder} gave %d numbers, not {self.dim}", F.size("embedding"))).cast("array<float>")
         return made.withColumn("embedding", F.when(F.size("embedding") == self.dim, F.col("embedding")).otherwise(wrong))
 
-    def meta(self) -> dict:
+    def batches(self) -> list[dict]:
+        """The meta rows in order."""
         if not exists(self.spark, f"{self.path}/meta"):
-            return {"embedder": self.embedder, "dim": self.dim, "n": 0, "batches": 0}
-        return self.spark.read.schema(META).json(f"{self.path}/meta").orderBy(F.desc("batches")).first().asDict()
+            return []
+        rows = self.spark.read.schema(META).option("pathGlobFilter", "*.json").json(f"{self.path}/meta").orderBy("version").collect()
+        return [r.asDict() for r in rows]
+
+    def meta(self) -> dict:
+        """embedder, dim, number of chunks n and of batches."""
+        rows = self.batches()
+        last = rows[-1] if rows else {"embedder": self.embedder, "dim": self.dim, "n": 0}
+        return {"embedder": last["embedder"], "dim": last["dim"], "n": last["n"], "batches": len(rows)}
 
     def table(self, name: str, kind: str) -> DataFrame:
-        batches = self.meta()["batches"]
-        paths = [f"{self.path}/{name}/batch={i}" for i in range(batches)]
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        """A table over all batches, with ord counted over all of them."""
+        rows = self.batches()
+        if not rows:
+            return self.spark.createDataFrame([], kind)
+        paths = [f"{self.path}/{name}/batch={r['batch']}" for r in rows]
+        read = self.spark.read.schema(f"{kind}, batch string").option("basePath", f"{self.path}/{name}").parquet(*paths)
+        starts = self.spark.createDataFrame([(r["batch"], r["start"]) for r in rows], "batch string, start bigint")  # one row a batch
+        return read.join(F.broadcast(starts), "batch").withColumn("ord", F.col("ord") + F.col("start")).drop("batch", "start")
 
     def chunks(self) -> DataFrame:
         return self.table("chunks", "ord bigint, doc_id string, chunk_id int, section string, text string, key string, dl int")
@@ -72,27 +95,53 @@ class Index:
     def embeddings(self) -> DataFrame:
         return self.table("embeddings", "ord bigint, embedding array<float>")
 
-    def add(self, docs: DataFrame) -> int:
-        """Index documents (doc_id, text); the number of their chunks. A document that comes again is there twice."""
-        now = self.meta()
-        batch = now["batches"]
-        made = numbered(C.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), self.size, self.overlap), now["n"])
+    def claim(self, batch: str, n: int, token: str | None) -> bool:
+        """Put a batch's meta row in place after all others; False if there is one of that token already."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        place = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta/{name}")
+        files = place("x").getFileSystem(conf)
+        while True:
+            with _claiming:
+                rows = self.batches()
+                if token is not None and any(r["token"] == token for r in rows):
+                    return False
+                before = rows[-1] if rows else {"version": -1, "n": 0}
+                row = {"embedder": self.embedder, "dim": self.dim, "n": before["n"] + n, "version": before["version"] + 1, "batch": batch, "start": before["n"], "token": token}
+                out = files.create(place(f"_{batch}"), True)
+                out.write(json.dumps(row).encode())
+                out.close()
+                target = place(f"{row['version']:08d}.json")
+                if not files.exists(target) and files.rename(place(f"_{batch}"), target):
+                    return True
+
+    def add(self, docs: DataFrame, token: str | None = None) -> int:
+        """Index documents (doc_id, text); the number of their chunks. A document that comes again is there twice.
+
+        ``token``: names this batch; a batch of a token that the index has already is not added again."""
+        if token is not None and any(r["token"] == token for r in self.batches()):
+            return 0
+        batch = uuid.uuid4().hex
+        made = numbered(C.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), self.size, self.overlap))
         made = made.withColumn("key", C.chunk_key(F.col("doc_id"), F.col("chunk_id"))).withColumn("dl", F.size(self.tokens(F.col("text"))))
-        made.select("ord", "doc_id", "chunk_id", "section", "text", "key", "dl").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={batch}")
+        made.select("ord", "doc_id", "chunk_id", "section", "text", "key", "dl").write.parquet(f"{self.path}/chunks/batch={batch}")
         own = self.spark.read.parquet(f"{self.path}/chunks/batch={batch}")
         n = own.count()
         if not n:
             return 0
         posts = lexical.postings(lexical.tokenized(own, tokens=self.tokens))
-        posts.select("tok", "ord", "dl", "tf").repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
-        self.embed(own.select("ord", "text")).select("ord", "embedding").write.mode("overwrite").parquet(f"{self.path}/embeddings/batch={batch}")
-        row = [(self.embedder, self.dim, now["n"] + n, batch + 1)]
-        self.spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{self.path}/meta")
-        return n
+        posts.select("tok", "ord", "dl", "tf").repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(f"{self.path}/postings/batch={batch}")
+        self.embed(own.select("ord", "text")).select("ord", "embedding").write.parquet(f"{self.path}/embeddings/batch={batch}")
+        return n if self.claim(batch, n, token) else 0
+
+    def wanted_postings(self, asked: DataFrame) -> DataFrame:
+        """The postings of the queries' tokens; of few tokens by a filter that reaches the files, of many by a join."""
+        vocabulary = asked.select("tok").distinct()
+        some = [r.tok for r in vocabulary.limit(FEW_TOKENS + 1).collect()]
+        return self.postings().where(F.col("tok").isin(some)) if len(some) <= FEW_TOKENS else self.postings().join(small(vocabulary), "tok", "left_semi")
 
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
         asked = lexical.query_terms(queries, tokens=self.tokens)
-        posts = self.postings().join(small(asked.select("tok").distinct()), "tok", "left_semi")  # sorted by tok, so row groups without them are skipped
+        posts = self.wanted_postings(asked)
         stats = self.chunks().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
         return lexical.ranked(lexical.scores(asked, posts, stats).where("score > 0"), k)
 

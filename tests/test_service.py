@@ -2,13 +2,14 @@
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodespark import cli, schemas
 from lodespark.functions import registry
-from lodespark.operators import prompt, serving, validate
+from lodespark.operators import lexical, prompt, serving, validate
 from lodespark.plans.engine import Engine
 from lodespark.settings import Settings, load
 from lodespark.sources import chat, files
@@ -57,6 +58,7 @@ def test_a_batch_without_meta_is_not_read(spark, tmp_path):
     one = Index(spark, str(tmp_path / "i"))
     one.add(spark.createDataFrame([("a", "text one")], "doc_id string, text string"))
     os.makedirs(tmp_path / "i/chunks/batch=1")
+    (tmp_path / "i/meta/_1").write_text("half of a r")
     assert one.chunks().count() == 1 and one.add(spark.createDataFrame([("b", "text two")], "doc_id string, text string")) == 1 and one.chunks().count() == 2
 
 
@@ -72,6 +74,35 @@ def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
         assert one.meta()["n"] == n
 
 
+def test_writers_at_once_keep_all(spark, tmp_path):
+    """Four writers of two batches of three documents: no error, 24 chunks, each numbered once and found by its own words."""
+    one = Index(spark, str(tmp_path / "i"))
+
+    def write(w: int) -> None:
+        for b in range(2):
+            one.add(spark.createDataFrame([(f"w{w}b{b}d{d}", f"word{w}x{b}x{d} text") for d in range(3)], "doc_id string, text string"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    found = one.chunks().collect()
+    assert sorted(r.ord for r in found) == list(range(24)) and len({r.doc_id for r in found}) == 24 and one.meta() == {"embedder": "hash", "dim": 512, "n": 24, "batches": 8}
+    out = one.search(asked(spark, "word3x1x2", "word0x0x1"), 1, "bm25").collect()
+    assert {r.qid: r.doc_id for r in out} == {0: "w3b1d2", 1: "w0b0d1"}
+
+
+def test_a_batch_of_the_stream_run_again_is_not_added(spark, tmp_path):
+    one = Index(spark, str(tmp_path / "i"))
+    docs = spark.createDataFrame([("a", "text one")], "doc_id string, text string")
+    assert [one.add(docs, "s#0"), one.add(docs, "s#0"), one.add(docs, "s#1")] == [1, 0, 1] and one.meta()["n"] == 2
+
+
+def test_a_search_by_few_words_filters_the_postings(spark, tmp_path):
+    one = Index(spark, str(tmp_path / "i"))
+    one.add(spark.createDataFrame([("a", "alpha beta gamma")], "doc_id string, text string"))
+    plan = one.wanted_postings(lexical.query_terms(asked(spark, "beta")))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tok,beta)" in plan or "In(tok" in plan
+
+
 def test_failed_stream_has_an_error_and_no_done(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["k"], None), (2, ["a"], ["k"], "lost")], "req_id bigint, deltas array<string>, sources array<string>, error string")
     out = prompt.events(rows)
