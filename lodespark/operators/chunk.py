@@ -37,20 +37,22 @@ def packed(sentences: list[str], budget: int, overlap: int) -> list[str]:
     budget stands alone, cut into pieces."""
     bodies: list[str] = []
     open_: list[str] = []
+    length = 0  # of the open sentences, each with a space
     for s in sentences:
         need = len(s) + 1
         if len(s) > budget:
             bodies += [" ".join(open_), *(s[i : i + budget] for i in range(0, len(s), budget))]
-            open_ = []
+            open_, length = [], 0
             continue
-        if open_ and sum(len(x) + 1 for x in open_) + need > budget:
+        if open_ and length + need > budget:
             bodies.append(" ".join(open_))
             room, start = overlap, len(open_)
             while start and room >= len(open_[start - 1]) + 1:
                 start -= 1
                 room -= len(open_[start]) + 1
-            open_ = open_[start:] if overlap - room + need <= budget else []
+            open_, length = (open_[start:], overlap - room) if overlap - room + need <= budget else ([], 0)
         open_.append(s)
+        length += need
     bodies.append(" ".join(open_))
     return [b for b in (b.strip() for b in bodies) if b]
 

@@ -1,8 +1,8 @@
 """Dense search: hashed trigram vectors or given ones, brute force over blocks.
 
 Queries are a bounded matrix sent to all tasks; each task multiplies it with blocks
-of its documents and gives up only the best k of each block, so what is shuffled
-does not grow with the product of documents and queries."""
+of its documents, keeps the best k of each query and gives those up at its end, so
+what is shuffled is k rows a query and task, however many documents there are."""
 
 from __future__ import annotations
 
@@ -26,14 +26,28 @@ def bucket_counts(docs: DataFrame, id_col: str, text_col: str = "text", dim: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                c = V.counts(batch.column("text")[i].as_py(), dim)
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(len(at), i))), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["id", "bucket", "n"])
+            made = [V.counts(t.as_py(), dim) for t in batch.column("text")]
+            at = [np.flatnonzero(c) for c in made]
+            of = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]), pa.int64())
+            flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+            n = np.concatenate([c[x] for c, x in zip(made, at, strict=True)]) if at else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(flat, pa.int32()), pa.array(n, pa.int64())], ["id", "bucket", "n"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, bucket int, n bigint").withColumnRenamed("id", id_col)
 
 
+def norms(docs: DataFrame, id_col: str, text_col: str = "text", dim: int = V.DIM) -> DataFrame:
+    """(id, norm2): the squared length of each text's bucket counts, 0 for an empty text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = (V.counts(t.as_py(), dim) for t in batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([int((c * c).sum()) for c in made], pa.int64())], ["id", "norm2"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, norm2 bigint").withColumnRenamed("id", id_col)
+
+
 def embed(docs: DataFrame, text_col: str = "text", dim: int = V.DIM, out: str = "embedding") -> DataFrame:
     """``docs`` with the vector of unit length of each text; that of an empty text is zero."""
     keep = [c for c in docs.columns if c != out]
@@ -58,17 +72,18 @@ def _best(docs: DataFrame, column: str, queries: list[tuple[int, np.ndarray]], k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, asked, norms = sent.value
+        top, at = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.slice(at, ROWS)
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
                 ords = np.asarray(part.column("ord"), np.int64)
-                order = np.argsort(ords, kind="stable")
-                block = np.stack([vector(x.as_py()) for x in part.column("x")]).astype(np.float64)[order]
-                ords = ords[order]
+                block = np.stack([vector(x.as_py()) for x in part.column("x")]).astype(np.float64)
                 own = np.sqrt((block * block).sum(axis=1))
                 sims = (asked @ block.T) / (norms[:, None] * np.where(own == 0, 1.0, own)[None, :]) if whole else asked @ block.T
-                best = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ords[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel())], ["qid", "ord", "score"])
+                top, at = np.concatenate([top, sims], axis=1), np.concatenate([at, np.broadcast_to(ords, sims.shape)], axis=1)
+                best = np.lexsort((at, -np.round(top, 9)), axis=1)[:, :k]
+                top, at = np.take_along_axis(top, best, 1), np.take_along_axis(at, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(at.ravel()), pa.array(top.ravel())], ["qid", "ord", "score"])
 
     return docs.select("ord", F.col(column).alias("x")).mapInArrow(run, "qid bigint, ord bigint, score double")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fuse
+
 CUTS, MRR_DEPTH = (1, 3, 5), 10
 
 
@@ -21,6 +25,12 @@ def metrics(hits: DataFrame, cuts: tuple[int, ...] = CUTS, depth: int = MRR_DEPT
     return hits.agg(F.count(F.lit(1)).alias("n_cases"), *[rate(F.col("rank") <= k).alias(f"hit_{k}") for k in cuts], F.avg(F.coalesce(inside, F.lit(0.0))).alias("mrr"))
 
 
+def by_mode(corpus: DataFrame, queries: DataFrame, cases: DataFrame, modes: tuple[str, ...] = ("hybrid", "dense", "bm25")) -> DataFrame:
+    """A row for each search mode with all metrics. corpus (ord, text), queries (qid, text), cases (qid, gold)."""
+    rows = [metrics(first_hits(cases, fuse.with_payload(fuse.search(corpus, queries, MRR_DEPTH, m, with_ranks=False), corpus))).select(F.lit(m).alias("mode"), "*") for m in modes]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def table(rows: list[dict], columns: list[str]) -> str:
     """A markdown table of a few result rows; - for what is missing."""
     cell = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)

@@ -117,8 +117,7 @@ def hash_bucket_tf(spark, sf_dir):
 
 @query(f"with {HASHED} select id as doc_id, cast(norm2 as bigint) as norm2, round(sqrt(cast(norm2 as double)), 9) as norm from no where side = 'd'")
 def hash_norm(spark, sf_dir):
-    counts = dense.bucket_counts(corpus(spark, sf_dir), "ord")
-    return counts.groupBy(F.col("ord").alias("doc_id")).agg(F.sum(F.col("n") * F.col("n")).alias("norm2")).withColumn("norm", F.round(F.sqrt("norm2"), 9))
+    return dense.norms(corpus(spark, sf_dir), "ord").withColumnRenamed("ord", "doc_id").where("norm2 > 0").withColumn("norm", F.round(F.sqrt("norm2"), 9))
 
 
 @query(f"with {DENSE} select qid, ord, score, rank from de where rank <= 20")
@@ -173,6 +172,26 @@ def retrieval_eval(spark, sf_dir):
     return out.select("n_cases", *[F.round(c, 9).alias(c) for c in out.columns if c != "n_cases"])
 
 
+RATES = "count(*) as n_cases, " + ", ".join(f"round(avg(case when r <= {k} then 1.0 else 0 end), 9) as hit_{k}" for k in evaluate.CUTS) + f", round(avg(coalesce(case when r <= {evaluate.MRR_DEPTH} then 1.0::double / r end, 0)), 9) as mrr"
+HEAD = "array_to_string(string_split(text, ' ')[1:8], ' ')"
+
+
+@query(f"""with {LEXICAL.replace("from benchmark)", f"from (select item_id, {HEAD} as text from benchmark))")}, {DENSE.replace("select 'q', item_id, lower(coalesce(text, '')) from benchmark", f"select 'q', item_id, lower({HEAD}) from benchmark")},
+fu as (select qid, ord, sum(1.0::double / (60 + rank)) as score, max(rank) filter (ranker = 'dense') as dense_rank, max(rank) filter (ranker = 'bm25') as bm25_rank
+  from (select qid, ord, rank, 'dense' as ranker from de where rank <= {4 * evaluate.MRR_DEPTH} union all select qid, ord, rank, 'bm25' from bm where rank <= {4 * evaluate.MRR_DEPTH}) group by qid, ord),
+al as (select 'hybrid' as mode, qid, ord, row_number() over (partition by qid order by round(score, 12) desc, dense_rank nulls last, bm25_rank nulls last) as rank from fu
+  union all select 'dense', qid, ord, rank from de union all select 'bm25', qid, ord, rank from bm),
+hi as (select m.mode, b.item_id, min(case when contains(d.text, b.text) then al.rank end) as r from benchmark b cross join (values ('hybrid'), ('dense'), ('bm25')) m(mode)
+  left join al on al.mode = m.mode and al.qid = b.item_id and al.rank <= {evaluate.MRR_DEPTH} left join documents d on d.doc_id = al.ord group by m.mode, b.item_id)
+select mode, {RATES} from hi group by mode""")
+def retrieval_modes(spark, sf_dir):
+    """All metrics of all modes; a case is the first words of a passage, its gold text the passage."""
+    docs, cases = corpus(spark, sf_dir), asked(spark, sf_dir)
+    asked_words = cases.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
+    out = evaluate.by_mode(docs, asked_words, cases.select("qid", F.col("text").alias("gold")))
+    return out.select("mode", "n_cases", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("mode", "n_cases")])
+
+
 # chunks
 
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?…。])\s+', '\1' || chr(31), 'g'), '\n', chr(31), 'g'), chr(31)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
@@ -292,11 +311,15 @@ def qa_reject_tally(spark, sf_dir):
     return sft.reject_tally(_pairs(spark, sf_dir))
 
 
-@query("select event_id, 1::bigint as n_objects, cast(json(props) as varchar) = cast(json(props) as varchar) as same from events")
+@query("""with n as (select event_id, json('[3, ' || props || ', null, [1], {"event": ' || event_id || '}]') as j from events),
+x as (select event_id, unnest(from_json(j, '["JSON"]')) as o from n)
+select event_id, count(*) as n_objects, cast(sum(cast(o->>'$.k' as bigint)) as bigint) as k, cast(sum(cast(o->>'$.event' as bigint)) as bigint) as event from x where json_type(o) = 'OBJECT' group by event_id""")
 def json_array_extract(spark, sf_dir):
-    noisy = F.concat(F.lit("Sure: ```json\n[3, "), "props", F.lit(", null]``` done."))
-    rows = read(spark, sf_dir, "events").select("event_id", "props", wire.json_objects(noisy).alias("o"))
-    return rows.select("event_id", F.size("o").cast("bigint").alias("n_objects"), F.to_json(F.parse_json("props")).eqNullSafe(F.col("o")[0]).alias("same"))
+    """Objects of the array within a noisy reply; numbers, null and a nested list are left out."""
+    noisy = F.concat(F.lit("Sure: ```json\n[3, "), "props", F.lit(', null, [1], {"event": '), "event_id", F.lit("}]``` done."))
+    rows = read(spark, sf_dir, "events").select("event_id", wire.json_objects(noisy).alias("o"))
+    field = lambda name: F.aggregate("o", F.lit(0).cast("bigint"), lambda t, x: t + F.coalesce(F.get_json_object(x, f"$.{name}").cast("bigint"), F.lit(0))).alias(name)
+    return rows.select("event_id", F.size("o").cast("bigint").alias("n_objects"), field("k"), field("event"))
 
 
 def _samples(spark, sf_dir) -> DataFrame:
@@ -381,12 +404,15 @@ def stream_measured(spark, sf_dir):
 
 
 @query("""with w as (select conv_id * 1000 + turn as req_id, turn % 5 = 4 as bad, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') as d from conversations)
-select req_id, len(d) + 2 as n_events, case when bad then 'error' else 'done' end as last_event, true as ok from w""")
+select req_id, len(d) + 2 as n_events, case when bad then 'error' else 'done' end as last_event, sha256('sources' || repeat(',token', cast(len(d) as int)) || case when bad then ',error' else ',done' end) as events_sha256 from w""")
 def sse_events(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "").alias("deltas"), F.array(F.struct(F.lit("k").alias("key"), F.lit(None).cast("int").alias("dense_rank"))).alias("sources"), F.when(F.col("turn") % 5 == 4, F.lit("lost")).alias("error"))
-    rows = prompt.events(rows)
-    last = rows.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event", "seq").alias("last_event"))
-    return last.join(prompt.well_formed(rows), "req_id")
+    """The events of each answer in order: sources, a token for each word, and an error or the end."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    sources = F.array(F.struct(F.lit("k").alias("key"), F.lit(None).cast("int").alias("dense_rank")))
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), words.alias("deltas"), sources.alias("sources"), F.when(F.col("turn") % 5 == 4, F.lit("lost")).alias("error"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "event"))), lambda x: x["event"])
+    out = prompt.events(rows).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event", "seq").alias("last_event"), order.alias("events"))
+    return out.select("req_id", "n_events", "last_event", sha(F.array_join("events", ",")).alias("events_sha256"))
 
 
 @query("select conv_id, turn, 2::bigint as n_deltas, sha256(text || '!') as text_sha256 from conversations where text <> ''")
