@@ -2,7 +2,8 @@
 
 A record's nested field paths, sorted and hashed, are its fingerprint. A table from
 fingerprints to declarative mappings, built from the layouts below, says where its
-turns are; no layout is guessed from values. Canonical turns are then written in a
+turns are; no layout is guessed from values. Paths declared as optional, of fields
+that say nothing about turns, are left out before a mapping is looked up. Canonical turns are then written in a
 template with marked turns, control strings in texts being escaped reversibly, and
 a loss mask of the assistants' texts."""
 
@@ -12,6 +13,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import pyarrow as pa
@@ -46,37 +49,65 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-def mappings() -> dict[str, tuple]:
-    """fingerprint -> ("list", name, role, text, roles) or ("fields", ((field, role), ...))."""
-    out: dict[str, tuple] = {}
-    for name, role, text, roles in LISTS:
-        out[fingerprint({f"{name}[].{role}", f"{name}[].{text}"})] = ("list", name, role, text, roles)
-        out[fingerprint({f"{name}[]"})] = ("list", name, role, text, roles)
-    for fields, optional in FIELDS:
-        for n in range(len(optional) + 1):
-            for gone in combinations(sorted(optional), n):
-                some = tuple(f for f in fields if f[0] not in gone)
-                out[fingerprint({f for f, _ in some})] = ("fields", some)
-    return out
+#: Fields that may be there anywhere, with all below them: they don't decide the layout.
+OPTIONAL = frozenset({"id", "name", "weight", "type", "timestamp", "created", "metadata", "meta", "source", "lang", "model", "title"})
 
 
-MAPPINGS = mappings()
+@dataclass(frozen=True)
+class Mappings:
+    """Declared layouts: lists of turns, records of named texts, and fields that may be there besides.
 
+    lists: (list, role, text, names of roles); a turn's text is a string or a list of parts with
+    a text each. fields: ((field, role) in order, the fields that may be missing)."""
 
-def canonical(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """(fingerprint, turns) of a JSON record; turns are None where no mapping has its fingerprint, both where it isn't JSON."""
+    lists: tuple = tuple(LISTS)
+    fields: tuple = tuple(FIELDS)
+    optional: frozenset = OPTIONAL
+
+    @cached_property
+    def table(self) -> dict[str, tuple]:
+        """fingerprint -> ("list", name, role, text, roles) or ("fields", ((field, role), ...))."""
+        out: dict[str, tuple] = {}
+        for name, role, text, roles in self.lists:
+            whole, parts = f"{name}[].{text}", {f"{name}[].{text}[].text", f"{name}[].{text}[]"}
+            texts = [{whole}, *({*some, *more} for more in ((), (whole,)) for n in (1, 2) for some in combinations(sorted(parts), n)), set()]
+            for some in texts:
+                out[fingerprint({f"{name}[].{role}", *some} if some else {f"{name}[]"})] = ("list", name, role, text, roles)
+        for fields, optional in self.fields:
+            for n in range(len(optional) + 1):
+                for gone in combinations(sorted(optional), n):
+                    some = tuple(f for f in fields if f[0] not in gone)
+                    out[fingerprint({f for f, _ in some})] = ("fields", some)
+        return out
+
+    def find(self, found: set[str]) -> tuple | None:
+        """The mapping of a record's paths without the optional ones."""
+        return self.table.get(fingerprint({p for p in found if not self.optional & set(p.replace("[]", "").split("."))}))
+
+
+DEFAULT = Mappings()
+
+
+def said(value) -> str:
+    """A turn's text: a string, parts put together, or what else there is as JSON."""
+    if isinstance(value, list) and all(isinstance(p, dict) for p in value):
+        return "".join(said(p.get("text")) for p in value)
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def canonical(record: str | None, mappings: Mappings = DEFAULT) -> tuple[str | None, list[tuple[str, str]] | None]:
+    """(fingerprint of all paths, turns) of a JSON record; turns are None where no mapping fits, both where it isn't JSON."""
     try:
         value = json.loads(record or "")
     except ValueError:
         return None, None
-    key = fingerprint(paths(value))
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    match MAPPINGS.get(key):
-        case ("list", name, role, content, roles) if isinstance(value, dict):
-            return key, [(roles.get(text(t[role]), text(t[role])), text(t[content])) for t in value[name]]
-        case ("fields", fields) if isinstance(value, dict):
-            return key, [(role, text(value[field])) for field, role in fields]
-    return key, None
+    found = paths(value)
+    match mappings.find(found) if isinstance(value, dict) else None:
+        case ("list", name, role, content, roles) if all(role in t and content in t for t in value[name]):
+            return fingerprint(found), [(roles.get(said(t[role]), said(t[role])), said(t[content])) for t in value[name]]
+        case ("fields", fields):
+            return fingerprint(found), [(role, said(value[field])) for field, role in fields]
+    return fingerprint(found), None
 
 
 def escape(text: str) -> str:
@@ -122,9 +153,11 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
-def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
+def format_records(records: DataFrame, record_col: str = "record", mappings: Mappings = DEFAULT) -> DataFrame:
     """``records`` with columns schema_fingerprint, turns, formatted and loss_spans.
 
+    ``mappings``: the layouts that are known.
+
     Records of unknown layout keep their fingerprint and get null turns, text and
     spans; null and broken JSON gets a null fingerprint too. A record without turns
     becomes an empty text. All other columns stay, but those four are replaced."""
@@ -135,7 +168,7 @@ def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
         for batch in batches:
             keys, turns, texts, spans = [], [], [], []
             for r in batch.column(record_col):
-                key, found = canonical(r.as_py())
+                key, found = canonical(r.as_py(), mappings)
                 text, mask = formatted(found) if found is not None else (None, None)
                 keys.append(key)
                 turns.append(None if found is None else [{"role": a, "text": b} for a, b in found])
@@ -187,13 +220,13 @@ def digests(parts: DataFrame) -> DataFrame:
                     if state is not None:
                         yield done()
                     of, state = i, [i, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in read_back(text):
+                for role, own in read_back(text):
                     state[1] += 1
-                    state[2].update(f"{role}\n{said}\n".encode())
+                    state[2].update(f"{role}\n{own}\n".encode())
                 for s in spans:
-                    said = unescape(text[s["a"] : s["b"]])
-                    state[3] += len(said)
-                    state[4].update(said.encode())
+                    own = unescape(text[s["a"] : s["b"]])
+                    state[3] += len(own)
+                    state[4].update(own.encode())
                 state[5] += len(text)
         if state is not None:
             yield done()

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Labelled documents used, for each label, for the dictionaries and for the curve, and bytes taken of each.
-SAMPLE, SAMPLE_BYTES = 1200, 6_000
+#: Labelled documents used at most, for each label, for the dictionaries and for the curve; each is taken whole.
+SAMPLE = 1200
 BLOCK, DICT_BYTES, LEVEL = 1024, 110_000, 3
 #: Added to the length that the difference is divided by: a few bytes decide little about a short text.
 SMOOTH = 200
@@ -66,26 +66,26 @@ def fold(id_col: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, bytes_each: int) -> list[tuple[int, int, str]]:
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple[int, int, str]]:
     """(label, part, text) of at most ``most`` labelled documents per label, spread by a hash of their id.
 
-    The ids are chosen first, so what meets the documents is at most 2 * most rows,
-    and a long document gives a run from its middle."""
+    The ids are chosen first, so what meets the documents is at most 2 * most rows. Of
+    rows that share an id the one with the smallest text counts."""
     known = labels.where(f"{label_col} in (0, 1) and {id_col} is not null").groupBy(id_col).agg(F.max(label_col).alias("label"), F.min(label_col).alias("least")).where("label = least")
     known = known.where(fold(F.col(id_col)) != 0)
     picked = [known.where(F.col("label") == v).select(F.col(id_col).alias("__id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most) for v in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    start = F.greatest(F.lit(1), ((F.length("t") - bytes_each) / 2).cast("int"))
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(chosen, "__id")
-    rows = found.select("label", F.pmod(F.xxhash64("__id"), F.lit(2)).cast("int").alias("part"), F.substring("t", start, F.lit(bytes_each)).alias("text"), "__id").orderBy("__id", "text").limit(4 * most).collect()
+    found = found.groupBy("__id", "label").agg(F.min("t").alias("text"))
+    rows = found.select("label", F.pmod(F.xxhash64("__id"), F.lit(2)).cast("int").alias("part"), "text", "__id").orderBy("__id").collect()  # 2 * most at most
     return [(r.label, r.part, r.text) for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE, bytes_each: int = SAMPLE_BYTES, level: int = LEVEL) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE, level: int = LEVEL) -> Model:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0: half of the sample makes the dictionaries, half the curve.
 
     With no labelled text of a kind, its dictionary is empty, and with none at all every score is one half."""
-    rows = [(v, p, t.encode()) for v, p, t in sampled(docs, labels, id_col, text_col, label_col, most, bytes_each)]
+    rows = [(v, p, t.encode()) for v, p, t in sampled(docs, labels, id_col, text_col, label_col, most)]
     made = [dictionary([t for v, p, t in rows if v == want and p == 0]) for want in (1, 0)]
     good, bad = compressors(*made, level)
     held = [(*sizes(t, good, bad), v) for v, p, t in rows if p == 1 and t]

@@ -18,6 +18,25 @@ def test_layouts_become_the_same_turns():
     assert C.canonical('{"messages": []}')[1] == [] and C.canonical('{"prompt": "q", "response": null}')[1] == [("user", "q"), ("assistant", "")]
 
 
+def test_optional_fields_and_parts_of_content():
+    want = [("user", "q"), ("assistant", "a b")]
+    records = [
+        {"id": 7, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a b", "weight": 1}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a b"}], "metadata": {"a": {"b": [1]}}},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a "}, {"type": "text", "text": "b"}]}]},
+        {"id": "r1", "instruction": "q", "output": "a b", "source": "s"},
+    ]
+    assert [C.canonical(json.dumps(r))[1] for r in records] == [want] * 4 and len({C.canonical(json.dumps(r))[0] for r in records}) == 4
+    assert C.canonical(json.dumps({"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}]}]}))[1] is None
+    assert C.canonical(json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "user"}]}))[1] is None
+
+
+def test_mappings_are_a_parameter(spark):
+    own = C.Mappings(lists=(("log", "who", "what", {"me": "user"}),), fields=())
+    docs = spark.createDataFrame([('{"log": [{"who": "me", "what": "hi"}]}',), ('{"messages": [{"role": "user", "content": "q"}]}',)], "record string")
+    assert [r.turns and [tuple(t) for t in r.turns] for r in C.format_records(docs, mappings=own).collect()] == [[("user", "hi")], None]
+
+
 def test_unknown_layouts_are_told():
     assert C.canonical('{"foo": {"bar": [1]}}')[1] is None and C.canonical('{"foo": {"bar": [1]}}')[0]
     assert C.canonical("{broken") == C.canonical(None) == (None, None)
