@@ -405,7 +405,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = docs.select(*(f"`{c}`" for c in keep)).join(found, keyed, "left").drop(own_id, own_key)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, text_col)):
             lists, text = batch.column(drops), batch.column(text_col)
             counts, chars, new = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), {}
             for i in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
