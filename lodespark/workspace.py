@@ -32,18 +32,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
+#: Whether Spark removes the shuffle files of a statement at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of tables made by :func:`materialize` within :func:`temporary_tables`, innermost last.
 _open: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
-    a lost executor costs only a reread."""
-    path = f"{shared_dir(df.sparkSession)}/lodespark/{name}-{uuid.uuid4().hex}"
+    a lost executor costs only a reread. The shuffle files of the write are removed once
+    it is done, as nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodespark/{name}-{uuid.uuid4().hex}"
     for tables in _open[-1:]:
         tables.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
