@@ -21,6 +21,13 @@ class Engine:
     def ingest_text(self, text: str, doc_id: str) -> int:
         return self.ingest(self.spark.createDataFrame([(doc_id, text)], "doc_id string, text string"))
 
+    def ingest_document(self, text: str, doc_id: str) -> int:
+        """As ingest_text, but a document without chunks is an error."""
+        n = self.ingest_text(text, doc_id)
+        if not n:
+            raise ValueError(f"{doc_id} has no text to index")
+        return n
+
     def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "hybrid") -> DataFrame:
         return self.index.search(queries, top_k or self.conf.top_k, mode, self.conf.rrf_k)
 

@@ -218,13 +218,33 @@ def section_split(spark, sf_dir):
     return C.split_sections(markdown(spark, sf_dir))
 
 
-@query()
+def packing(size: int, overlap: int) -> str:
+    """SQL for the chunks of the sections so (doc, sec, title, s: sentences), as the table ck (doc, chunk_id, section, text).
+
+    fe: the last sentence of a body that begins with sentence i, i - 1 where that one is
+    over the budget; ov: the first of the sentences before e that fit in the overlap;
+    nx: where the body after the one from i begins; wk: the beginnings that are reached."""
+    return f"""se as (select doc, sec, title, case when title = '' then '' else '[' || title || '] ' end as prefix, unnest(s) as t, unnest(range(1, len(s) + 1)) as i from so),
+sb as (select *, greatest({size} - length(prefix), {C.LEAST_BODY}) as b, length(t) + 1 as need, sum(length(t) + 1) over (partition by doc, sec order by i) as cum, max(i) over (partition by doc, sec) as last from se),
+sl as (select *, min(case when length(t) > b then i end) over (partition by doc, sec order by i rows between current row and unbounded following) as nl from sb),
+fe as (select x.doc, x.sec, x.i, least(coalesce(any_value(x.nl), any_value(x.last) + 1) - 1, max(y.i)) as e from sl x join sl y on y.doc = x.doc and y.sec = x.sec and y.i >= x.i and (y.i = x.i or y.cum - x.cum + x.need <= x.b) group by x.doc, x.sec, x.i),
+ov as (select x.doc, x.sec, x.i as e, min(y.i) as t, max(x.cum - y.cum + y.need) as w from sl x join sl y on y.doc = x.doc and y.sec = x.sec and y.i <= x.i and x.cum - y.cum + y.need <= {overlap} group by x.doc, x.sec, x.i),
+nx as (select f.doc, f.sec, f.i, f.e, n.i is not null and length(n.t) > n.b as cut, case when n.i is null then null when length(n.t) > n.b then f.e + 2 when ov.t is null or ov.w + n.need > n.b then f.e + 1 else ov.t end as next
+  from fe f left join sl n on n.doc = f.doc and n.sec = f.sec and n.i = f.e + 1 left join ov on ov.doc = f.doc and ov.sec = f.sec and ov.e = f.e),
+wk as (select doc, sec, i, e, cut, next from nx where i = 1 union all select nx.doc, nx.sec, nx.i, nx.e, nx.cut, nx.next from wk join nx on nx.doc = wk.doc and nx.sec = wk.sec and nx.i = wk.next),
+pa as (select wk.doc, wk.sec, wk.i, 0 as p, any_value(title) as title, any_value(prefix) as prefix, string_agg(t, ' ' order by sl.i) as body from wk join sl on sl.doc = wk.doc and sl.sec = wk.sec and sl.i between wk.i and wk.e group by wk.doc, wk.sec, wk.i
+  union all select wk.doc, wk.sec, wk.i, 1 + o, title, prefix, trim(substring(t, o + 1, b), ' ' || chr(9) || chr(10)) from (select wk.doc, wk.sec, wk.i, title, prefix, t, b, unnest(range(0, length(t), b)) as o from wk join sl on sl.doc = wk.doc and sl.sec = wk.sec and sl.i = wk.e + 1 where wk.cut) wk),
+ck as (select doc, cast(row_number() over (partition by doc order by sec, i, p) - 1 as int) as chunk_id, title as section, prefix || body as text from pa where body <> '')"""
+
+
+@query(f"with recursive so as (select doc_id as doc, 0 as sec, '' as title, {SENTENCES} as s from documents), {packing(C.SIZE, C.OVERLAP)} select doc as doc_id, chunk_id, section, cast(length(text) as int) as n_chars, sha256(text) as text_sha256 from ck")
 def chunk_pack(spark, sf_dir):
     out = C.chunk(corpus(spark, sf_dir), id_col="ord")
     return out.select("doc_id", "chunk_id", "section", F.length("text").alias("n_chars"), sha(F.col("text")).alias("text_sha256"))
 
 
-@query()
+@query(f"""with recursive sc as (select conv_id, turn, role as title, {STRIPPED} as text from conversations union all select distinct conv_id, -1, '', 'An intro.' from conversations),
+so as (select conv_id as doc, turn as sec, title, {SENTENCES} as s from sc where text <> ''), {packing(200, 50)} select doc || '#' || chunk_id as key, section, cast(length(text) as int) as n_chars from ck""")
 def chunk_keys(spark, sf_dir):
     out = C.chunk(markdown(spark, sf_dir), 200, 50, id_col="conv_id")
     return out.select(C.chunk_key(F.col("doc_id"), F.col("chunk_id")).alias("key"), "section", F.length("text").alias("n_chars"))
@@ -347,6 +367,38 @@ def sft_unanswerable(spark, sf_dir):
     return sft.unanswerable(chunks, 20, order=lambda c: c).select("doc_id", "context_doc", "question")
 
 
+def _replies(spark, sf_dir) -> DataFrame:
+    """A teacher's reply for each turn: a valid pair, or one with a number that the turn lacks, and a second pair, every third time too short."""
+    turns = read(spark, sf_dir, "conversations").where("text <> ''")
+    first = F.when(F.col("conv_id") % 5 == 0, "it is 98765 [1]").otherwise("it is so [1]")
+    second = F.when(F.col("turn") % 3 == 0, "why").otherwise("what else is said")
+    reply = F.concat(F.lit('Here: [{"question": "what is it", "answer": "'), first, F.lit('"}, 7, {"question": " '), second, F.lit('", "answer": "that [1]"}] Done.'))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text", reply.alias("reply"))
+
+
+@query(f"""with un as (select d, c, text, row_number() over (order by k, d, c) - 1 < greatest(1, cast(floor(count(*) over () * 0.2::double) as bigint)) as e from (select conv_id as d, turn as c, text, (conv_id * 1000 + turn) * 7919 % 1000003 as k from conversations where text <> '')),
+ok as (select d, c, e, 'what is it' as question, text, 'it is so [1]' as answer from un where d % 5 <> 0 union all select d, c, e, 'what is it', text, 'it is 98765 [1]' from un where d % 5 = 0 and contains(text, '98765') union all select d, c, e, 'what else is said', text, 'that [1]' from un where c % 3 <> 0),
+nn as (select e, cast(floor(count(*) * 0.2::double / 0.8::double) as bigint) as want from ok group by e),
+tp as (select *, trim(substring(string_split({STRIPPED}, chr(10))[1], 1, 60), ' ') as topic from un),
+dc as (select e, d, min_by(topic, c) filter (topic <> '') as topic, min_by(text, c) as t1, max_by(text, c) as t2, min(c) as c1, max(c) as c2 from tp group by e, d),
+pl as (select dc.*, want, row_number() over (partition by e order by d * 1000 * 7919 % 1000003, d) - 1 as n from dc join nn using (e) qualify n <= want),
+mm as (select *, count(*) over (partition by e) as m, count(topic) over (partition by e) as askers from pl),
+lp as (select *, unnest(range(0, cast(ceil(want::double / askers) as bigint))) as lap from mm where m > 1 and topic is not null),
+pk as (select *, (n + 1 + lap % (m - 1)) % m as at, row_number() over (partition by e order by lap * m + n) as p from lp qualify p <= want)
+select e as is_eval, 'answerable' as kind, d as doc_id, question, sha256(text) as context_sha256, answer from ok
+union all select pk.e, 'unanswerable', pk.d, 'Tell me about ' || pk.topic || '.', sha256(case when x.c1 = x.c2 then x.t1 else x.t1 || '|' || x.t2 end), '{sft.REFUSAL}' from pk join mm x on x.e = pk.e and x.n = pk.at""")
+def sft_build(spark, sf_dir):
+    """The whole build from replies to both sets; chunks are put in an order that SQL knows too."""
+    order = lambda d, *c: F.pmod((d * 1000 + (c[0] if c else 0)) * 7919, F.lit(1000003))
+    out = sft.build(_replies(spark, sf_dir), order=order)
+    return out.select("is_eval", "kind", "doc_id", "question", sha(F.array_join("context", "|")).alias("context_sha256"), "answer")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 32 as batch from documents")
+def fixed_batches(spark, sf_dir):
+    return sft.batched(read(spark, sf_dir, "documents").select("doc_id"), 32, "doc_id")
+
+
 CODES = "list_transform(string_split(coalesce(text, ''), ''), lambda x: cast(unicode(x) as int))"
 ENCODED = f"""e as (select conv_id, turn, pr, an, case when len(pr) + len(an) > 64 then 64 else len(pr) + len(an) end as width, greatest(0, least(64, len(pr) + len(an)) - len(an)) as masked from (
   select u.conv_id, u.turn, {CODES.replace('text', 'u.text')} as pr, list_concat({CODES.replace('text', 'b.text')}, [0]) as an from conversations u join conversations b on b.conv_id = u.conv_id and b.turn = u.turn + 1 where u.role = 'user' and b.role = 'assistant' and u.text <> '' and b.text <> ''))"""

@@ -14,7 +14,7 @@ import json
 import threading
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -22,7 +22,7 @@ from ..functions import registry
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk as C
-from ..operators import dense, fuse, lexical
+from ..operators import dense, fuse, lexical, number
 from ..operators.sizes import small
 from ..workspace import exists
 
@@ -34,15 +34,8 @@ _claiming = threading.Lock()  # local file systems replace a file silently; othe
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ord, counting from 0 by bucket, document and chunk.
-
-    Numbers are dense without any task seeing all rows: each of BUCKETS buckets counts
-    its own, and starts where the buckets before it end."""
-    rows = chunks.withColumn("__b", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    starts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))  # BUCKETS rows at most
-    starts = starts.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__s"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy("doc_id", "chunk_id", "text"))
-    return rows.withColumn("__n", own).join(F.broadcast(starts), "__b").withColumn("ord", (F.col("__s") + F.col("__n") - 1).cast("bigint")).drop("__b", "__s", "__n")
+    """``chunks`` with ord, counting from 0 by one of BUCKETS buckets, document and chunk."""
+    return number.numbered(chunks, F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)), ["doc_id", "chunk_id", "text"], "ord")
 
 
 class Index:

@@ -70,6 +70,74 @@ def test_unanswerable(spark):
     assert S.unanswerable(chunks.where("doc_id = 'a'"), 4).count() == 0
 
 
+def test_unanswerable_goes_round_until_enough(spark):
+    chunks = spark.createDataFrame([(d, 0, f"Topic {d}") for d in "abc"] + [("d", 0, " ")], "doc_id string, chunk_id int, text string")
+    rows = [(r.doc_id, r.context_doc) for r in S.unanswerable(chunks, 8).collect()]
+    assert len(rows) == 8 and len(set(rows)) == 8 and all(a != b and a != "d" for a, b in rows)
+    assert S.unanswerable(chunks, 0).count() == 0 and S.unanswerable(chunks.limit(0), 3).count() == 0
+
+
+def test_build(spark, tmp_path):
+    """Against a plain count: each chunk's valid pairs in one set only, and a fifth of each set unanswerable from its own chunks."""
+    reply = '[{"question": "what is it", "answer": "it is %d [1]"}, {"question": "why", "answer": "x [1]"}, {"question": "and what now", "answer": "it is 5555 [1]"}]'
+    rows = [(f"doc{i % 10}", i, f"Topic {i}\nkeep {i}", None if i == 3 else "no array" if i == 4 else reply % i) for i in range(60)]
+    replies = spark.createDataFrame(rows, "doc_id string, chunk_id int, text string, reply string")
+    out = S.build(replies).collect()
+    good = [r for r in out if r.kind == "answerable"]
+    assert sorted(r.chunk_id for r in good) == [i for i in range(60) if i not in (3, 4)]
+    assert all(r.gold == [str(r.chunk_id)] and r.context == [f"Topic {r.chunk_id}\nkeep {r.chunk_id}"] for r in good)
+    held = {r.chunk_id for r in S.held_out(replies).collect()}
+    assert len(held) == 12 and {r.chunk_id for r in good if r.is_eval} == held - {3, 4}
+    of = {f"Topic {i}\nkeep {i}": i for i in range(60)}
+    for is_eval in (False, True):
+        n = sum(r.is_eval == is_eval for r in good)
+        none = [r for r in out if r.kind == "unanswerable" and r.is_eval == is_eval]
+        assert len(none) == S.unanswerable_count(n) and all((of[c] in held) == is_eval for r in none for c in r.context) and all(r.answer == S.REFUSAL for r in none)
+    tally = {r.reason: r.n for r in S.reject_tally(S.pairs(replies)).collect()}
+    assert tally == {"question length": 58, "number not in chunk": 58}
+    S.write_sets(S.build(replies), f"{tmp_path}/train", f"{tmp_path}/eval")
+    train, test = spark.read.json(f"{tmp_path}/train"), spark.read.json(f"{tmp_path}/eval")
+    kinds = {r.is_eval: r for r in S.by_kind(S.build(replies)).collect()}
+    assert train.count() == kinds[False].n and test.where("gold is not null").count() == kinds[True].n_answerable and "gold" not in train.columns
+
+
+def test_build_of_nothing_and_of_one(spark):
+    kind = "doc_id string, chunk_id int, text string, reply string"
+    assert S.build(spark.createDataFrame([], kind)).count() == 0
+    one = S.build(spark.createDataFrame([("a", 0, "x", '[{"question": "what is it", "answer": "so [1]"}]')], kind)).collect()
+    assert [(r.kind, r.is_eval, r.gold) for r in one] == [("answerable", True, [])]
+
+
+def test_taught_by_a_generator(spark):
+    chunks = spark.createDataFrame([("a", 0, "keep 24"), ("a", 1, None)], "doc_id string, chunk_id int, text string")
+    echo = lambda rows: rows.withColumn("answer", F.substring_index(F.col("messages")[0]["content"], "\n", -1))
+    assert [r.reply for r in S.taught(chunks, echo).orderBy("chunk_id").collect()] == ["keep 24", ""]
+
+
+def test_token_ids_and_batches(spark):
+    import numpy as np
+
+    assert all(S.token_ids(x) == [1, 2] for x in ([1, 2], [[1, 2]], {"input_ids": [1, 2]}, {"input_ids": [[1, 2]]}, np.array([1, 2]), np.array([[1, 2]]))) and S.token_ids([]) == []
+    rows = S.batched(spark.range(100).select((F.col("id") * 1000).alias("id")), 16, "id").collect()
+    assert all(r.batch == r.id // 16000 for r in rows) and S.batched(spark.range(0), 16, "id").count() == 0
+
+
+def test_results_as_json(spark, tmp_path):
+    import json
+
+    from lodespark.sources import results
+
+    chat = spark.createDataFrame([(0, [("system", "s"), ("user", "[1] a\n질문: q?"), ("assistant", "x")], None, ["a"])], "row_id bigint, messages array<struct<role:string,content:string>>, kind string, gold array<string>")
+    results.write_grades(G.graded_predictions(chat, spark.createDataFrame([(0, "a [1]")], "row_id bigint, answer string")), f"{tmp_path}/g", "base")
+    head, sample = (json.loads(spark.read.text(f"{tmp_path}/g/{x}").first()[0]) for x in ("summary", "samples"))
+    assert head["label"] == "base" and head["model"] is None and head["summary"]["cite_rate"] == 1.0 and head["summary"]["refusal_recall"] is None
+    assert sample["question"] == "q?" and sample["kind"] == "answerable" and sample["grounded"] is True
+    levels = spark.createDataFrame([(1.0, 4, None), (2.0, 1, 3)], "wall_s double, concurrency int, ttft_p50_ms int")
+    text = results.bench_result(levels, {"api_key": "sk-1", "model": "m"}, {"gpu": None}).first().value
+    made = json.loads(text)
+    assert "sk-1" not in text and made["config"] == {"model": "m"} and made["environment"] == {"gpu": None} and [r["concurrency"] for r in made["results"]] == [1, 4] and made["results"][1]["ttft_p50_ms"] is None
+
+
 def test_chat_rows(spark):
     df = spark.createDataFrame([("q?", ["x", "y"], "a [1]", "answerable", []), ("q?", ["x"], "a", "k", ["1"])], "question string, context array<string>, answer string, kind string, gold array<string>")
     a, b = S.chat_rows(df, with_gold=True).collect()

@@ -28,6 +28,8 @@ def test_engine_ingests_searches_and_asks(spark, tmp_path):
     e = Engine(spark, CONF, str(tmp_path / "i"), chat.echo)
     assert e.ask(asked(spark, "early")).first().answer == prompt.NOTHING
     assert e.ingest_text("", "empty.md") == 0 and e.ingest_text(GUIDE, "guide.md") == 3
+    with pytest.raises(ValueError, match="blank.md"):
+        e.ingest_document(" \n", "blank.md")
     best = e.search(asked(spark, "when do I vent above 30?")).orderBy("rank").first()
     assert best.key == "guide.md#1" and best.section == "Heat" and best.dense_rank and best.bm25_rank == 1
     a = e.ask(asked(spark, "vent?")).first()
