@@ -1,4 +1,4 @@
-"""ingest FILE and search QUERY from the command line."""
+"""ingest FILE, search QUERY and parse IMAGE from the command line."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from .functions import text as T
 
 
-def main(argv: list[str] | None = None, spark=None) -> int:
+def main(argv: list[str] | None = None, spark=None, generate=None) -> int:
     ap = argparse.ArgumentParser(prog="lodespark")
     sub = ap.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest")
@@ -18,10 +18,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     b.add_argument("query")
     b.add_argument("--top-k", type=int, default=None)
     b.add_argument("--mode", choices=("hybrid", "dense", "bm25"), default="hybrid")
+    c = sub.add_parser("parse")
+    c.add_argument("file")
+    c.add_argument("--out", default=None)
     for p in (a, b):
         p.add_argument("--index-dir", default=None)
     args = ap.parse_args(argv)
-    if args.command == "ingest" and not Path(args.file).is_file():
+    if args.command in ("ingest", "parse") and not Path(args.file).is_file():
         print(f"no such file: {args.file}", file=sys.stderr)
         return 1
     if spark is None:
@@ -31,11 +34,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import functions as F
 
     from .plans.engine import Engine
-    from .sources.files import text_files
-
+    from .settings import settings
+    from .sources import chat, files
+
+    if args.command == "parse":
+        row = files.parsed(files.image_files(spark, args.file), generate or chat.generator(settings(), vision=True)).first()
+        out = Path(args.out or Path(args.file).with_name(f"{Path(args.file).stem}_parsed.md"))
+        out.write_text(row.text, encoding="utf-8")
+        print(out)
+        return 0
     engine = Engine(spark, path=args.index_dir)
     if args.command == "ingest":
-        print(f"{engine.ingest(text_files(spark, args.file))} chunks")
+        print(f"{engine.ingest(files.text_files(spark, args.file))} chunks")
         return 0
     found = engine.search(spark.createDataFrame([(0, args.query)], "qid bigint, text string"), args.top_k, args.mode)
     for r in found.orderBy("rank").select("rank", "key", F.format_string("%.4f", "score").alias("score"), "dense_rank", "bm25_rank", T.preview(F.col("text")).alias("text")).collect():

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..settings import Settings
 
 
-def payload(messages: list[dict], conf: Settings, temperature: float | None = None, stream: bool = False) -> dict:
-    """The request's body; what isn't set is left out."""
-    heat = conf.llm_temperature if temperature is None else temperature
-    body = {"model": conf.llm_model or None, "messages": messages, "temperature": heat, "max_tokens": conf.llm_max_tokens, "stream": stream or None}
+def payload(messages: list[dict], conf: Settings, temperature: float | None = None, stream: bool = False, vision: bool = False) -> dict:
+    """The request's body; what isn't set is left out. vision: with the limits for images."""
+    heat, most = (conf.vlm_temperature, conf.vlm_max_tokens) if vision else (conf.llm_temperature, conf.llm_max_tokens)
+    heat = heat if temperature is None else temperature
+    body = {"model": conf.llm_model or None, "messages": messages, "temperature": heat, "max_tokens": most, "stream": stream or None}
     return {k: v for k, v in body.items() if v is not None}
 
 
@@ -36,8 +37,8 @@ def http_send(conf: Settings) -> Callable[[dict], str]:
     return send
 
 
-def generator(conf: Settings, send: Callable[[dict], str] | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A generator that sends each row's messages from the executors. ``send``: in place of HTTP, for tests."""
+def generator(conf: Settings, send: Callable[[dict], str] | None = None, vision: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A generator that sends each row's messages from the executors. ``send``: in place of HTTP, for tests; vision: the messages hold images."""
 
     def generate(rows: DataFrame) -> DataFrame:
         kept = [c for c in rows.columns if c != "answer"]
@@ -47,7 +48,7 @@ def generator(conf: Settings, send: Callable[[dict], str] | None = None) -> Call
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             call = send or http_send(conf)
             for part in parts:
-                part["answer"] = [call(payload(json.loads(m), conf)) for m in part["__body"]]
+                part["answer"] = [call(payload(json.loads(m), conf, vision=vision)) for m in part["__body"]]
                 yield part[[c for c in kept if c != "messages"] + ["__body", "answer"]]
 
         made = coded.drop("messages").mapInPandas(run, f"{kinds}, __body string, answer string")

@@ -38,19 +38,20 @@ def image_requests(images: DataFrame, prompt: str = PARSE_PROMPT) -> DataFrame:
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, content, media); a file that is no known image is an error."""
+    """(filename, page, content, media), one page each; a file that is no known image is an error."""
     rows = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("filename"), "content")
-    return rows.withColumn("media", wire.media_type(F.col("filename")))
+    return rows.select("filename", F.lit(0).alias("page"), "content", wire.media_type(F.col("filename")).alias("media"))
 
 
 def pages(files: DataFrame, render: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """(filename, page, content, media) of documents (filename, content), by a renderer that gives a document's pages as PNG."""
+    """(filename, page, content, media) of documents (filename, content), by a renderer that gives a document's pages as PNG. One without pages gives no row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, content in zip(part["filename"], part["content"], strict=True):
                 made = render(bytes(content))
-                yield pd.DataFrame({"filename": [name] * len(made), "page": range(len(made)), "content": made, "media": ["image/png"] * len(made)})
+                if made:
+                    yield pd.DataFrame({"filename": [name] * len(made), "page": range(len(made)), "content": made, "media": ["image/png"] * len(made)})
 
     return files.select("filename", "content").mapInPandas(run, "filename string, page int, content binary, media string")
 
@@ -60,6 +61,11 @@ def joined_pages(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("filename").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "answer"))), lambda p: p["answer"]), PAGE_BREAK).alias("text"))
 
 
+def parsed(pages: DataFrame, generate: Callable[[DataFrame], DataFrame], prompt: str = PARSE_PROMPT) -> DataFrame:
+    """(filename, text): the Markdown of documents whose pages are images (filename, page, content, media), read by ``generate``."""
+    return joined_pages(generate(image_requests(pages, prompt)))
+
+
 def write_text(docs: DataFrame, path: str, suffix: str = "_parsed.md") -> DataFrame:
     """Write each document (filename, text) to ``path`` in a folder named after it; the rows written, with their names."""
     named = docs.select(F.concat(F.regexp_replace("filename", "\\.[^.]*$", ""), F.lit(suffix)).alias("name"), F.col("text").alias("value"))

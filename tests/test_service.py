@@ -2,6 +2,7 @@
 
 import json
 import os
+from base64 import b64decode
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -147,6 +148,18 @@ def test_file_sources(spark, tmp_path):
     assert files.write_text(files.joined_pages(made), str(tmp_path / "out")).first().name == "x_parsed.md"
 
 
+def test_images_become_markdown(spark, tmp_path, capsys):
+    docs = spark.createDataFrame([("x.pdf", bytearray(b"one|two")), ("empty.pdf", bytearray(b""))], "filename string, content binary")
+    pages = files.pages(docs, lambda b: b.split(b"|") if b else [])
+    read = lambda b: f"{b.get('temperature')} {b['max_tokens']} {b64decode(b['messages'][0]['content'][0]['image_url']['url'].partition(',')[2]).decode()}"
+    made = files.parsed(pages, chat.generator(Settings(vlm_temperature=None, vlm_max_tokens=7), read, vision=True)).collect()
+    assert [(r.filename, r.text) for r in made] == [("x.pdf", "None 7 one\n\n---\n\nNone 7 two")]  # a document without pages gives none
+    (tmp_path / "scan.png").write_bytes(b"three")
+    assert cli.main(["parse", str(tmp_path / "scan.png")], spark, chat.generator(Settings(), read, vision=True)) == 0
+    assert (tmp_path / "scan_parsed.md").read_text() == "0.0 4096 three"
+    assert cli.main(["parse", str(tmp_path / "none.png")], spark) == 1
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"question": "q", "gold": "g"}\n\n{"question": "한", "gold": null}\n', encoding="utf-8")
     rows = files.read_jsonl(spark, str(tmp_path / "e.jsonl"), schemas.EVAL_CASE)
