@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import byte_symbols
+from .shared import unused
 
 LEAF, CACHED, AHEAD = 64, 200_000, 2
 EDITS = "array<struct<at:int,removed:int,inserted:string>>"
@@ -168,9 +169,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
 def gathered(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with a column edits, from a table of (id, seq, at, removed, inserted), in order of seq."""
-    some = edits.groupBy(F.col(id_col).alias("__i")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "removed", "inserted"))).alias("e"))
-    some = some.select("__i", F.transform("e", lambda x: F.struct(x["at"].cast("int").alias("at"), x["removed"].cast("int").alias("removed"), x["inserted"].alias("inserted"))).alias("edits"))
-    return docs.drop("edits").join(some, F.col(id_col) == F.col("__i"), "left").drop("__i")
+    (own,) = unused(docs, "__i")
+    some = edits.groupBy(F.col(id_col).alias(own)).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "removed", "inserted"))).alias("e"))
+    some = some.select(own, F.transform("e", lambda x: F.struct(x["at"].cast("int").alias("at"), x["removed"].cast("int").alias("removed"), x["inserted"].alias("inserted"))).alias("edits"))
+    return docs.drop("edits").join(some, F.col(id_col) == F.col(own), "left").drop(own)
 
 
 def gpt_like() -> tuple[str, str]:

@@ -60,5 +60,24 @@ def test_table(spark, pair):
         assert (r.n_tokens, r.n_tokens_after, r.text) == (n("no id" if i is None else [*texts, texts[3]][i]), n(after[i]), after[i] or "") and r.seq == "x" and sum(r.token_tree.chars) == len(r.text)
 
 
+def test_a_tree_is_saved_read_again_and_edited(spark, pair, tmp_path):
+    rnd = random.Random(4)
+    texts = [text(rnd, 3000), text(rnd, 200), "", None]
+    docs = spark.createDataFrame([(i, t, i + 10) for i, t in enumerate(texts)], "doc_id bigint, text string, __i int")
+    T.count_tokens(docs, *T.gpt_like(), keep_text=True).write.parquet(str(tmp_path / "one"))
+    want = [t or "" for t in texts]
+    for step in ("one", "two"):
+        places = [(i, 1, len(t) // 2, 3, f" {step}'ll ") for i, t in enumerate(want)]
+        edits = spark.createDataFrame(places, "doc_id bigint, seq int, at int, removed int, inserted string")
+        want = [t[: len(t) // 2] + f" {step}'ll " + t[len(t) // 2 + 3 :] for t in want]
+        saved = spark.read.parquet(str(tmp_path / step))
+        made = T.count_tokens(T.gathered(saved, edits), *T.gpt_like(), edits_col="edits", keep_text=True)
+        made.drop("n_tokens", "chars_reencoded").write.parquet(str(tmp_path / ("two" if step == "one" else "three")))
+        rows = made.orderBy("doc_id").collect()
+        assert [r["text"] for r in rows] == want
+        assert [r["n_tokens_after"] for r in rows] == [len(pair[1].encode(t, add_special_tokens=False).ids) for t in want]
+        assert [r["__i"] for r in rows] == [10, 11, 12, 13] and rows[0]["chars_reencoded"] < len(want[0]) / 4
+
+
 def test_empty_table(spark):
     assert T.count_tokens(spark.createDataFrame([], "doc_id bigint, text string"), *T.gpt_like()).count() == 0
