@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "chat", "decontamination", "exact_dedup", "licenses", "line_dedup", "ngram_join", "pii", "quality", "resampling", "simhash", "token_counts")
+MODULES = ("bpe", "chat", "decontamination", "exact_dedup", "licenses", "line_dedup", "ngram_join", "pii", "prefix_trie", "quality", "resampling", "simhash", "token_counts")
 
 
 def _collect(name: str) -> dict:

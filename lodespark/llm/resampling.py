@@ -189,14 +189,17 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: CRC32 of each distinct word, by the same automaton: a step's table from the polynomial, folded over the bytes.
-SQL = r"""
-WITH RECURSIVE step(b, k, v) AS (
+#: The automaton's step for each byte, from the polynomial: step and automaton(t).
+CRC_SQL = """step(b, k, v) AS (
   SELECT b, 0, b::BIGINT FROM range(256) t(b)
   UNION ALL
   SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8
 ),
-automaton AS (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+automaton AS (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8)"""
+
+#: CRC32 of each distinct word by folding the step over its bytes.
+SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
 doc_words AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
 ),
