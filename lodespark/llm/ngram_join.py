@@ -42,6 +42,8 @@ SIZE, PERCENT = 4, 85
 LONG, POSTED = 256, 256
 #: Counters of the sketch, as a power of 2, and how many go into one row of it.
 SKETCH_BITS, ROW_BITS = 21, 15
+#: Turns in which lists' nodes are linked to some of them before all pairs left are looked for; a turn in which fewer than one pair in FRUITLESS links is the last. A node is tried with some TRIES others a turn.
+STARS, FRUITLESS, TRIES = 10, 40, 8
 #: Members compared with one node in one task, and those merged for one node in one task.
 TOGETHER, MERGED = 64, 1 << 16
 
@@ -179,19 +181,21 @@ def described(texts: DataFrame, size: int, percent: int, ranks: np.ndarray) -> D
     return made.select("id", "n", F.struct("k1", "k2", "n").alias("k"), "prefix")
 
 
-def unpacked(nodes: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
-    """(token, uid, n): a row for each shingle of a prefix; with the bit map ``repeated``, of those it has a bit for."""
+def unpacked(nodes: DataFrame, percent: int, repeated: np.ndarray | None = None) -> DataFrame:
+    """(token, uid, n): a row for each shingle of a prefix; with the bit map ``repeated``, of those it has a bit for,
+    and of a node with :func:`spare` of these at least, as any partner shares as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = batch.column("prefix").to_pylist()
             each = np.fromiter((len(p) // 8 for p in packed), np.int64, len(packed))
-            token = np.frombuffer(b"".join(packed), np.uint64)
-            rows = [token.view(np.int64), *(np.repeat(np.asarray(batch.column(c), np.int64), each) for c in ("uid", "n"))]
+            token, of = np.frombuffer(b"".join(packed), np.uint64), np.repeat(np.arange(len(packed)), each)
+            uid, n = (np.asarray(batch.column(c), np.int64) for c in ("uid", "n"))
             if repeated is not None:
                 keep = marked(repeated, token)
-                rows = [x[keep] for x in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["token", "uid", "n"])
+                keep &= (np.bincount(of[keep], minlength=len(packed)) >= 1 + n // 32)[of]
+                token, of = token[keep], of[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), uid[of], n[of])], ["token", "uid", "n"])
 
     return nodes.select("uid", "n", "prefix").mapInArrow(run, "token bigint, uid bigint, n bigint")
 
@@ -338,21 +342,46 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -
     return materialize(keyed.join(asked.select("uid", "k"), "k").groupBy("uid").agg(F.min("text").alias("text")), "candidate-texts")
 
 
+def first_stars(listed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the nodes of each list with one of them, the same for all lists as far as it goes; pairs that share half of what is needed."""
+    heads = listed.groupBy("token").agg(F.min(F.struct(F.xxhash64("uid").alias("by"), "uid", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pairs = listed.join(heads, "token").where(f"uid <> head.uid and 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+    found = pairs.groupBy(F.col("head.uid").alias("a"), F.col("uid").alias("b"), "n", F.col("head.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    return found.where(f"2 * c >= {needed_sql('n', 'm', percent)}").select("a", "b")
+
+
+def more_stars(listed: DataFrame, groups: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each node outside the component that it shares most lists with, and some TRIES members of that, others each ``turn``."""
+    own = materialize(listed.join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "grouped")
+    per = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("w"))
+    lists = materialize(per.where("w > main.c").selectExpr("token", "main.root as root", "w"), "star-lists")
+    shared = lookup(own.withColumnRenamed("root", "from"), lists, "token", "w").where("root <> from").groupBy("uid", "n", "root").agg(F.count(F.lit(1)).alias("c"))
+    best = shared.where("c >= 1 + n div 32").groupBy("uid", "n").agg(F.max_by("root", F.struct("c", "root")).alias("root"))
+    members = own.select("uid", "n", "root").distinct()
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    some = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1 << 40)) * F.col("size") < F.lit(TRIES << 40)  # TRIES of each component, more or less
+    leaders = members.join(sizes, "root").where(some).select(F.col("uid").alias("a"), F.col("n").alias("m"), "root")
+    return best.join(leaders, "root").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("uid").alias("b"))
+
+
 def links(nodes: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
     """(a, b): similar nodes, enough to connect all that are connected. nodes: (uid, first, k, n, prefix); texts: (id, text)."""
-    rows = unpacked(nodes)
-    lists = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("uid", "n")).alias("head")).where("m > 1"), "lists")
-    repeated = bit_words(lists.select(F.col("token").alias("h")))
-    listed = materialize(unpacked(nodes, repeated).join(lists, "token"), "listed")  # Spark splits the lists of common shingles where they are large
-    near = f"100 * least(n, head.n) >= {percent} * greatest(n, head.n)"
-    star = listed.where(f"uid <> head.uid and {near}").groupBy(F.col("head.uid").alias("a"), F.col("uid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("head.n").alias("m"))
-    star = materialize(star.where(f"2 * c >= {needed_sql('n', 'm', percent)}").select("a", "b"), "stars")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("uid"))
-    first = materialize(verified(star, texts_of(wanted, nodes, texts, size), size, percent), "star-links")
-    groups = components(first).select(F.col("node").alias("uid"), "root")
-    pairs = materialize(crossing(listed.select("token", "uid", "n"), groups, percent, long), "candidates")
+    spark = nodes.sparkSession
+    lists = unpacked(nodes, percent).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    repeated = bit_words(materialize(lists.select(F.col("token").alias("h")), "repeated-shingles"))
+    listed = materialize(unpacked(nodes, percent, repeated), "listed")
+    found, groups = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "uid bigint, root bigint")
+    for turn in range(STARS):
+        pairs = materialize(more_stars(listed, groups, percent, turn) if turn else first_stars(listed, percent), "stars")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
+        more = materialize(verified(pairs, texts_of(wanted, nodes, texts, size), size, percent), "star-links")
+        found = found.unionByName(more)
+        groups = components(found).select(F.col("node").alias("uid"), "root")
+        if more.count() * FRUITLESS < pairs.count():
+            break
+    pairs = materialize(crossing(listed, groups, percent, long), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
-    return first.unionByName(verified(pairs, texts_of(wanted, nodes, texts, size), size, percent))
+    return found.unionByName(verified(pairs, texts_of(wanted, nodes, texts, size), size, percent))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
@@ -384,7 +413,8 @@ def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ),
 sh AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
