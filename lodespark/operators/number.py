@@ -20,6 +20,12 @@ def numbered(rows: DataFrame, bucket: Column, order: list[str], name: str) -> Da
     return rows.withColumn("__n", own).join(F.broadcast(starts), "__b").withColumn(name, (F.col("__s") + F.col("__n") - 1).cast("bigint")).drop("__b", "__s", "__n")
 
 
-def leading(key: Column, bits: int = BITS) -> Column:
-    """A bucket of a 64-bit key that keeps the key's order: its first ``bits`` bits."""
-    return F.shiftright(key.cast("bigint"), 64 - bits)
+def numbered_by(rows: DataFrame, key: str, more: list[str], name: str, bits: int = BITS) -> DataFrame:
+    """``rows`` numbered by the number ``key`` and then ``more``, whatever numbers the keys are.
+
+    Buckets are equal parts of the range that the keys really have, from the least to the greatest.
+    Rows without a key come first. Of keys that lie unevenly, as hashes and row ids do not, a part may have many."""
+    ends = rows.agg(F.min(key).cast("double").alias("__lo"), F.max(key).cast("double").alias("__hi"))
+    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0))
+    part = F.least(F.floor((F.col(key).cast("double") - F.col("__lo")) / width * (1 << bits)), F.lit((1 << bits) - 1))
+    return numbered(rows.crossJoin(F.broadcast(ends)), F.coalesce(part, F.lit(-1)), [key, *more], name).drop("__lo", "__hi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import wire
 from ..sources.files import write_jsonl
-from .number import BITS, leading, numbered
+from .number import BITS, numbered, numbered_by
 from .prompt import QUESTION, messages
 
 REFUSAL = "The documents given do not hold this."
@@ -66,7 +66,7 @@ def unanswerable(chunks: DataFrame, count: int, order=scattered, refusal: str =
     ends = F.array_distinct(F.array(F.min(F.struct("chunk_id", "text")), F.max(F.struct("chunk_id", "text"))))
     docs = chunks.withColumn("topic", T.first_line(F.col("text"))).groupBy("doc_id").agg(topic.alias("topic"), ends.alias("ends"))
     docs = docs.withColumn("key", order(F.col("doc_id")).cast("bigint"))
-    place = numbered(docs, leading(F.col("key")), ["key", "doc_id"], "n").where(F.col("n") <= count).drop("key")
+    place = numbered_by(docs, "key", ["doc_id"], "n").where(F.col("n") <= count).drop("key")
     total = place.agg(F.count(F.lit(1)).alias("m"), F.ceil(F.lit(count) / F.nullif(F.count("topic"), F.lit(0))).alias("laps"))
     after = place.select(F.col("n").alias("at"), F.transform("ends", lambda t: t["text"]).alias("context"), F.col("doc_id").alias("context_doc"))
     asked = place.drop("ends").crossJoin(F.broadcast(total)).where("m > 1 and topic is not null")
@@ -103,7 +103,7 @@ def held_out(chunks: DataFrame, ratio: float = EVAL, order=scattered) -> DataFra
     """(doc_id, chunk_id) of the chunks kept for evaluation: ``ratio`` of all, rounded down, but one at least."""
     units = chunks.select(*UNIT).distinct().withColumn("key", order(F.col("doc_id"), F.col("chunk_id")).cast("bigint"))
     total = units.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(ratio))).alias("most"))
-    placed = numbered(units, leading(F.col("key")), ["key", *UNIT], "n")
+    placed = numbered_by(units, "key", UNIT, "n")
     return placed.crossJoin(F.broadcast(total)).where("n < most").select(*UNIT)
 
 

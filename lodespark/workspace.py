@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +36,30 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 #: Whether Spark removes the shuffle files of a statement at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders of tables made by :func:`materialize` within :func:`temporary_tables`, innermost last.
-_open: list[list[str]] = []
+#: Folders of tables made by :func:`materialize` within :func:`temporary_tables`, innermost last; each thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("lodespark-tables", default=())
+_lock = threading.Lock()
+_writers: dict[int, list] = {}
+
+
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """The option CLEANUP, which belongs to the session, stays on from the first of several writers to the last."""
+    key = id(spark)
+    with _lock:
+        state = _writers.setdefault(key, [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                del _writers[key]
+                spark.conf.set(CLEANUP, state[1]) if state[1] is not None else spark.conf.unset(CLEANUP)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,14 +68,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     it is done, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodespark/{name}-{uuid.uuid4().hex}"
-    for tables in _open[-1:]:
+    for tables in _open.get()[-1:]:
         tables.append(path)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned_up(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,21 +82,22 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def kept_tables() -> Iterator[None]:
-    """Tables made within outlive a block of :func:`temporary_tables` around it."""
-    _open.append([])
+    """Tables made within outlive a block of :func:`temporary_tables` around it that they are made in."""
+    before = _open.set((*_open.get(), []))
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(before)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables made within at the end."""
-    _open.append(tables := [])
+    """Deletes the tables that this thread makes within, at the end."""
+    tables: list[str] = []
+    before = _open.set((*_open.get(), tables))
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(before)
         for path in tables:
             delete(spark, path)
