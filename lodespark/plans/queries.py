@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import wire
 from ..operators import chunk as C
-from ..operators import dense, evaluate, fuse, grade, lexical, prompt, serving, sft, validate
+from ..operators import dense, evaluate, fuse, grade, lexical, prompt, quantiles, serving, sft, validate
 from ..sources import files, index
 from ..workspace import shared_dir
 
@@ -430,15 +430,27 @@ REQUESTS = "q as (select event_type as concurrency, value is not null and event_
 
 
 @query(f"""with {REQUESTS}, t as (select *, case when num_tokens > 1 then (latency - ttft) / (num_tokens - 1) else 0 end as tpot from q)
-select concurrency, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, round_even(count(*) filter (ok) / 60.0::double, 3) as req_per_s, round_even(sum(num_tokens) filter (ok) / 60.0::double, 1) as tok_per_s,
-  round(quantile_cont(ttft, 0.5) filter (ok), 6) as ttft_p50, round(quantile_cont(latency, 0.95) filter (ok), 6) as latency_p95, round(quantile_cont(tpot, 0.5) filter (ok and tpot > 0), 6) as tpot_p50 from t group by concurrency""")
+select concurrency, count(*) filter (ok) as n_ok, count(*) filter (not ok) as n_failed, round_even(count(*) filter (ok) / 60.0::double, 3) as req_per_s,
+  round_even(sum(num_tokens) filter (ok) / 60.0::double, 1) as tok_per_s,
+  round_even(quantile_cont(ttft, 0.5) filter (ok) * 1000, 1) as ttft_p50_ms, round_even(quantile_cont(ttft, 0.95) filter (ok) * 1000, 1) as ttft_p95_ms,
+  round_even(quantile_cont(tpot, 0.5) filter (ok and tpot > 0) * 1000, 2) as tpot_p50_ms,
+  round_even(quantile_cont(latency, 0.5) filter (ok), 3) as latency_p50_s, round_even(quantile_cont(latency, 0.95) filter (ok), 3) as latency_p95_s from t group by concurrency""")
 def serving_stats(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("concurrency"), F.expr("value is not null and event_id % 50 <> 0").alias("ok"), (F.abs("value") / 10).alias("ttft"), F.abs("value").alias("latency"), (F.col("event_id") % 97).alias("num_tokens"), F.lit(60.0).alias("wall"))
-    out = serving.summary(rows).select("concurrency", "n_ok", "n_failed", "req_per_s", "tok_per_s")
-    ok, each = F.col("ok"), serving.tpot(F.col("ttft"), F.col("latency"), F.col("num_tokens"))
-    p = lambda c, q: F.round(F.percentile(F.when(ok, c), F.lit(q)), 6)
-    fine = rows.withColumn("tpot", each).groupBy("concurrency").agg(p(F.col("ttft"), 0.5).alias("ttft_p50"), p(F.col("latency"), 0.95).alias("latency_p95"), p(F.when(F.col("tpot") > 0, F.col("tpot")), 0.5).alias("tpot_p50"))
-    return out.join(fine, "concurrency")
+    return serving.summary(requests(spark, sf_dir)).drop("wall_s")
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    fine = F.expr("value is not null and event_id % 50 <> 0")
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("concurrency"), fine.alias("ok"), (F.abs("value") / 10).alias("ttft"), F.abs("value").alias("latency"), (F.col("event_id") % 97).alias("num_tokens"), F.lit(60.0).alias("wall"))
+
+
+@query("""with l as (select event_type as level, value from events union all select 'all', value from events)
+select level, q, round(case q when 0.5 then p[1] when 0.95 then p[2] else p[3] end, 9) as value
+from (select level, quantile_cont(value, [0.5, 0.95, 0.999]) as p from l group by level), (values (0.5), (0.95), (0.999)) v(q)""")
+def latency_quantiles(spark, sf_dir):
+    """Exact quantiles of all events, and of each type of them."""
+    own = read(spark, sf_dir, "events").select(F.explode(F.array("event_type", F.lit("all"))).alias("level"), "value")
+    return quantiles.quantiles(own, ["level"], {"value": F.col("value")}, [0.5, 0.95, 0.999]).select("level", F.col("q").cast("decimal(4,3)").alias("q"), F.round("value", 9).alias("value"))
 
 
 @query("select event_id, round(case when event_id % 7 > 1 then (abs(value) - abs(value) / 4) / (event_id % 7 - 1) else 0 end, 9) as tpot from events")
