@@ -1,8 +1,11 @@
 """Dense search: hashed trigram vectors or given ones, brute force over blocks.
 
-Queries are a bounded matrix sent to all tasks; each task multiplies it with blocks
-of its documents, keeps the best k of each query and gives those up at its end, so
-what is shuffled is k rows a query and task, however many documents there are."""
+Queries that fit one matrix of bounded size are sent to all tasks; each task multiplies
+it with blocks of its documents, keeps the best k of each query and gives those up at
+its end, so what is shuffled is k rows a query and task, however many documents there are.
+More queries are dealt out too: a cell of a grid has a block of queries, which its
+task holds as a matrix, and a part of the documents, which it reads past it. Neither
+side goes through the driver then."""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .lexical import ranked
 
-#: Numbers of the query matrix that are sent to the tasks at once; more queries take further passes.
+#: Numbers of a query matrix, whether sent to all tasks or held by one; and documents multiplied at once.
 MATRIX, ROWS = 4_000_000, 512
 
 
@@ -54,64 +57,118 @@ def embed(docs: DataFrame, text_col: str = "text", dim: int = V.DIM, out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [V.counts(t.as_py(), dim) for t in batch.column(text_col)]
+            made = [V.counts(t.as_py(), dim) for t in batch.column(text_at)]
             made = [(c / (np.sqrt(float((c * c).sum())) or 1.0)).astype(np.float32) for c in made]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(made, pa.list_(pa.float32()))], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*keep, out])
 
-    rows = docs.select(*keep)
+    text_at = keep.index(text_col)
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep))
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
     return rows.mapInArrow(run, f"{kinds}, `{out}` array<float>")
 
 
-def _best(docs: DataFrame, column: str, queries: list[tuple[int, np.ndarray]], k: int, vector: Callable, whole: bool) -> DataFrame:
-    """(qid, ord, score): the best k of each block of documents for each query; whole: vectors are counts."""
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.stack([v for _, v in queries]).astype(np.float64)
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    sent = docs.sparkSession.sparkContext.broadcast((ids, matrix, np.where(lengths == 0, 1.0, lengths)))
+class _Best:
+    """The best ``k`` documents of each query so far. whole: vectors are counts, still to be divided by their lengths."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, whole: bool):
+        self.ids, self.k, self.whole = ids, k, whole
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        self.asked = matrix / np.where(lengths == 0, 1.0, lengths)[:, None] if whole else matrix
+        self.top, self.at = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, ords: np.ndarray, block: np.ndarray) -> None:
+        sims = self.asked @ block.T
+        if self.whole:
+            own = np.sqrt((block * block).sum(axis=1))
+            sims /= np.where(own == 0, 1.0, own)[None, :]
+        top, at = np.concatenate([self.top, sims], axis=1), np.concatenate([self.at, np.broadcast_to(ords, sims.shape)], axis=1)
+        best = np.lexsort((at, -np.round(top, 9)), axis=1)[:, : self.k]
+        self.top, self.at = np.take_along_axis(top, best, 1), np.take_along_axis(at, best, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.top.shape[1])), pa.array(self.at.ravel()), pa.array(self.top.ravel())], ["qid", "ord", "score"])
+
+
+FOUND = "qid bigint, ord bigint, score double"
+
+
+def in_cells(docs: DataFrame, queries: DataFrame, cell: list[str], k: int, vector: Callable = np.array, whole: bool = False) -> DataFrame:
+    """(qid, ord, score): in each cell, the best ``k`` of its documents for each of its queries.
+
+    docs (cell.., ord, x), queries (cell.., qid, x). A task holds one cell's queries, and reads its documents block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, asked, norms = sent.value
-        top, at = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64)
+        last, best, asked, rest = None, None, [], []
+
+        def flush() -> None:
+            if rest and best is not None:
+                best.add(np.array([i for i, _ in rest], np.int64), np.stack([v for _, v in rest]).astype(np.float64))
+            rest.clear()
+
+        for batch in batches:
+            cells = list(zip(*(batch.column(c).to_pylist() for c in cell), strict=True))
+            for at, kind, i, x in zip(cells, batch.column("kind").to_pylist(), batch.column("id").to_pylist(), batch.column("x"), strict=True):
+                if at != last:
+                    flush()
+                    if best is not None:
+                        yield best.rows()
+                    last, best, asked = at, None, []
+                if kind == 0:
+                    asked.append((i, vector(x.as_py())))
+                    continue
+                if best is None and asked:
+                    best, asked = _Best(np.array([q for q, _ in asked], np.int64), np.stack([v for _, v in asked]).astype(np.float64), k, whole), []
+                rest.append((i, vector(x.as_py())))
+                if len(rest) >= ROWS:
+                    flush()
+        flush()
+        if best is not None:
+            yield best.rows()
+
+    rows = queries.select(*cell, F.lit(0).alias("kind"), F.col("qid").alias("id"), "x").unionByName(docs.select(*cell, F.lit(1).alias("kind"), F.col("ord").alias("id"), "x"))
+    return rows.repartition(*cell).sortWithinPartitions(*cell, "kind").mapInArrow(run, FOUND)
+
+
+def _sent(docs: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, vector: Callable, whole: bool) -> DataFrame:
+    """The same for a query matrix sent to all tasks."""
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.stack([v for _, v in queries]).astype(np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*sent.value, k, whole)
         for batch in batches:
             for start in range(0, len(batch), ROWS):
                 part = batch.slice(start, ROWS)
-                ords = np.asarray(part.column("ord"), np.int64)
-                block = np.stack([vector(x.as_py()) for x in part.column("x")]).astype(np.float64)
-                own = np.sqrt((block * block).sum(axis=1))
-                sims = (asked @ block.T) / (norms[:, None] * np.where(own == 0, 1.0, own)[None, :]) if whole else asked @ block.T
-                top, at = np.concatenate([top, sims], axis=1), np.concatenate([at, np.broadcast_to(ords, sims.shape)], axis=1)
-                best = np.lexsort((at, -np.round(top, 9)), axis=1)[:, :k]
-                top, at = np.take_along_axis(top, best, 1), np.take_along_axis(at, best, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(at.ravel()), pa.array(top.ravel())], ["qid", "ord", "score"])
+                best.add(np.asarray(part.column("ord"), np.int64), np.stack([vector(x.as_py()) for x in part.column("x")]).astype(np.float64))
+        yield best.rows()
 
-    return docs.select("ord", F.col(column).alias("x")).mapInArrow(run, "qid bigint, ord bigint, score double")
+    return docs.mapInArrow(run, FOUND)
 
 
-def _passes(queries: list[tuple[int, np.ndarray]], width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    step = max(1, MATRIX // max(width, 1))
-    for i in range(0, len(queries), step):
-        yield queries[i : i + step]
+def nearest(docs: DataFrame, queries: DataFrame, k: int, width: int, vector: Callable = np.array, whole: bool = False) -> DataFrame:
+    """(qid, ord, score, rank) by inner product or cosine. docs (ord, x), queries (qid, x), vectors of ``width`` numbers."""
+    most = max(1, MATRIX // max(width, 1))
+    some = queries.select("qid", "x").limit(most + 1).collect()  # MATRIX numbers at most
+    if not some:
+        return ranked(docs.sparkSession.createDataFrame([], FOUND), k)
+    if len(some) <= most:
+        return ranked(_sent(docs.select("ord", "x"), [(r.qid, vector(r.x)) for r in some], k, vector, whole), k)
+    blocks = -(-queries.count() // most)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    at = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = in_cells(docs.withColumn("part", at("ord", parts)).withColumn("block", every(blocks)), queries.withColumn("block", at("qid", blocks)).withColumn("part", every(parts)), ["block", "part"], k, vector, whole)
+    return ranked(grid, k)
 
 
 def dense_hash(corpus: DataFrame, queries: DataFrame, k: int, dim: int = V.DIM) -> DataFrame:
     """(qid, ord, score, rank) of the ``k`` nearest documents by hashed trigrams. corpus (ord, text), queries (qid, text).
 
     There is no threshold; of equal similarities (to 9 digits) the smaller ord is first."""
-    asked = [(r.qid, V.counts(r.text, dim)) for r in queries.select("qid", "text").toLocalIterator()]
-    return _union(corpus, [_best(corpus, "text", part, k, lambda t: V.counts(t, dim), True) for part in _passes(asked, dim)], k)
+    return nearest(corpus.select("ord", F.col("text").alias("x")), queries.select("qid", F.col("text").alias("x")), k, dim, lambda t: V.counts(t, dim), True)
 
 
 def dense_vectors(corpus: DataFrame, queries: DataFrame, k: int, column: str = "embedding") -> DataFrame:
     """The same over given vectors of one length, by their inner product. corpus (ord, embedding), queries (qid, embedding)."""
-    asked = [(r.qid, np.array(r.v, np.float64)) for r in queries.select("qid", F.col(column).alias("v")).toLocalIterator()]
-    return _union(corpus, [_best(corpus, column, part, k, lambda v: np.array(v, np.float64), False) for part in _passes(asked, len(asked[0][1]) if asked else 1)], k)
-
-
-def _union(corpus: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
-    if not parts:
-        return ranked(corpus.sparkSession.createDataFrame([], "qid bigint, ord bigint, score double"), k)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return ranked(out, k)
+    asked = queries.select("qid", F.col(column).alias("x"))
+    width = asked.select(F.size("x")).limit(1).collect()
+    return nearest(corpus.select("ord", F.col(column).alias("x")), asked, k, width[0][0] if width else 1)

@@ -4,18 +4,31 @@ The corpus is tokenised twice, once for its statistics and once for the postings
 the queries' own tokens, which are kept as a table, as document frequencies and scores
 both read them. Every other token is dropped right after tokenising, by a
 broadcast of the queries' vocabulary if that is small, so only postings that can
-score are shuffled."""
+score are shuffled.
+
+Postings are dealt out by document, so that no task holds a word, and queries in blocks
+to each part of the documents. A task reads its documents in runs. From the largest weight
+that each token has in a run follows the most that a query can get there; a query
+that can't reach its k-th best score so far passes over the run. What is given up
+in the end is the k best of each query and task: no pair of a query and a document is
+shuffled that isn't among these."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..workspace import materialize
-from .sizes import is_small, small
+from .sizes import small
 
 K1, B = 1.5, 0.75
+#: Queries that a task holds, and documents of a run.
+QUERIES, RUN = 2048, 256
 
 
 def tokenized(corpus: DataFrame, ord_col: str = "ord", text_col: str = "text", tokens=T.words) -> DataFrame:
@@ -54,14 +67,97 @@ def query_terms(queries: DataFrame, qid_col: str = "qid", text_col: str = "text"
     return rows.groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, ord, score) of all pairs that share a token. ``queries``: as of :func:`query_terms`."""
-    asked = queries.join(terms(posts, stats).select("tok", "idf"), "tok").select("tok", "qid", (F.col("qtf") * F.col("idf")).alias("w"))
-    asked = F.broadcast(asked) if is_small(queries) else asked  # each of the queries' tokens has one row in terms at most
+def weighted(posts: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(tok, ord, weight): what a posting adds to a score, before the token's own weight."""
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # dealt out by document, so that the sum over (qid, ord), which has far more rows, needs no shuffle of its own
-    rows = posts.repartition("ord").crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("weight", weight)  # stats is one row
-    return rows.join(asked, "tok").groupBy("qid", "ord").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    return posts.crossJoin(F.broadcast(stats.select("avgdl"))).select("tok", "ord", weight.alias("weight"))  # stats is one row
+
+
+class _Best:
+    """The best ``k`` documents of a block of queries, over runs of documents."""
+
+    def __init__(self, terms: list[tuple[int, str, float]], k: int):
+        self.k, self.ids = k, np.array(sorted({q for q, _, _ in terms}), np.int64)
+        place = {q: i for i, q in enumerate(self.ids.tolist())}
+        held: dict[str, list] = {}
+        for q, tok, w in terms:
+            held.setdefault(tok, []).append((place[q], w))
+        self.terms = {tok: (np.array([i for i, _ in own], np.int64), np.array([w for _, w in own])) for tok, own in held.items()}
+        self.score, self.at = np.full((len(self.ids), k), -np.inf), np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        self.met = self.passed = 0
+
+    def add(self, run: dict[int, list[tuple[str, float]]]) -> None:
+        """run: (token, weight) pairs of each document."""
+        ords, lists = np.array(list(run), np.int64), {}
+        for i, own in enumerate(run.values()):
+            for tok, weight in own:
+                if tok in self.terms:
+                    lists.setdefault(tok, ([], []))
+                    lists[tok][0].append(i)
+                    lists[tok][1].append(weight)
+        most = np.zeros(len(self.ids))
+        for tok, (_, weights) in lists.items():
+            of, w = self.terms[tok]
+            most[of] += w * max(weights)
+        asked = np.flatnonzero((most > 0) & (most >= self.score[:, -1] - 1e-6))
+        self.met, self.passed = self.met + int((most > 0).sum()), self.passed + int((most > 0).sum()) - len(asked)
+        if not len(asked):
+            return
+        row = np.full(len(self.ids), -1)
+        row[asked] = np.arange(len(asked))
+        sums = np.zeros((len(asked), len(ords)))
+        for tok, (docs, weights) in lists.items():
+            of, w = self.terms[tok]
+            some = row[of] >= 0
+            if some.any():
+                sums[np.ix_(row[of[some]], docs)] += w[some][:, None] * np.array(weights)[None, :]
+        sums[sums <= 0] = -np.inf
+        score, at = np.concatenate([self.score[asked], sums], axis=1), np.concatenate([self.at[asked], np.broadcast_to(ords, sums.shape)], axis=1)
+        order = np.lexsort((at, -np.round(score, 9)), axis=1)[:, : self.k]
+        self.score[asked], self.at[asked] = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        of, col = np.nonzero(self.score > 0)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[of]), pa.array(self.at[of, col]), pa.array(self.score[of, col])], ["qid", "ord", "score"])
+
+
+def best(asked: DataFrame, terms_of: DataFrame, posts: DataFrame, k: int) -> DataFrame:
+    """(qid, ord, score): the ``k`` best documents of each query in each part of the documents.
+
+    asked (qid, tok, qtf); terms_of (tok, idf); posts (tok, ord, weight) with all postings of the queries' tokens."""
+    spark = posts.sparkSession
+    block = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.select("qid").distinct().count() // QUERIES)))).cast("int").alias("block")
+    terms_asked = asked.join(terms_of.select("tok", "idf"), "tok").select(block, "tok", "qid", (F.col("qtf") * F.col("idf")).alias("w"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = terms_asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    words = asked.select(block, "tok").distinct()
+    read = posts.join(small(words), "tok").withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int"))
+    rows = sent.select("block", "part", F.lit(-1).cast("bigint").alias("ord"), F.lit(0).alias("kind"), "tok", "qid", "w")
+    rows = rows.unionByName(read.select("block", "part", "ord", F.lit(1).alias("kind"), "tok", F.lit(0).cast("bigint").alias("qid"), F.col("weight").alias("w")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, terms, docs = None, None, [], {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != cell:
+                    if held:
+                        held.add(docs)
+                        yield held.rows()
+                    cell, held, terms, docs = row[:2], None, [], {}
+                _, _, ord_, kind, tok, qid, w = row
+                if kind == 0:
+                    terms.append((qid, tok, w))
+                    continue
+                held = held or _Best(terms, k)
+                if ord_ not in docs and len(docs) >= RUN:
+                    held.add(docs)
+                    docs = {}
+                docs.setdefault(ord_, []).append((tok, w))
+        if held:
+            held.add(docs)
+            yield held.rows()
+
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "ord").mapInArrow(run, "qid bigint, ord bigint, score double")
 
 
 def ranked(pairs: DataFrame, k: int, score: str = "score", digits: int | None = 9) -> DataFrame:
@@ -79,4 +175,6 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     """(qid, ord, score, rank) of the ``k`` best documents with a positive score. corpus (ord, text), queries (qid, text)."""
     toks, asked = tokenized(corpus, tokens=tokens), query_terms(queries, tokens=tokens)
     posts, stats = materialize(postings(toks, small(asked.select("tok").distinct())), "postings"), corpus_stats(toks)
-    return ranked(scores(asked, posts, stats, k1, b).where("score > 0"), k)
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    return ranked(best(asked, terms(posts, stats), weighted(posts, stats, k1, b), k).where("score > 0"), k)

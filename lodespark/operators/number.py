@@ -28,4 +28,4 @@ def numbered_by(rows: DataFrame, key: str, more: list[str], name: str, bits: int
     ends = rows.agg(F.min(key).cast("double").alias("__lo"), F.max(key).cast("double").alias("__hi"))
     width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0))
     part = F.least(F.floor((F.col(key).cast("double") - F.col("__lo")) / width * (1 << bits)), F.lit((1 << bits) - 1))
-    return numbered(rows.crossJoin(F.broadcast(ends)), F.coalesce(part, F.lit(-1)), [key, *more], name).drop("__lo", "__hi")
+    return numbered(rows.crossJoin(F.broadcast(ends)), F.when(F.col(key).isNotNull(), part).otherwise(F.lit(-1)), [key, *more], name).drop("__lo", "__hi")

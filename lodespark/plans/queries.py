@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import wire
 from ..operators import chunk as C
-from ..operators import dense, evaluate, fuse, grade, lexical, prompt, quantiles, serving, sft, validate
+from ..operators import clusters, dense, evaluate, fuse, grade, lexical, prompt, quantiles, serving, sft, validate
 from ..sources import files, index
 from ..workspace import shared_dir
 
@@ -125,15 +125,27 @@ def dense_topk_hash(spark, sf_dir):
     return dense.dense_hash(corpus(spark, sf_dir), asked(spark, sf_dir), 20)
 
 
-@query("""with s as (select q.vec_id as qid, d.vec_id as ord, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 9) as score
+NEAREST = """with s as (select q.vec_id as qid, d.vec_id as ord, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 9) as score
   from embeddings q, embeddings d where q.vec_id % 100 = 0)
-select qid, ord, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by score desc, ord) as rank from s) where rank <= 10""")
+select qid, ord, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by score desc, ord) as rank from s) where rank <= 10"""
+
+
+@query(NEAREST)
 def dense_topk_vec(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     return dense.dense_vectors(vectors.select(F.col("vec_id").alias("ord"), "embedding"), queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query(NEAREST)
+def dense_topk_pruned(spark, sf_dir):
+    """The same by clusters, of which most are passed over where vectors lie in groups."""
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    found, _ = clusters.pruned_search(clusters.clustered(vectors.select(F.col("vec_id").alias("ord"), "embedding")), queries, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # fusion and search
 
 
@@ -528,7 +540,7 @@ def index_roundtrip(spark, sf_dir):
     toks.select("ord", F.size("tokens").alias("dl")).write.parquet(f"{path}/lengths")
     posts, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    return lexical.ranked(lexical.scores(lexical.query_terms(asked(spark, sf_dir)), posts, stats).where("score > 0"), K)
+    return lexical.ranked(lexical.best(lexical.query_terms(asked(spark, sf_dir)), lexical.terms(posts, stats), lexical.weighted(posts, stats), K), K)
 
 
 @query()

@@ -136,7 +136,7 @@ class Index:
         asked = lexical.query_terms(queries, tokens=self.tokens)
         posts = self.wanted_postings(asked)
         stats = self.chunks().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-        return lexical.ranked(lexical.scores(asked, posts, stats).where("score > 0"), k)
+        return lexical.ranked(lexical.best(asked, lexical.terms(posts, stats), lexical.weighted(posts, stats), k), k)
 
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
         return dense.dense_vectors(self.embeddings(), self.embed(queries.select("qid", "text")), k)
