@@ -13,7 +13,7 @@ from ..sources.index import Index
 class Engine:
     def __init__(self, spark: SparkSession, conf: Settings | None = None, path: str | None = None, generate=None):
         self.spark, self.conf, self.generate = spark, conf or settings(), generate
-        self.index = Index(spark, path or self.conf.index_dir, self.conf.embedder, self.conf.embed_dim, self.conf.chunk_size, self.conf.chunk_overlap)
+        self.index = Index(spark, path or self.conf.index_dir, self.conf.embedder, self.conf.embed_dim, self.conf.chunk_size, self.conf.chunk_overlap, self.conf.tokenizer)
 
     def ingest(self, docs: DataFrame) -> int:
         return self.index.add(docs)
@@ -28,8 +28,9 @@ class Engine:
             raise ValueError(f"{doc_id} has no text to index")
         return n
 
-    def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "hybrid") -> DataFrame:
-        return self.index.search(queries, top_k or self.conf.top_k, mode, self.conf.rrf_k)
+    def search(self, queries: DataFrame, top_k: int | None = None, mode: str = "hybrid", with_ranks: bool = True) -> DataFrame:
+        """Without ``with_ranks`` a single mode leaves out the other ranking."""
+        return self.index.search(queries, top_k or self.conf.top_k, mode, self.conf.rrf_k, with_ranks)
 
     def ask(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """(qid, messages, answer) of queries (qid, text)."""

@@ -543,12 +543,27 @@ def index_roundtrip(spark, sf_dir):
     return lexical.ranked(lexical.best(lexical.query_terms(asked(spark, sf_dir)), lexical.terms(posts, stats), lexical.weighted(posts, stats), K), K)
 
 
-@query()
+def indexed_sql(k: int) -> str:
+    """Both rankings and their fusion over chunks: the tables of the searches above, with chunks for documents."""
+    lexical_part = LEXICAL.replace("select doc_id as ord, ", "select ord, ").replace("from documents", "from cn")
+    dense_part = DENSE.replace("select 'd' as side, doc_id as id, lower(coalesce(text, '')) as t from documents", "select 'd' as side, ord as id, lower(coalesce(text, '')) as t from cn")
+    return f"""with recursive so as (select doc_id as doc, 0 as sec, '' as title, {SENTENCES} as s from documents), {packing(C.SIZE, C.OVERLAP)},
+cn as (select doc * 1000000 + chunk_id as ord, text from ck), {lexical_part}, {dense_part},
+fu as (select qid, ord, sum(1.0::double / (60 + rank)) as score, max(rank) filter (ranker = 'dense') as dense_rank, max(rank) filter (ranker = 'bm25') as bm25_rank
+  from (select qid, ord, rank, 'dense' as ranker from de where rank <= {4 * k} union all select qid, ord, rank, 'bm25' from bm where rank <= {4 * k}) group by qid, ord),
+ra as (select *, row_number() over (partition by qid order by round(score, 12) desc, dense_rank nulls last, bm25_rank nulls last) as rank from fu)
+select qid, cast(rank as int) as rank, sha256(text) as text_sha256, round(score, 9) as score, coalesce(dense_rank, 0) as dense_rank, coalesce(bm25_rank, 0) as bm25_rank from ra join cn using (ord) where rank <= {k}"""
+
+
+@query(indexed_sql(K))
 def incremental_append(spark, sf_dir):
-    """Documents indexed in two batches, and searched with both rankings."""
+    """Documents indexed in two batches, compacted, and searched with both rankings. Equal texts are known by their digest."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     own = index.Index(spark, f"{shared_dir(spark)}/lodespark/index-{uuid.uuid4().hex}")
     for part in (0, 1):
         own.add(docs.where(F.pmod(F.crc32("doc_id"), F.lit(2)) == part))
+    own.compact()
+    own.vacuum(0)
     out = own.search(asked(spark, sf_dir), K)
-    return out.select("qid", "rank", "key", F.round("score", 9).alias("score"), "dense_rank", "bm25_rank")
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "bm25_rank")]
+    return out.select("qid", "rank", sha(F.col("text")).alias("text_sha256"), F.round("score", 9).alias("score"), *ranks)

@@ -18,6 +18,7 @@ class Settings:
     rrf_k: int = 60
     embedder: str = "hash"
     embed_dim: int = 512
+    tokenizer: str = "words"
     index_dir: str = "index"
     llm_base_url: str = "http://localhost:8000/v1"
     llm_model: str = ""

@@ -88,7 +88,7 @@ def test_writers_at_once_keep_all(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(write, range(4)))
     found = one.chunks().collect()
-    assert sorted(r.ord for r in found) == list(range(24)) and len({r.doc_id for r in found}) == 24 and one.meta() == {"embedder": "hash", "dim": 512, "n": 24, "batches": 8}
+    assert sorted(r.ord for r in found) == list(range(24)) and len({r.doc_id for r in found}) == 24 and one.meta() == {"embedder": "hash", "dim": 512, "tokenizer": "words", "n": 24, "batches": 8}
     out = one.search(asked(spark, "word3x1x2", "word0x0x1"), 1, "bm25").collect()
     assert {r.qid: r.doc_id for r in out} == {0: "w3b1d2", 1: "w0b0d1"}
 
