@@ -43,7 +43,8 @@ LONG, POSTED = 256, 256
 #: Counters of the sketch, as a power of 2, and how many go into one row of it.
 SKETCH_BITS, ROW_BITS = 21, 15
 #: Turns in which lists' nodes are linked to some of them before all pairs left are looked for; a turn in which fewer than one pair in FRUITLESS links is the last. A node is tried with some TRIES others a turn.
-STARS, FRUITLESS, TRIES = 10, 40, 8
+#: There are no more turns, either, once a node meets so few of other components in a list, in the mean.
+STARS, FRUITLESS, TRIES, MEETS = 10, 40, 8, 32
 #: Members compared with one node in one task, and those merged for one node in one task.
 TOGETHER, MERGED = 64, 1 << 16
 
@@ -131,7 +132,8 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
     width = 1 << ROW_BITS
 
     def packed(i: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at, n))], ["i", "at", "n"])
+        n = n.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if n.max() <= np.iinfo(t).max))
+        return pa.RecordBatch.from_arrays([pa.array([i, n.itemsize], pa.int32())[k : k + 1] for k in (0, 1)] + [pa.array([x.tobytes()], pa.binary()) for x in (at, n)], ["i", "size", "at", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -143,25 +145,25 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
             own = total[i * width : (i + 1) * width]
             some = np.flatnonzero(own)
             if len(some):
-                yield packed(i, some.astype(np.uint16), own[some]) if len(some) * 3 < width * 2 else packed(i, some[:0].astype(np.uint16), own)
+                yield packed(i, some.astype(np.uint16), own[some]) if len(some) * 3 < width else packed(i, some[:0].astype(np.uint16), own)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = None, np.zeros(width, np.int64)
         for batch in batches:
-            for i, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, size, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i != last:
                     if last is not None:
                         yield packed(last, total[:0], total)
                     last, total = i, np.zeros(width, np.int64)
-                total[np.frombuffer(at, np.uint16) if at else slice(None)] += np.frombuffer(n, np.int32)
+                total[np.frombuffer(at, np.uint16) if at else slice(None)] += np.frombuffer(n, f"u{size}").astype(np.int64)
         if last is not None:
             yield packed(last, total[:0], total)
 
-    kind = "i int, at binary, n binary"
+    kind = "i int, size int, at binary, n binary"
     added = texts.select("text").mapInArrow(count, kind).repartition("i").sortWithinPartitions("i").mapInArrow(add, kind)
     out = np.zeros(1 << SKETCH_BITS, np.float64)
     for row in added.collect():
-        out[row.i * width : (row.i + 1) * width] = np.frombuffer(row.n, np.int64)
+        out[row.i * width : (row.i + 1) * width] = np.frombuffer(row.n, f"u{row['size']}")
     return np.log2(np.maximum(1, out / max(1.0, out.mean()))).astype(np.uint8)
 
 
@@ -181,7 +183,7 @@ def described(texts: DataFrame, size: int, percent: int, ranks: np.ndarray) -> D
     return made.select("id", "n", F.struct("k1", "k2", "n").alias("k"), "prefix")
 
 
-def unpacked(nodes: DataFrame, percent: int, repeated: np.ndarray | None = None) -> DataFrame:
+def unpacked(nodes: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
     """(token, uid, n): a row for each shingle of a prefix; with the bit map ``repeated``, of those it has a bit for,
     and of a node with :func:`spare` of these at least, as any partner shares as many."""
 
@@ -306,7 +308,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     degree = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")), "degrees")
     dealt = lookup(pairs, degree, "a", "w").withColumn("part", F.expr(f"pmod(hash(b), cast(ceil(w / {TOGETHER}) as int))"))
     heads = dealt.select(F.col("a").alias("uid"), "a", "part").distinct().withColumn("kind", F.lit(0))
-    rows = heads.unionByName(dealt.select(F.col("b").alias("uid"), "a", "part", F.lit(1).alias("kind"))).join(texts, "uid")
+    rows = texts.join(small(materialize(heads.unionByName(dealt.select(F.col("b").alias("uid"), "a", "part", F.lit(1).alias("kind"))), "compared")), "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: set[bytes] = set()
@@ -328,7 +330,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(uid, text) of the wanted nodes (column uid): rows of their first ids are read again, and of those the ones with the node's set."""
-    asked = materialize(nodes.join(wanted.distinct(), "uid", "left_semi").select("uid", "first", "k"), "asked")
+    asked = materialize(nodes.select("uid", "first", "k").join(small(materialize(wanted.distinct(), "wanted")), "uid", "left_semi"), "asked")
     ids = small(asked.select(F.col("first").alias("id")).distinct())
     some = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
 
@@ -339,15 +341,22 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -
                 yield pa.RecordBatch.from_arrays([part.column("text"), *(pa.array(x) for x in sets.sums), pa.array(sets.n)], ["text", "k1", "k2", "n"])
 
     keyed = some.select("text").mapInArrow(run, "text string, k1 bigint, k2 bigint, n bigint").select("text", F.struct("k1", "k2", "n").alias("k"))
-    return materialize(keyed.join(asked.select("uid", "k"), "k").groupBy("uid").agg(F.min("text").alias("text")), "candidate-texts")
+    return materialize(keyed.join(small(asked.select("uid", "k")), "k").groupBy("uid").agg(F.min("text").alias("text")), "candidate-texts")
 
 
 def first_stars(listed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the nodes of each list with one of them, the same for all lists as far as it goes; pairs that share half of what is needed."""
-    heads = listed.groupBy("token").agg(F.min(F.struct(F.xxhash64("uid").alias("by"), "uid", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = listed.join(heads, "token").where(f"uid <> head.uid and 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
-    found = pairs.groupBy(F.col("head.uid").alias("a"), F.col("uid").alias("b"), "n", F.col("head.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    return found.where(f"2 * c >= {needed_sql('n', 'm', percent)}").select("a", "b")
+    """(a, b): the nodes of each list with its first one; pairs that share half of what is needed."""
+    heads = listed.groupBy("token").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "a")
+    found = listed.join(heads, "token").where("uid <> a").groupBy("a", "uid", "n").agg(F.count(F.lit(1)).alias("c")).where("2 * c >= 1 + n div 32")
+    sizes = listed.select(F.col("uid").alias("a"), F.col("n").alias("m")).distinct()
+    return found.join(sizes, "a").where(f"100 * least(n, m) >= {percent} * greatest(n, m) and 2 * c >= {needed_sql('n', 'm', percent)}").select("a", F.col("uid").alias("b"))
+
+
+def work_left(listed: DataFrame, groups: DataFrame) -> float:
+    """How many nodes of other components a node of a list meets there, in the mean."""
+    own = listed.join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    lists = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max("c").alias("inside"), F.sum("c").alias("w"))
+    return lists.agg(F.sum(F.col("w") * (F.col("w") - F.col("inside"))) / F.sum("w")).first()[0] or 0.0
 
 
 def more_stars(listed: DataFrame, groups: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -364,24 +373,22 @@ def more_stars(listed: DataFrame, groups: DataFrame, percent: int, turn: int) ->
     return best.join(leaders, "root").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("uid").alias("b"))
 
 
-def links(nodes: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
-    """(a, b): similar nodes, enough to connect all that are connected. nodes: (uid, first, k, n, prefix); texts: (id, text)."""
-    spark = nodes.sparkSession
-    lists = unpacked(nodes, percent).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+def links(nodes: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """(a, b): similar nodes, enough to connect all that are connected. nodes: (uid, first, k); prefixes: (uid, n, prefix); texts: (id, text)."""
+    lists = unpacked(prefixes).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     repeated = bit_words(materialize(lists.select(F.col("token").alias("h")), "repeated-shingles"))
-    listed = materialize(unpacked(nodes, percent, repeated), "listed")
-    found, groups = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "uid bigint, root bigint")
+    listed = materialize(unpacked(prefixes, repeated), "listed")
+    own = texts_of(listed.select("uid"), nodes, texts, size)
+    found, groups = None, None
     for turn in range(STARS):
         pairs = materialize(more_stars(listed, groups, percent, turn) if turn else first_stars(listed, percent), "stars")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
-        more = materialize(verified(pairs, texts_of(wanted, nodes, texts, size), size, percent), "star-links")
-        found = found.unionByName(more)
+        more = materialize(verified(pairs, own, size, percent), "star-links")
+        found = found.unionByName(more) if found is not None else more
         groups = components(found).select(F.col("node").alias("uid"), "root")
-        if more.count() * FRUITLESS < pairs.count():
+        if work_left(listed, groups) <= MEETS or turn and more.count() * FRUITLESS < pairs.count():
             break
     pairs = materialize(crossing(listed, groups, percent, long), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
-    return found.unionByName(verified(pairs, texts_of(wanted, nodes, texts, size), size, percent))
+    return found.unionByName(verified(pairs, own, size, percent))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
@@ -395,10 +402,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     with temporary_tables(spark):
         texts = own_texts(docs, id_col, text_col)
-        base = materialize(described(texts, size, percent, sketch(texts, size)), "sets")
-        nodes = base.where("n > 0").groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("prefix").alias("prefix"))
-        nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("uid"), "first", "copies", "k", F.col("k.n").alias("n"), "prefix"), "set-nodes")
-        linked = components(materialize(links(nodes, texts, size, percent, long), "links")).select(F.col("node").alias("uid"), "root")
+        base = materialize(described(texts, size, percent, sketch(texts, size)).withColumn("uid", F.monotonically_increasing_id()), "sets")
+        nodes = materialize(base.where("n > 0").groupBy("k").agg(F.min("uid").alias("uid"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "set-nodes")
+        # of several copies, only the first one's prefix is looked at
+        again = materialize(base.where("n > 0").select("uid").join(nodes.select("uid"), "uid", "left_anti"), "copies")
+        prefixes = base.where("n > 0").select("uid", "n", "prefix").join(small(again), "uid", "left_anti")
+        linked = components(materialize(links(nodes, prefixes, texts, size, percent, long), "links")).select(F.col("node").alias("uid"), "root")
         own = materialize(nodes.join(linked, "uid", "left").select("k", "first", "copies", F.coalesce("root", "uid").alias("root")), "set-roots")
         names = materialize(own.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("w")), "names")
         named = materialize(lookup(own, names, "root", "w").select("k", "copies", "component_id"), "named-sets")
