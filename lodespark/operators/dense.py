@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import vectors as V
+from .arrow import map_in_arrow
 from .lexical import ranked
 
 #: Numbers of a query matrix, whether sent to all tasks or held by one; and documents multiplied at once.
@@ -63,8 +65,7 @@ def embed(docs: DataFrame, text_col: str = "text", dim: int = V.DIM, out: str =
 
     text_at = keep.index(text_col)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, `{out}` array<float>")
+    return map_in_arrow(rows, run, StructType([*rows.schema.fields, StructField(out, ArrayType(FloatType()))]))
 
 
 class _Best:
