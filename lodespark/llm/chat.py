@@ -20,6 +20,9 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..operators.arrow import map_in_arrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = 64
@@ -35,16 +38,25 @@ FIELDS = [
 ]
 
 
+def named(field: str) -> str:
+    """A field's name in a path: what marks paths is escaped, so that no name looks like one."""
+    return re.sub(r"([\\.\[\]\n])", r"\\\1", field)
+
+
 def paths(value, at: str = "") -> set[str]:
     """The nested field paths of a parsed record; [] stands for the elements of a list."""
     if isinstance(value, dict):
-        inner = set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
+        inner = set().union(*(paths(v, f"{at}.{named(k)}" if at else named(k)) for k, v in value.items())) if value else set()
         return inner or {at}
     if isinstance(value, list):
         return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at}
 
 
+#: A step of a path, with what is escaped in it.
+STEP = re.compile(r"(?:\\.|[^\\.\[\]])+", re.S)
+
+
 def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
@@ -69,20 +81,21 @@ class Mappings:
         """fingerprint -> ("list", name, role, text, roles) or ("fields", ((field, role), ...))."""
         out: dict[str, tuple] = {}
         for name, role, text, roles in self.lists:
-            whole, parts = f"{name}[].{text}", {f"{name}[].{text}[].text", f"{name}[].{text}[]"}
+            entry = f"{named(name)}[]"
+            whole, parts = f"{entry}.{named(text)}", {f"{entry}.{named(text)}[].text", f"{entry}.{named(text)}[]"}
             texts = [{whole}, *({*some, *more} for more in ((), (whole,)) for n in (1, 2) for some in combinations(sorted(parts), n)), set()]
             for some in texts:
-                out[fingerprint({f"{name}[].{role}", *some} if some else {f"{name}[]"})] = ("list", name, role, text, roles)
+                out[fingerprint({f"{entry}.{named(role)}", *some} if some else {entry})] = ("list", name, role, text, roles)
         for fields, optional in self.fields:
             for n in range(len(optional) + 1):
                 for gone in combinations(sorted(optional), n):
                     some = tuple(f for f in fields if f[0] not in gone)
-                    out[fingerprint({f for f, _ in some})] = ("fields", some)
+                    out[fingerprint({named(f) for f, _ in some})] = ("fields", some)
         return out
 
     def find(self, found: set[str]) -> tuple | None:
         """The mapping of a record's paths without the optional ones."""
-        return self.table.get(fingerprint({p for p in found if not self.optional & set(p.replace("[]", "").split("."))}))
+        return self.table.get(fingerprint({p for p in found if not self.optional & set(STEP.findall(p))}))
 
 
 DEFAULT = Mappings()
@@ -95,19 +108,34 @@ def said(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+#: Half of a pair that makes up one character, as JSON may escape it.
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def canonical(record: str | None, mappings: Mappings = DEFAULT) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """(fingerprint of all paths, turns) of a JSON record; turns are None where no mapping fits, both where it isn't JSON."""
+    """(fingerprint of all paths, turns) of a JSON record; turns are None where no mapping fits.
+
+    That is so, too, where a list has elements that are no turns. Both are None where it isn't JSON: broken,
+    nested too deeply to be read, or with half a character, which no text can hold."""
     try:
         value = json.loads(record or "")
-    except ValueError:
+        if SURROGATE.search(record or ""):
+            json.dumps(value, ensure_ascii=False).encode()
+        found = paths(value)
+        return fingerprint(found), turns_of(value, mappings.find(found))
+    except (ValueError, RecursionError):
         return None, None
-    found = paths(value)
-    match mappings.find(found) if isinstance(value, dict) else None:
-        case ("list", name, role, content, roles) if all(role in t and content in t for t in value[name]):
-            return fingerprint(found), [(roles.get(said(t[role]), said(t[role])), said(t[content])) for t in value[name]]
-        case ("fields", fields):
-            return fingerprint(found), [(role, said(value[field])) for field, role in fields]
-    return fingerprint(found), None
+
+
+def turns_of(value, mapping: tuple | None) -> list[tuple[str, str]] | None:
+    match mapping if isinstance(value, dict) else None:
+        case ("list", name, role, content, roles):
+            own = value.get(name)
+            if isinstance(own, list) and all(isinstance(t, dict) and role in t and content in t for t in own):
+                return [(roles.get(said(t[role]), said(t[role])), said(t[content])) for t in own]
+        case ("fields", fields) if all(field in value for field, _ in fields):
+            return [(role, said(value[field])) for field, role in fields]
+    return None
 
 
 def escape(text: str) -> str:
@@ -158,8 +186,9 @@ def format_records(records: DataFrame, record_col: str = "record", mappings: Map
 
     ``mappings``: the layouts that are known.
 
-    Records of unknown layout keep their fingerprint and get null turns, text and
-    spans; null and broken JSON gets a null fingerprint too. A record without turns
+    Records of unknown layout, or with list elements that are no turns, keep their fingerprint and get
+    null turns, text and spans; null and broken JSON, nesting too deep to read and half characters give
+    a null fingerprint too. A record without turns
     becomes an empty text. All other columns stay, but those four are replaced."""
     made = ("schema_fingerprint", "turns", "formatted", "loss_spans")
     keep = [c for c in records.columns if c not in made]
@@ -176,9 +205,9 @@ def format_records(records: DataFrame, record_col: str = "record", mappings: Map
                 spans.append(None if mask is None else [{"a": a, "b": b} for a, b in mask])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(keys, pa.string()), pa.array(turns, TURNS), pa.array(texts, pa.string()), pa.array(spans, SPANS)], [*keep, *made])
 
-    rows = records.select(*keep)
-    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, schema_fingerprint string, turns array<struct<role:string,text:string>>, formatted string, loss_spans array<struct<a:int,b:int>>")
+    rows = records.select(*(f"`{c}`" for c in keep))
+    added = StructType.fromDDL("schema_fingerprint string, turns array<struct<role:string,text:string>>, formatted string, loss_spans array<struct<a:int,b:int>>")
+    return map_in_arrow(rows, run, StructType([*rows.schema.fields, *added.fields]))
 
 
 def records_of(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:

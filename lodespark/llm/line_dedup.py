@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.arrow import map_in_arrow
 from .shared import bit_words, lookup, marked, materialize, slices, unused
 from .words import BASE, byte_view, mix, run_hashes
 
@@ -369,7 +370,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count as one document likewise. All other columns stay, whatever their names, but
     chunks_removed and chars_removed are replaced. An empty table gives an empty one."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,7 +400,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = spans.unionByName(repeated_passages(rows, places, gone, kind, known)) if passages else spans
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
-    own_id, own_key, drops = unused(docs.select(*keep), "id_", "key_", "gone")
+    own_id, own_key, drops = unused(docs, "id_", "key_", "gone")
     found = spans.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone")).toDF(own_id, own_key, drops)
     keyed = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(f"`{id_col}`", f"`{text_col}`") == F.col(own_key))
     joined = docs.select(*(f"`{c}`" for c in keep)).join(found, keyed, "left").drop(own_id, own_key)
@@ -423,7 +424,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts), pa.array(chars)], [*keep, "chunks_removed", "chars_removed"])
 
     fields = [docs.schema[c] for c in keep]
-    return joined.mapInArrow(without, StructType([*fields, StructField("chunks_removed", LongType()), StructField("chars_removed", LongType())]))
+    return map_in_arrow(joined, without, StructType([*fields, StructField("chunks_removed", LongType()), StructField("chars_removed", LongType())]))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

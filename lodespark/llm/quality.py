@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators.arrow import map_in_arrow
+
 #: Labelled documents used at most, for each label, for the dictionaries and for the curve; each is taken whole.
 SAMPLE = 1200
 BLOCK, DICT_BYTES, LEVEL = 1024, 110_000, 3
@@ -93,12 +95,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """The texts' most useful pieces, or where there are too few to choose from, the texts themselves."""
+    """The texts themselves where they fit, and else their most useful pieces.
+
+    If zstandard finds nothing to choose by, pieces that lie evenly over all texts."""
     pieces = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
+    total = sum(map(len, pieces))
+    if total <= DICT_BYTES:
+        return b"".join(pieces)
     try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces, k=256, d=8).as_bytes() if sum(map(len, pieces)) > 4 * DICT_BYTES else b"".join(pieces)[-DICT_BYTES:]
+        return zstandard.train_dictionary(min(DICT_BYTES, total // 4), pieces, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-DICT_BYTES:]
+        return b"".join(pieces[:: -(-total // DICT_BYTES)])[:DICT_BYTES]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -131,8 +138,8 @@ def with_score(docs: DataFrame, model: Model, column: str = "score", text_col: s
             made = [of((t.as_py() or "").encode()) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(made, pa.float64())], [*keep, column])
 
-    rows = docs.select(*keep)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
+    rows = docs.select(*(f"`{c}`" for c in keep))
+    return map_in_arrow(rows, run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.arrow import map_in_arrow
 from .bpe import byte_symbols
 from .shared import unused
 
@@ -163,8 +164,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             columns += [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3)] if edits_col else []
             yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *made])
 
-    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(f"n_tokens bigint, token_tree {TREE}" + (", n_tokens_after bigint, chars_reencoded bigint" if edits_col else "")).fields])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(f"n_tokens bigint, token_tree {TREE}" + (", n_tokens_after bigint, chars_reencoded bigint" if edits_col else "")).fields])
+    return map_in_arrow(docs, run, schema)
 
 
 def gathered(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:

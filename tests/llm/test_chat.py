@@ -69,3 +69,32 @@ def test_query_on_odd_rows(spark):
 
 def test_empty_table(spark):
     assert C.digests(C.format_records(C.records_of(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")))).count() == 0
+
+
+BAD = [
+    '{"messages":[null]}', '{"messages":[5]}', '{"messages":["role content"]}', '{"messages[]":1}', '{"messages[].role":1,"messages[].content":"x"}', '{"messages":[{"role":"user","content":"\\ud800"}]}',
+    '{"\\udfff":1}', "[" * 100_000 + "]" * 100_000, '{"messages":' + "[" * 900 + "]" * 900 + "}", '{"messages":{"role":"user","content":"x"}}', '{"prompt":"a"', "null", "5", '"text"', '{"messages":[{"role":"user","content":"x"},7]}',
+    '{"messages":[[{"role":"user","content":"x"}]]}', "9" * 5000,
+]
+
+
+def test_bad_records_give_null_turns(spark):
+    from lodespark.llm import chat
+
+    good = '{"messages":[{"role":"user","content":"\\ud83d\\ude00 a.b"}]}'
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate([*BAD, good])], "`i.d` int, record string")
+    made = chat.format_records(frame).collect()
+    assert made[0].asDict().keys() == {"i.d", "record", "schema_fingerprint", "turns", "formatted", "loss_spans"}
+    for row in made[:-1]:
+        assert row.turns is None and row.formatted is None and row.loss_spans is None, row.record[:60]
+    assert [(t.role, t.text) for t in made[-1].turns] == [("user", "\U0001f600 a.b")]
+    assert made[0].schema_fingerprint is not None and made[6].schema_fingerprint is None and made[5].schema_fingerprint is None
+
+
+def test_names_with_marks_of_paths():
+    from lodespark.llm import chat
+
+    own = chat.Mappings(lists=(("a.b[]", "r.x", "c[]", {}),), fields=(), optional=frozenset({"id"}))
+    assert chat.canonical('{"a.b[]":[{"r.x":"user","c[]":"hi"}],"id":1}', own)[1] == [("user", "hi")]
+    assert chat.canonical('{"a":{"b[]":[{"r":{"x":"user"},"c":["hi"]}]}}', own)[1] is None
+    assert chat.canonical('{"a.id":1,"messages":[]}')[1] is None  # a name that holds an optional one is another name
