@@ -34,7 +34,7 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines and passages that an earlier document has; n_chars follows the text.
 
     No row goes: null and empty texts stay as they are, and rows of one id count as one document."""
-    out = line_dedup.deduplicate_lines(docs, passages=True)
+    out = line_dedup.deduplicate_lines(docs, passages=True, lines=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 

@@ -8,6 +8,12 @@ wherever they stand. Chunks that occur again, by comparison of their bytes, are
 where neighbouring ones together have two lines and ``MIN_WORDS`` words or more: the
 occurrence in the document with the smallest id stays, the first one there.
 
+A block of a few lines may hold no whole chunk. So each line also begins a finest chunk, of as few
+lines, two at least, as have MIN_WORDS words. Those that occur again outside of what goes with larger
+chunks are compared word by word with their first occurrence, and to the right as far
+as whole lines agree. As any repeated block is made up of them, none of two lines
+and more is missed.
+
 Equal passages may begin or end within a line, and one very long line is never cut.
 So passages of ``PASSAGE`` words and more go too, wherever they begin: seeds are the
 smallest hashes of ``SEED_WORDS`` words in each window of ``SEED_WINDOW``, so that each
@@ -28,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.arrow import map_in_arrow
+from ..operators.sizes import small
 from .shared import bit_words, lookup, marked, materialize, slices, unused
 from .words import BASE, byte_view, mix, run_hashes
 
@@ -42,13 +49,15 @@ SEED_WINDOW = PASSAGE - SEED_WORDS + 1
 AROUND = PASSAGE - 1
 #: Neighbouring seeds are compared together, in stretches that end at one seed in so many and after so many.
 STRETCH_EVERY, STRETCH_SEEDS = 8, 32
+#: Words that a finest chunk of lines has at most: longer ones are passages.
+LINE_WORDS = SEED_WORDS + AROUND
 WORD = re.compile(rb"[^ \t\n\v\f\r]+")
 SENTENCE = np.zeros(256, bool)
 SENTENCE[list(b".!?")] = True
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
-SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
-SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int>>"
+SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
+SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int,n:int>>"
 PLACES = {"id": None, "key": "bigint", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
 
 
@@ -65,6 +74,15 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, ends, word, word_end, run_hashes(data, word, word_end), np.searchsorted(ends, word, "right") - 1
 
 
+def line_ends(found: tuple) -> np.ndarray:
+    """Whether a line ends with each word."""
+    data, _, word, word_end, _, doc_of_word = found
+    fold = SENTENCE[data[word_end - 1]]
+    fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
+    fold[np.append(doc_of_word[1:] != doc_of_word[:-1], True)] = True
+    return fold
+
+
 def chunks(found: tuple) -> dict[str, np.ndarray]:
     """The chunks of texts that :func:`split` took apart: doc, start and end byte, lines, words and hash.
 
@@ -73,8 +91,7 @@ def chunks(found: tuple) -> dict[str, np.ndarray]:
     if not len(word):
         none = np.zeros(0, np.int64)
         return {"doc": none, "start": none, "end": none, "lines": none, "words": none, "hash": none.view(np.uint64)}
-    fold = SENTENCE[data[word_end - 1]]
-    fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
+    fold = line_ends(found)
     fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])
     begins = np.flatnonzero(np.concatenate([[True], fold[:-1]]) | fresh)
     doc, first = doc_of_word[begins], fresh[begins]
@@ -138,6 +155,31 @@ def seeds(found: tuple) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def line_seeds(found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, words) of the finest chunks of lines."""
+    hashes, doc = found[4], found[5]
+    none = np.zeros(0, np.int64)
+    if not len(hashes):
+        return none, none.view(np.uint64), none
+    stops = np.flatnonzero(line_ends(found)) + 1
+    begins = np.concatenate([[0], stops[:-1]])
+    last = np.maximum(np.arange(len(begins)) + 1, np.searchsorted(stops, begins + MIN_WORDS))
+    begins, last = begins[last < len(stops)], last[last < len(stops)]
+    own = (doc[begins] == doc[stops[last] - 1]) & (stops[last] - begins <= LINE_WORDS)
+    begins, ends = begins[own], stops[last[own]]
+    return begins, np.maximum(run_hashes(hashes, begins, ends) ^ BASE, np.uint64(1)), ends - begins
+
+
+def all_seeds(found: tuple, passages: bool, lines: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, words) of the seeds of both kinds, by place; a passage's seeds have no words of their own."""
+    none = np.zeros(0, np.int64)
+    at, h = seeds(found) if passages else (none, none.view(np.uint64))
+    more = line_seeds(found) if lines else (none, none.view(np.uint64), none)
+    at, h, n = np.concatenate([at, more[0]]), np.concatenate([h, more[1]]), np.concatenate([np.zeros(len(at), np.int64), more[2]])
+    order = np.argsort(at, kind="stable")
+    return at[order], h[order], n[order]
+
+
 def rows_of(part: pa.RecordBatch, of: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of PLACES for the rows ``of`` of a batch, with nulls for columns that are not given."""
     take = pa.array(of, pa.int64())
@@ -175,17 +217,18 @@ class Stretches:
     w: np.ndarray
     a: np.ndarray
     b: np.ndarray
+    n: np.ndarray
     begins: np.ndarray
     start: np.ndarray
     stop: np.ndarray
 
 
-def stretches(found: tuple, known: Callable) -> Stretches | None:
-    """The seeds whose hashes are ``known``, if there are any."""
+def stretches(found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Stretches | None:
+    """The seeds of these kinds (passages, lines) whose hashes are ``known``, if there are any."""
     _, ends, word, word_end, _, doc_of_word = found
-    at, h = seeds(found)
+    at, h, n = all_seeds(found, *kinds)
     take = known(h)
-    at, h = at[take], h[take]
+    at, h, n = at[take], h[take], n[take]
     if not len(at):
         return None
     doc = doc_of_word[at]
@@ -202,36 +245,54 @@ def stretches(found: tuple, known: Callable) -> Stretches | None:
     of = np.flatnonzero(fresh)
     s = number - number[np.repeat(of, np.diff(np.append(of, len(at))))]
     base = ends[doc]
-    a, b = word[np.maximum(at - AROUND, low)] - base, word_end[np.minimum(at + SEED_WORDS + AROUND, high) - 1] - base
-    return Stretches(h, doc, number, s, at - from_word[number], a, b, begins, word[from_word], word_end[to_word - 1])
+    a = word[np.where(n > 0, at, np.maximum(at - AROUND, low))] - base
+    b = word_end[np.where(n > 0, at + n, np.minimum(at + SEED_WORDS + AROUND, high)) - 1] - base
+    to_byte = np.where(to_word == high[stops], ends[doc[stops] + 1], word[np.minimum(to_word, len(word) - 1)])  # with the space behind, which tells whether a line ends there
+    return Stretches(h, doc, number, s, at - from_word[number], a, b, n, begins, word[from_word], to_byte)
 
 
-def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
+def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
     """A row for each text that has such seeds, with them."""
-    if x := stretches(found, known):
-        fields = [x.h.view(np.int64), x.s, x.w, x.a, x.b]
+    if x := stretches(found, known, kinds):
+        fields = [x.h.view(np.int64), x.s, x.w, x.a, x.b, x.n]
         struct = pa.StructArray.from_arrays([pa.array(v).cast(t.type) for v, t in zip(fields, SEED_TYPE, strict=True)], fields=list(SEED_TYPE))
         of = np.flatnonzero(np.concatenate([[True], x.doc[1:] != x.doc[:-1]]))
         yield rows_of(part, x.doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(x.h)), pa.int32()), struct))
 
 
-def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> Iterator[pa.RecordBatch]:
-    """A row (id, key, s, a, content) for each stretch: its number and first byte in the text, and its bytes."""
-    if x := stretches(found, known):
+def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
+    """A row (id, key, s, a, content) for each stretch: its number and first byte in the text, and its bytes, at a text's end with a line's end."""
+    if x := stretches(found, known, kinds):
         data, ends = found[0], found[1]
         for i in range(0, len(x.begins), 1024):
             some = slice(i, i + 1024)
             mine = x.begins[some]
             doc, take = x.doc[mine], pa.array(x.doc[mine], pa.int64())
-            texts = [data[p:q].tobytes() for p, q in zip(x.start[some].tolist(), x.stop[some].tolist(), strict=True)]
+            texts = [data[p:q].tobytes() + b"\n" * last for p, q, last in zip(x.start[some].tolist(), x.stop[some].tolist(), (x.stop[some] == ends[doc + 1]).tolist(), strict=True)]
             arrays = [part.column("id").take(take), part.column("key").take(take), pa.array(x.s[mine]).cast(pa.int32()), pa.array(x.start[some] - ends[doc]).cast(pa.int32()), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "s", "a", "content"])
 
 
-def agreeing(own: bytes, other: bytes, places: list[tuple[int, int]], least: int = PASSAGE) -> list[tuple[int, int]]:
-    """Bytes of ``own`` that agree with ``other`` around places, as words in each, in runs of ``least`` words or more; the space behind goes with them."""
-    mine, theirs, out, done = own.split(), other.split(), [], {}
-    for i, j in sorted(places):
+def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], least: int = PASSAGE) -> list[tuple[int, int]]:
+    """Bytes of ``own`` that agree with ``other`` around places, as words in each; the space behind goes with them.
+
+    A place is the first word in each, and the number of words of a finest chunk of lines, which with
+    the lines after it that agree is enough, or 0: then runs of ``least`` words or more are."""
+    mine, theirs, out, done, ended = own.split(), other.split(), [], {}, {}
+    spans = [m.span() for m in WORD.finditer(own)]
+    ends_line = [own[e - 1] in b".!?" or b"\n" in own[e : spans[k + 1][0] if k + 1 < len(spans) else len(own)] for k, (_, e) in enumerate(spans)]
+    for i, j, n in sorted(places):
+        if n:
+            if i + n <= ended.get(i - j, 0) or mine[i : i + n] != theirs[j : j + n]:
+                continue
+            b, d, whole = i + n, j + n, i + n
+            while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
+                b, d = b + 1, d + 1
+                if ends_line[b - 1]:
+                    whole = b
+            ended[i - j] = whole
+            out.append((i, whole))
+            continue
         if i < done.get(i - j, 0):
             continue
         a, b, c, d = i, i, j, j
@@ -242,9 +303,6 @@ def agreeing(own: bytes, other: bytes, places: list[tuple[int, int]], least: int
         done[i - j] = b
         if b - a >= least:
             out.append((a, b))
-    if not out:
-        return []
-    spans = [m.span() for m in WORD.finditer(own)]
     return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in out]
 
 
@@ -290,7 +348,7 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
-    """(id, key, s, w, h) of the seeds with words around them that are not gone."""
+    """(id, key, s, w, h, n) of the seeds with words around them, or in their lines, that are not gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,31 +361,31 @@ def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
                 a, b = (np.asarray(flat.field(n), np.int64) for n in ("a", "b"))
                 left = np.flatnonzero(stops[np.searchsorted(starts, a, "right")] < b)
                 of.append(np.full(len(left), i))
-                out.append([np.asarray(flat.field(n))[left] for n in ("s", "w", "h")])
+                out.append([np.asarray(flat.field(n))[left] for n in ("s", "w", "h", "n")])
             take = pa.array(np.concatenate(of), pa.int64()) if of else pa.array([], pa.int64())
-            made = [pa.array(np.concatenate([x[k] for x in out]), t) if out else pa.array([], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *made], ["id", "key", "s", "w", "h"])
+            made = [pa.array(np.concatenate([x[k] for x in out]), t) if out else pa.array([], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *made], ["id", "key", "s", "w", "h", "n"])
 
     rows = places.where("seeds is not null").select("id", "key", "seeds")
     gone = gone.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "gone")
     rows = rows.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
-    return rows.select("id", "key", "seeds", "gone").mapInArrow(run, f"id {kind}, key bigint, s int, w int, h bigint")
+    return rows.select("id", "key", "seeds", "gone").mapInArrow(run, f"id {kind}, key bigint, s int, w int, h bigint, n int")
 
 
-def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind: str, known: Callable) -> DataFrame:
+def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind: str, known: Callable, kinds: tuple[bool, bool]) -> DataFrame:
     """(id, key, a, b) of the passages that agree with those around the first occurrence of a seed.
 
     First is the smallest id, null last, then the place. Rows of one id but unlike texts are not compared."""
     every = places.where("seeds is not null").select("id", "key", F.explode("seeds").alias("x")).select("id", "key", "x.h", "x.s", "x.w")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "s", "w")
-    first = every.groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.select("h", "n", F.struct("f.id", "f.key", "f.s").alias("f"), F.col("f.w").alias("f_w")), "first-seeds")
+    first = every.groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("weight")).where("weight > 1")
+    first = materialize(first.select("h", "weight", F.struct("f.id", "f.key", "f.s").alias("f"), F.col("f.w").alias("f_w")), "first-seeds")
     some = materialize(open_seeds(places, gone, kind), "open-seeds")
-    pairs = lookup(some, first, "h", "n").where("n is not null")
+    pairs = lookup(some, first, "h", "weight").where("weight is not null")
     same_row = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
     pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
     # the places in one stretch; its words are read only now, from the texts that have some such stretch
-    pairs = materialize(pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w")).alias("at")), "stretch-pairs")
+    pairs = materialize(pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w", "n")).alias("at")), "stretch-pairs")
     keys = materialize(pairs.select(F.col("key").alias("h")).unionByName(pairs.select(F.col("f.key").alias("h"))).distinct(), "pair-keys")
     sent = rows.sparkSession.sparkContext.broadcast(bit_words(keys))
 
@@ -335,7 +393,7 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
         for batch in batches:
             some = batch.filter(pa.array(marked(sent.value, np.asarray(batch.column("key"), np.int64).view(np.uint64))))
             for part in slices(some, "text"):
-                yield from stretch_rows(part, split(part.column("text")), known)
+                yield from stretch_rows(part, split(part.column("text")), known, kinds)
 
     texts = materialize(rows.mapInArrow(cut_out, f"id {kind}, key bigint, s int, a int, content binary"), "stretches")
     weight = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
@@ -349,7 +407,7 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
             of, spans = [], []
             columns = (batch.column(c).to_pylist() for c in ("a", "content", "f_content", "at"))
             for i, (a, mine, theirs, at) in enumerate(zip(*columns, strict=True)):
-                for x, y in agreeing(mine, theirs, [(p["w"], p["f_w"]) for p in at]):
+                for x, y in agreeing(mine, theirs, [(p["w"], p["f_w"], p["n"]) for p in at]):
                     of.append(i)
                     spans.append((a + x, a + y))
             take = pa.array(of, pa.int64())
@@ -358,10 +416,11 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
     return both.select("id", "key", "a", "content", "f_content", "at").mapInArrow(compare, f"id {kind}, key bigint, a int, b int")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int | None = None, passages: bool = False) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int | None = None, passages: bool = False, lines: bool = False) -> DataFrame:
     """``docs`` with repeated chunks of lines taken out of the text, plus columns chunks_removed (spans taken out) and chars_removed.
 
-    With ``passages``, repeated passages of PASSAGE words go too, whole, wherever lines end.
+    With ``lines``, so do repeated blocks of two lines and MIN_WORDS words or more that hold no whole chunk. With
+    ``passages``, repeated passages of PASSAGE words go too, whole, wherever lines end.
     ``bits``: length of the bit map that passes over hashes that occur once; by default it
     follows their number. It decides only how much is looked at, never what goes.
 
@@ -369,14 +428,14 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     what they have in common stays in each. Rows without an id come after all others, and
     count as one document likewise. All other columns stay, whatever their names, but
     chunks_removed and chars_removed are replaced. An empty table gives an empty one."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, kinds = docs.schema[id_col].dataType.simpleString(), (passages, lines)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = split(part.column("text"))
-                h = [chunks(found)["hash"], *([seeds(found)[1]] if passages else [])]
+                h = [chunks(found)["hash"], all_seeds(found, *kinds)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
     met = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -390,20 +449,21 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch, "text"):
                 found = split(part.column("text"))
                 yield chunk_rows(part, found, known)
-                if passages:
-                    yield from seed_rows(part, found, known)
+                if any(kinds):
+                    yield from seed_rows(part, found, known, kinds)
 
     places = rows.mapInArrow(found_places, ", ".join(f"{n} {t or kind}" for n, t in PLACES.items()))
     places = materialize(places.withColumn("digest", F.unhex(F.sha2("content", 256))), "chunk-places")
     gone = materialize(repeated_chunks(places, kind, min_words), "gone-chunks")
     spans = gone.select("id", "key", F.explode("gone").alias("x")).select("id", "key", "x.a", "x.b")
-    spans = spans.unionByName(repeated_passages(rows, places, gone, kind, known)) if passages else spans
+    spans = spans.unionByName(repeated_passages(rows, places, gone, kind, known, kinds)) if any(kinds) else spans
 
     keep = [c for c in docs.columns if c not in ("chunks_removed", "chars_removed")]
     own_id, own_key, drops = unused(docs, "id_", "key_", "gone")
     found = spans.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone")).toDF(own_id, own_key, drops)
     keyed = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(f"`{id_col}`", f"`{text_col}`") == F.col(own_key))
-    joined = docs.select(*(f"`{c}`" for c in keep)).join(found, keyed, "left").drop(own_id, own_key)
+    # texts stay where they are unless very many of them lose something
+    joined = docs.select(*(f"`{c}`" for c in keep)).join(small(materialize(found, "spans")), keyed, "left").drop(own_id, own_key)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch, text_col)):
@@ -428,7 +488,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passages=True)
+    out = deduplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passages=True, lines=True)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "chunks_removed", "chars_removed", F.length("text").cast("bigint").alias("chars_left"), digest.alias("text_sha256"))
 

@@ -149,8 +149,8 @@ def without_repeats(rows):
     return out
 
 
-def plain_both(rows):
-    """Texts without the runs of repeated chunks and the repeated passages of PASSAGE words; both are looked for in the texts as they were."""
+def gone_from_both(rows):
+    """The characters of each text in runs of repeated chunks and repeated passages of PASSAGE words; both are looked for in the texts as they were."""
     seen, out, left = set(), [], dict(enumerate(t for _, t in plain(rows)))
     for n, (i, t) in enumerate(rows):
         gone = bytearray(len(t or ""))
@@ -168,10 +168,15 @@ def plain_both(rows):
                 a, b = words[k][0], words[k + L.PASSAGE][0] if k + L.PASSAGE < len(words) else words[-1][1]
                 gone[a:b] = b"\1" * (b - a)
             seen.add(window)
-        out.append((i, t if t is None else "".join(x for x, g in zip(t, gone, strict=True) if not g)))
+        out.append(gone)
     return out
 
 
+def plain_both(rows):
+    """Texts without these."""
+    return [(i, t if t is None else "".join(x for x, g in zip(t, gone, strict=True) if not g)) for (i, t), gone in zip(rows, gone_from_both(rows), strict=True)]
+
+
 def plain_words(rnd, n):
     return ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randrange(4, 9))) + rnd.choice(["", "", "", ",", "."]) for _ in range(n)]
 
@@ -217,3 +222,59 @@ def test_bit_map_of_any_length_gives_the_same(spark):
     docs = spark.createDataFrame([(i, " ".join(plain_words(rnd, 40)) + (" " + p if i % 3 else "")) for i in range(30)], "doc_id bigint, text string")
     found = [sorted(map(tuple, L.deduplicate_lines(docs, passages=True, bits=b).collect())) for b in (6, 12, None)]
     assert found[0] == found[1] == found[2] and sum(r[3] for r in found[0]) >= 19 * len(p)
+
+
+def without_blocks(rows):
+    """plain_both, and without each pair of neighbouring lines that an earlier text, or the text itself before, has; rows in order of id."""
+    first, out, base = {}, [], gone_from_both(rows)
+    for n, (i, t) in enumerate(rows):
+        lines, at = [], 0
+        for c, _, _ in cut(t or ""):
+            for m in re.finditer(r"[^\n]*\n?", c):
+                for part in re.finditer(r".*?[.!?](?:\s+|$)|.+$", m[0], re.S):
+                    lines.append((at + m.start() + part.start(), at + m.start() + part.end(), part[0].split()))
+            at += len(c)
+        assert "".join((t or "")[a:b] for a, b, _ in lines) == (t or "")
+        gone = bytearray(len(t or ""))
+        for k in range(len(lines) - 1):
+            pair = (tuple(lines[k][2]), tuple(lines[k + 1][2]))
+            if pair in first:
+                gone[lines[k][0] : lines[k + 1][1]] = b"\1" * (lines[k + 1][1] - lines[k][0])
+            first.setdefault(pair, (i, k))
+        out.append((i, "".join(x for x, g, h in zip(t, gone, base[n], strict=True) if not g and not h)))
+    return out
+
+
+def block_line(rnd):
+    return " ".join(plain_words(rnd, rnd.randrange(5, 16))).replace(".", "") + "\n"
+
+
+@pytest.mark.parametrize("lines", [2, 3, 5, 8])
+def test_every_repeated_block_of_lines_goes(spark, lines):
+    """Without passages: blocks of two lines and more that two documents have, within others, at an end, or as a whole text."""
+    rnd = random.Random(100 + lines)
+    rows, blocks = [], []
+    for n in range(120):
+        block = "".join(block_line(rnd) for _ in range(lines))
+        blocks.append(block)
+        rows += [(2 * n + k, "".join(block_line(rnd) for _ in range(rnd.randrange(0, 6) if n % 4 else 0)) + block + "".join(block_line(rnd) for _ in range(rnd.randrange(0, 6) if n % 4 != 1 and n % 4 else 0))) for k in range(2)]
+    out = {r.doc_id: r for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), lines=True).collect()}
+    recall = sum(out[2 * n + 1].chars_removed for n in range(120)) / sum(map(len, blocks))
+    print(f"{lines} lines, by chunks of lines alone: recall {recall:.3f}")
+    assert recall > 0.99 and all(out[2 * n].text == rows[2 * n][1] for n in range(120))
+    for n in range(120):
+        before = rows[2 * n + 1][1]
+        assert out[2 * n + 1].text.strip() == (before[: before.index(blocks[n])] + before[before.index(blocks[n]) + len(blocks[n]) :]).strip()
+
+
+def test_blocks_and_passages_equal_a_plain_loop(spark):
+    rnd = random.Random(12)
+    pool = ["".join(block_line(rnd) for _ in range(rnd.randrange(2, 5))) for _ in range(25)]
+    rows = []
+    for i in range(70):
+        parts = [rnd.choice(pool) if rnd.random() < 0.5 else block_line(rnd) for _ in range(rnd.randrange(0, 7))]
+        rows.append((i, "".join(parts)))
+    rows += [(70, pool[0] + pool[0]), (71, pool[3].rstrip("\n")), (72, rows[5][1]), (73, "")]
+    out = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True, lines=True).collect()}
+    want = dict(without_blocks(rows))
+    assert {i: t.split() for i, t in out.items()} == {i: t.split() for i, t in want.items()}
