@@ -225,7 +225,8 @@ def test_bit_map_of_any_length_gives_the_same(spark):
 
 
 def without_blocks(rows):
-    """plain_both, and without each pair of neighbouring lines that an earlier text, or the text itself before, has; rows in order of id."""
+    """plain_both, and without the shortest runs from each line on, of two lines and MIN_WORDS words, that an earlier text, or the text itself before, has, and the lines
+    after them that agree; rows in order of id."""
     first, out, base = {}, [], gone_from_both(rows)
     for n, (i, t) in enumerate(rows):
         lines, at = [], 0
@@ -236,12 +237,20 @@ def without_blocks(rows):
             at += len(c)
         assert "".join((t or "")[a:b] for a, b, _ in lines) == (t or "")
         gone = bytearray(len(t or ""))
-        for k in range(len(lines) - 1):
-            pair = (tuple(lines[k][2]), tuple(lines[k + 1][2]))
-            if pair in first:
-                gone[lines[k][0] : lines[k + 1][1]] = b"\1" * (lines[k + 1][1] - lines[k][0])
-            first.setdefault(pair, (i, k))
-        out.append((i, "".join(x for x, g, h in zip(t, gone, base[n], strict=True) if not g and not h)))
+        every = [x for _, _, own in lines for x in own]
+        for k in range(len(lines)):
+            j = next((j for j in range(k + 1, len(lines)) if sum(len(x[2]) for x in lines[k : j + 1]) >= L.MIN_WORDS), None)
+            if j is None or sum(len(x[2]) for x in lines[k : j + 1]) > L.LINE_WORDS:
+                continue
+            window = tuple(x for own in lines[k : j + 1] for x in own[2])
+            after = every[sum(len(x[2]) for x in lines[: j + 1]) :]
+            if window in first:
+                then = first[window]  # further whole lines that agree with the first occurrence
+                while j + 1 < len(lines) and lines[j + 1][2] == then[: len(lines[j + 1][2])]:
+                    j, then = j + 1, then[len(lines[j + 1][2]) :]
+                gone[lines[k][0] : lines[j][1]] = b"\1" * (lines[j][1] - lines[k][0])
+            first.setdefault(window, after)
+        out.append((i, t if t is None else "".join(x for x, g, h in zip(t, gone, base[n], strict=True) if not g and not h)))
     return out
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import pytest
 from lodespark.llm import bpe, quality, simhash
 from tests.llm.test_decontamination import plain as hits
-from tests.llm.test_line_dedup import plain_both as without_repeats
+from tests.llm.test_line_dedup import without_blocks as without_repeats
 from tests.llm.test_simhash import classes, near, plain_print
 from tokenizers import Tokenizer
 
