@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workspace import materialize
 from .prompt import QUESTION
 
 #: What a refusal says. Fixed values.
@@ -63,3 +64,20 @@ def graded_predictions(chat: DataFrame, predictions: DataFrame) -> DataFrame:
     if odd:
         raise ValueError("predictions and rows do not match one to one")
     return grade(joined.withColumn("n_chunks", excerpts(last_prompt(F.col("messages")))))
+
+
+def paired(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(row_id, row, prediction): lines (n, line) of two files side by side, by their place. Unequal numbers of lines are an error."""
+    counts = [x.count() for x in (rows, predictions)]
+    if counts[0] != counts[1]:
+        raise ValueError(f"{counts[1]} predictions for {counts[0]} rows: were they made for the same file?")
+    return rows.select(F.col("n").alias("row_id"), F.col("line").alias("row")).join(predictions.select(F.col("n").alias("row_id"), F.col("line").alias("prediction")), "row_id")
+
+
+def graded_files(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Chat rows of one JSON lines file graded with the answers of another, line by line; both as of files.numbered_lines."""
+    both = paired(rows, predictions)
+    chat = F.from_json("row", "messages array<struct<role:string,content:string>>, kind string, gold array<string>")
+    made = both.select("row_id", chat.alias("c"), F.get_json_object("prediction", "$.answer").alias("answer"))
+    made = materialize(made.select("row_id", "c.messages", "c.kind", "c.gold", "answer"), "paired")
+    return graded_predictions(made.drop("answer"), made.select("row_id", "answer"))

@@ -51,6 +51,17 @@ def events(answers: DataFrame, deltas_col: str = "deltas", sources_col: str = "s
     return answers.select("req_id", F.posexplode(F.concat(first, F.transform(deltas_col, token), last)).alias("seq", "e")).select("req_id", "seq", F.col("e.event").alias("event"), F.col("e.data").alias("data"))
 
 
+def streamed_events(sources: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(req_id, seq, event, data) of sources (req_id, sources) and delta rows (req_id, seq, delta, error), of which the last of a request has no delta.
+
+    No event waits for another, so they can be framed as they come."""
+    first = sources.select("req_id", F.lit(0).alias("seq"), F.lit("sources").alias("event"), F.to_json("sources", {"ignoreNullFields": "false"}).alias("data"))
+    event = F.when(F.col("delta").isNotNull(), "token").when(F.col("error").isNotNull(), "error").otherwise("done")
+    data = F.when(F.col("delta").isNotNull(), F.to_json(F.struct(F.col("delta").alias("text")))).when(F.col("error").isNotNull(), F.to_json(F.struct(F.col("error").alias("message")))).otherwise("{}")
+    rows = deltas.where("delta is null or delta <> ''")
+    return first.unionByName(rows.select("req_id", (F.col("seq") + 1).alias("seq"), event.alias("event"), data.alias("data")))
+
+
 def framed(rows: DataFrame) -> DataFrame:
     return rows.select("req_id", "seq", wire.sse(F.col("event"), F.col("data")).alias("frame"))
 

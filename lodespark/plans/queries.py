@@ -476,6 +476,17 @@ def stream_measured(spark, sf_dir):
     return serving.measured(rows).select("req_id", F.round("ttft", 9).alias("ttft"), F.round("latency", 9).alias("latency"), "num_tokens")
 
 
+@query("select cast(row_number() over (order by doc_id) - 1 as bigint) as row_id, doc_id, sha256(coalesce(text, '')) as answer_sha256 from documents")
+def paired_predictions(spark, sf_dir):
+    """Rows and answers written as JSON lines in several files, and paired by their places in them."""
+    path = f"{shared_dir(spark)}/lodespark/pairs-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("answer")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    files.write_jsonl(docs.select("doc_id"), f"{path}/rows")
+    files.write_jsonl(docs.select("answer"), f"{path}/predictions")
+    both = grade.paired(files.numbered_lines(spark, f"{path}/rows"), files.numbered_lines(spark, f"{path}/predictions"))
+    return both.select("row_id", F.get_json_object("row", "$.doc_id").cast("bigint").alias("doc_id"), sha(F.get_json_object("prediction", "$.answer")).alias("answer_sha256"))
+
+
 # events of a stream
 
 

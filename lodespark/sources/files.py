@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import wire
+from ..workspace import materialize
 
 PARSE_PROMPT = "Convert this page to Markdown. Keep all text and the structure of headings and tables, add nothing, and mark what can't be read as [unreadable]."
 PAGE_BREAK = "\n\n---\n\n"
@@ -78,6 +79,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line): the lines of a text file, or of a folder's files in order of their names, numbered from 0; blank ones are left out.
+
+    Spark reads a file in parts, each from a place in it. Lines are counted for each part, and
+    parts in order of file and place say where each begins; only these counts come together."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"), F.col("value").alias("line"))
+    rows = materialize(rows.where("trim(line) <> ''").withColumn("at", F.monotonically_increasing_id()), "lines")
+    parts = rows.groupBy("file", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    starts = parts.withColumn("start", F.sum("n").over(Window.orderBy("file", "place")) - F.col("n")).select("file", "place", "first", "start")  # a row for each part
+    return rows.join(F.broadcast(starts), ["file", "place"]).select((F.col("start") + F.col("at") - F.col("first")).alias("n"), "line")
+
+
 def write_jsonl(df: DataFrame, path: str, nulls: bool = False) -> None:
     """Columns in their order, text as it is; null fields are left out unless ``nulls``."""
     df.write.mode("overwrite").option("ignoreNullFields", not nulls).json(path)
