@@ -260,12 +260,19 @@ def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[
         yield rows_of(part, x.doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(x.h)), pa.int32()), struct))
 
 
-def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
-    """A row (id, key, s, a, content) for each stretch: its number and first byte in the text, and its bytes, at a text's end with a line's end."""
+#: A stretch among all, as one hash: its text's key with its number over the first bits. In SQL and numpy.
+STRETCH_SHIFT = 40
+STRETCH_SQL = f"{{0}} ^ shiftleft(cast({{1}} as bigint), {STRETCH_SHIFT})"
+
+
+def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[bool, bool], wanted: Callable) -> Iterator[pa.RecordBatch]:
+    """A row (id, key, s, a, content) for each stretch that is ``wanted``: its number and first byte in the text, and its bytes, at a text's end with a line's end."""
     if x := stretches(found, known, kinds):
         data, ends = found[0], found[1]
-        for i in range(0, len(x.begins), 1024):
-            some = slice(i, i + 1024)
+        keys = np.asarray(part.column("key"), np.int64)[x.doc[x.begins]] ^ (x.s[x.begins].astype(np.int64) << STRETCH_SHIFT)
+        which = np.flatnonzero(wanted(keys.view(np.uint64)))
+        for i in range(0, len(which), 1024):
+            some = which[i : i + 1024]
             mine = x.begins[some]
             doc, take = x.doc[mine], pa.array(x.doc[mine], pa.int64())
             texts = [data[p:q].tobytes() + b"\n" * last for p, q, last in zip(x.start[some].tolist(), x.stop[some].tolist(), (x.stop[some] == ends[doc + 1]).tolist(), strict=True)]
@@ -278,9 +285,11 @@ def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], least
 
     A place is the first word in each, and the number of words of a finest chunk of lines, which with
     the lines after it that agree is enough, or 0: then runs of ``least`` words or more are."""
-    mine, theirs, out, done, ended = own.split(), other.split(), [], {}, {}
-    spans = [m.span() for m in WORD.finditer(own)]
-    ends_line = [own[e - 1] in b".!?" or b"\n" in own[e : spans[k + 1][0] if k + 1 < len(spans) else len(own)] for k, (_, e) in enumerate(spans)]
+    mine, theirs, out, done, ended, spans = own.split(), other.split(), [], {}, {}, []
+
+    def ends_line(k: int) -> bool:
+        return own[spans[k][1] - 1] in b".!?" or b"\n" in own[spans[k][1] : spans[k + 1][0] if k + 1 < len(spans) else len(own)]
+
     for i, j, n in sorted(places):
         if n:
             if i + n <= ended.get(i - j, 0) or mine[i : i + n] != theirs[j : j + n]:
@@ -288,8 +297,9 @@ def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], least
             b, d, whole = i + n, j + n, i + n
             while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
                 b, d = b + 1, d + 1
-                if ends_line[b - 1]:
-                    whole = b
+            if b > whole:
+                spans = spans or [m.span() for m in WORD.finditer(own)]
+                whole = next((x for x in range(b, whole, -1) if ends_line(x - 1)), whole)
             ended[i - j] = whole
             out.append((i, whole))
             continue
@@ -303,6 +313,9 @@ def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], least
         done[i - j] = b
         if b - a >= least:
             out.append((a, b))
+    if not out:
+        return []
+    spans = spans or [m.span() for m in WORD.finditer(own)]
     return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in out]
 
 
@@ -386,14 +399,17 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
     pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
     # the places in one stretch; its words are read only now, from the texts that have some such stretch
     pairs = materialize(pairs.groupBy("id", "key", "s", "f").agg(F.collect_set(F.struct("w", "f_w", "n")).alias("at")), "stretch-pairs")
-    keys = materialize(pairs.select(F.col("key").alias("h")).unionByName(pairs.select(F.col("f.key").alias("h"))).distinct(), "pair-keys")
-    sent = rows.sparkSession.sparkContext.broadcast(bit_words(keys))
+    both = pairs.select("key", "s").unionByName(pairs.select("f.key", "f.s"))
+    made = both.select("key", F.expr(STRETCH_SQL.format("key", "s")).alias("h")).distinct()
+    made = materialize(made, "pair-keys")
+    sent = rows.sparkSession.sparkContext.broadcast((bit_words(made.select(F.col("key").alias("h")).distinct()), bit_words(made.select("h"))))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(marked(sent.value, np.asarray(batch.column("key"), np.int64).view(np.uint64))))
+            texts_wanted, stretches_wanted = sent.value
+            some = batch.filter(pa.array(marked(texts_wanted, np.asarray(batch.column("key"), np.int64).view(np.uint64))))
             for part in slices(some, "text"):
-                yield from stretch_rows(part, split(part.column("text")), known, kinds)
+                yield from stretch_rows(part, split(part.column("text")), known, kinds, lambda h: marked(stretches_wanted, h))
 
     texts = materialize(rows.mapInArrow(cut_out, f"id {kind}, key bigint, s int, a int, content binary"), "stretches")
     weight = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
