@@ -35,8 +35,13 @@ NEW_WORDS, SHARES = 6, 4
 #: One of these is in each name, identifier and notice, in lower case.
 GATES = ["licens", "licenc", "gpl", "cc by", "cc-by", "cc0", "permission", "redistribut", "unencumbered", "endorse"]
 BLANK, LEADING, SENTENCE = r"\n[ \t\r]*\n", r"^\s*", r"(?<=[.!?])\s+(?=[A-Z(])"
-#: A passage of more words is no statement; its sentences and lines are looked at alone.
-MOST_WORDS = 400
+#: A passage of more words is looked at in windows of so many words, each beginning in the middle of the one before, so that one is hardly longer than the statement in it.
+MOST_WORDS, WINDOWS = 400, (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384)
+#: Passages that deny what they name, or ask about it. What may be done only under a licence is not denied.
+DENIED = r"(?i)(?:\b(?:not|never|no longer|unlike|nor|neither|rather than|instead of)|n['’]t)\s+(?:(?!except|unless|other)[\w'’-]+\s+){0,3}under\b|\?\s*$"
+#: Several licences in one statement: an expression of identifiers, and two names after the same words.
+EXPRESSION, OPERATOR = r"(?i)SPDX-License-Identifier:\s*([^\n*#/]+)", r"(?i)\s+(?:OR|AND|WITH)\s+"
+DUAL = r"(?i)licen[sc]ed\s+under\s+(?:either\s+|both\s+)?(?:of\s+)?(?:the\s+)?((?:[A-Za-z0-9 ,+-]|\.(?=\d)){2,40}?\s+(?:or|and)\s+(?:the\s+)?(?:[A-Za-z0-9 +-]|\.(?=\d)){2,40})"
 
 # Fixed public wording: names as statements give them, identifiers, and notices.
 NAMES = {
@@ -288,7 +293,7 @@ def verdict(p: str, c: Classifier) -> str:
         ("b", f"named_struct('w', a.w, 'g', array_distinct(concat(a.w, {pairs}, {classes})))"),
         ("d", f"named_struct('w', b.w, 's', aggregate(b.g, {start}, {add}))"),
         ("e", f"named_struct('w', d.w, 'sum', aggregate(d.s, 0D, (t, v) -> t + exp((v - array_max(d.s)) / {c.temperature}D)), 'at', cast(array_position(d.s, array_max(d.s)) as int))"),
-        ("f", f"named_struct('w', e.w, 'family', if(1 / e.sum >= {THRESHOLD}D and size(e.w) <= {MOST_WORDS}, {families}[e.at - 1], {quoted(UNKNOWN)}), 'probability', 1 / e.sum)"),
+        ("f", f"named_struct('w', e.w, 'family', if(1 / e.sum >= {THRESHOLD}D, {families}[e.at - 1], {quoted(UNKNOWN)}), 'probability', 1 / e.sum)"),
         ("h", f"named_struct('family', f.family, 'probability', f.probability, 'similarity', coalesce({similar}, 0D))"),
     )
     out = f"named_struct('family', h.family, 'probability', h.probability, 'similarity', h.similarity, 'confirmed', h.similarity >= {SIMILAR}D)"
@@ -303,7 +308,8 @@ def scan(docs: DataFrame, text_col: str = "text", classifier: Classifier | None
     A paragraph has the number of its first line, counted from 0. Of its passages that
     name one family, the one that is confirmed or else most probable counts; what is not
     confirmed counts only in a paragraph in which nothing is. Null and empty texts, and
-    texts without any gate, have no licences; texts of any length are taken whole. Rows
+    texts without any gate, have no licences; texts of any length are taken whole. A passage
+    that denies or asks about a licence names none; of an expression of several, each is named. Rows
     that repeat are treated alike. All other columns stay, whatever their names, but
     licences is replaced."""
     c = classifier or train()
@@ -317,8 +323,13 @@ def scan(docs: DataFrame, text_col: str = "text", classifier: Classifier | None
     # a blank line stands between two paragraphs; further ones begin the second
     line = f"aggregate(slice({lines_col}, 1, i), 0, (t, n) -> t + n + 1) + size(split(regexp_extract(b, {quoted(LEADING)}, 0), '\\n')) - 1"
     sentences = f"flatten(transform(l, x -> split(x, {quoted(SENTENCE)})))"
-    passages = named("split(b, '\\n')", "l", f"array_distinct(concat(if(size(l) > 1, array(b), slice(l, 1, 0)), l, {sentences}))")
-    gates = f"filter({passages}, x -> {gated('lower(x)')})"
+    parts = f"filter(flatten(transform(concat(regexp_extract_all(x, {quoted(EXPRESSION)}, 1), regexp_extract_all(x, {quoted(DUAL)}, 1)), e -> split(regexp_replace(e, '[()]', ' '), {quoted(OPERATOR)}))), y -> size(split(x, {quoted(OPERATOR)})) > 1)"
+    several = f"flatten(transform(filter(l, x -> not rlike(x, {quoted(DENIED)})), x -> transform({parts}, y -> concat('SPDX-License-Identifier: ', regexp_replace(trim(y), '(?i)^the ', '')))))"
+    windows = named("split(trim(x), '\\\\s+')", "ws", f"flatten(transform(array({', '.join(map(str, WINDOWS))}), n -> transform(sequence(0, greatest(0, (size(ws) - 1) div (n div 2))), j -> array_join(slice(ws, j * (n div 2) + 1, n), ' '))))")
+    passages = named("split(b, '\\n')", "l", f"array_distinct(concat(if(size(l) > 1, array(b), slice(l, 1, 0)), l, {sentences}, {several}))")
+    asked = lambda xs: f"filter({xs}, x -> {gated('lower(x)')} and not rlike(x, {quoted(DENIED)}))"
+    count = f"size(regexp_extract_all(lower(x), {quoted('(' + WORD + ')')}, 1))"
+    gates = asked(f"flatten(transform({asked(passages)}, x -> if({count} <= {MOST_WORDS}, array(x), {windows})))")
     known = f"filter(transform({gates}, x -> {verdict('x', c)}), v -> v.family <> {quoted(UNKNOWN)})"
     sure = "if(exists(vs, v -> v.confirmed), filter(vs, v -> v.confirmed), vs)"
     best = "array_max(transform(filter(us, u -> u.family = f), u -> named_struct('p', u.probability, 's', u.similarity, 'c', u.confirmed)))"

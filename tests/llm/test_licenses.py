@@ -15,7 +15,7 @@ def judged(p, c):
     g = {*L.grams(w), *L.novelty(w, set(c.vocabulary))}
     scores = [(b + sum(c.weights[x][k] for x in g if x in c.weights)) / c.temperature for k, b in enumerate(c.bias)]
     total = sum(math.exp(s - max(scores)) for s in scores)
-    family = c.families[scores.index(max(scores))] if 1 / total >= L.THRESHOLD and len(w) <= L.MOST_WORDS else L.UNKNOWN
+    family = c.families[scores.index(max(scores))] if 1 / total >= L.THRESHOLD else L.UNKNOWN
     similar, joined, own = 0.0, f" {' '.join(w)} ", set(L.shingles(w))
     for t, needed in c.templates.get(family, ()):
         if all(f" {n} " in joined for n in needed):
@@ -23,6 +23,11 @@ def judged(p, c):
     return family, round(1 / total, 9), round(similar, 9), similar >= L.SIMILAR
 
 
+def windows(p):
+    w = p.split()
+    return [p] if len(L.words(p)) <= L.MOST_WORDS else [" ".join(w[i : i + n]) for n in L.WINDOWS for i in range(0, len(w), n // 2)]
+
+
 def plain(text, c):
     found, line = [], 0
     gated = lambda x: any(g in x.lower() for g in L.GATES)
@@ -30,7 +35,8 @@ def plain(text, c):
         lines = block.split("\n")
         lead = re.match(r"^\s*", block)[0].count("\n")
         passages = [block] * (len(lines) > 1) + lines + [s for x in lines for s in re.split(L.SENTENCE, x)]
-        verdicts = [v for v in (judged(p, c) for p in dict.fromkeys(passages) if gated(p)) if v[0] != L.UNKNOWN]
+        passages = [w for p in dict.fromkeys(passages) if gated(p) for w in windows(p)]
+        verdicts = [v for v in (judged(p, c) for p in passages if gated(p) and not re.search(L.DENIED, p)) if v[0] != L.UNKNOWN]
         sure = [v for v in verdicts if v[3]] or verdicts
         found += [(line + lead, *max((v for v in sure if v[0] == f), key=lambda v: v[1:])) for f in sorted({v[0] for v in sure})]
         line += len(lines) + 1
@@ -41,6 +47,7 @@ TEXTS = [
     "Released under the MIT License.", "intro\nLicensed under CC BY-NC 4.0.\nmore", "This work is licensed under the GNU General Public License, version 3.", "LICENSED!! UNDER!! THE!! APACHE!! LICENSE,!! VERSION!! 2.0.",
     "He lost his license under the bridge.", "the mit team released the plan", "Mit und.", None, "", "\n\n", "Some GNU Affero General Public License, version 3 text", "under the version of a general license you copy",
     "word " * 20_000 + "\nReleased under the MIT License.", "Licensed under the Foo License, version 9.", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "word " * 300 + "released under the MIT License " + "word " * 300,
     "One.\n\n\n\nA long way down. Licensed under the ISC License. And more.\n\n  \nSPDX-License-Identifier: GPL-2.0-only\n\nReleased under the MIT License or the Apache License 2.0.",
 ]
 
@@ -132,3 +139,27 @@ def test_wrapped_statements(spark):
     for i, (at, f) in enumerate(want):
         assert [(x.paragraph, x.family, x.confirmed) for x in out[i]] == [(at, f, True)], texts[i]
     assert [(x.family, x.confirmed) for x in out[len(want)]] == [("cc-by-nc-4.0", True)] and not out[len(want) + 1]
+
+
+FILLER = " ".join(f"word{i}" for i in range(440))
+SEVERAL = {
+    "This is not released under the MIT License.": [], "Unlike software released under the MIT License, ours is proprietary.": [], "Is the GPLv3 compatible with the Apache License 2.0?": [],
+    "The code isn't licensed under the Apache License, Version 2.0.": [], "It was never distributed under the GNU General Public License, version 3.": [], "This is no longer available under the MIT License.": [],
+    "Released under the MIT License. It is not released under the Apache License 2.0.": ["mit"], "You may not use this file except under the Apache License, Version 2.0.": ["apache-2.0"],
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["apache-2.0", "mit"], "// SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause)": ["bsd-3-clause", "gpl-2.0"], "This crate is dual-licensed under MIT or Apache-2.0.": ["apache-2.0", "mit"],
+    "Licensed under either of the Apache License 2.0 or the MIT License.": ["apache-2.0", "mit"], f"Released under the MIT License {FILLER}": ["mit"], f"{FILLER} released under the MIT License {FILLER}": ["mit"],
+}
+
+
+def test_denied_several_and_long_statements(spark):
+    out = families(spark, list(SEVERAL))
+    assert {t[:60]: sorted(x.family for x in out[i] if x.confirmed) for i, t in enumerate(SEVERAL)} == {t[:60]: f for t, f in SEVERAL.items()}
+
+
+def test_a_notice_within_a_very_long_line(spark):
+    texts = [f"{FILLER} {text} {FILLER}" for f, notices in L.NOTICES.items() for text, _ in notices]
+    want = [f for f, notices in L.NOTICES.items() for _ in notices]
+    out = families(spark, texts)
+    found = [f in {x.family for x in out[i]} for i, f in enumerate(want)]
+    print(f"notices within 880 other words found: {sum(found)} of {len(found)}")
+    assert sum(found) >= 0.9 * len(found)
