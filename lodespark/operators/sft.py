@@ -160,6 +160,18 @@ def supervised(labels: Column) -> Column:
     return F.size(F.filter(labels, lambda x: x != IGNORE))
 
 
+def truncated(prompt: Column, answer: Column, most: int) -> Column:
+    """Whether :func:`labelled` has to leave something out."""
+    return F.size(prompt) + F.size(answer) > most
+
+
+def encoding_counts(samples: DataFrame, most: int, prompt_col: str = "prompt", answer_col: str = "answer") -> DataFrame:
+    """One row (n, n_truncated, n_unlabelled, n_supervised) of samples with token ids: how many lose something, how many have nothing left to learn from, and tokens that count."""
+    cut, labels = truncated(F.col(prompt_col), F.col(answer_col), most), labelled(F.col(prompt_col), F.col(answer_col), most)["labels"]
+    own = samples.select(cut.alias("cut"), supervised(labels).cast("bigint").alias("own"))
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_truncated"), F.count_if(F.col("own") == 0).alias("n_unlabelled"), F.coalesce(F.sum("own"), F.lit(0)).alias("n_supervised"))
+
+
 def token_ids(encoded) -> list[int]:
     """The ids in a tokenizer's output, whichever of its forms: a mapping with input_ids, an array, a list, or a batch of one."""
     ids = encoded["input_ids"] if isinstance(encoded, Mapping) else encoded

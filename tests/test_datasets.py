@@ -152,3 +152,9 @@ def test_labels_truncation_and_padding(spark):
     assert len(long.input_ids) == 20 and long.input_ids[-3:] == long.labels[-3:] == [7, 8, 0] and set(long.labels[:-3]) == {-100} and short.labels == [-100, 2, 0]
     made = {len([x for x in r.attention if x]): r for r in S.collate(rows).collect()}
     assert made[3].input_ids == [1, 2, 0] + [0] * 17 and made[3].labels[3:] == [-100] * 17 and made[3].attention == [1] * 3 + [0] * 17
+
+
+def test_counts_of_what_truncation_leaves_out(spark):
+    rows = spark.createDataFrame([([1, 2, 3], [4, 5]), ([1], [2, 3]), ([1, 2, 3, 4, 5], []), ([], [1, 2, 3, 4, 5, 6])], "prompt array<int>, answer array<int>")
+    assert tuple(S.encoding_counts(rows, 4).first()) == (4, 3, 1, 2 + 2 + 0 + 4)
+    assert tuple(S.encoding_counts(rows.limit(0), 4).first()) == (0, 0, 0, 0)
