@@ -51,6 +51,8 @@ AROUND = PASSAGE - 1
 STRETCH_EVERY, STRETCH_SEEDS = 8, 32
 #: Words that a finest chunk of lines has at most: longer ones are passages.
 LINE_WORDS = SEED_WORDS + AROUND
+#: Bytes of text that are taken apart at once; arrays over them take some fifty times as much.
+SLICE = 1 << 19
 WORD = re.compile(rb"[^ \t\n\v\f\r]+")
 SENTENCE = np.zeros(256, bool)
 SENTENCE[list(b".!?")] = True
@@ -408,7 +410,7 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
         for batch in batches:
             texts_wanted, stretches_wanted = sent.value
             some = batch.filter(pa.array(marked(texts_wanted, np.asarray(batch.column("key"), np.int64).view(np.uint64))))
-            for part in slices(some, "text"):
+            for part in slices(some, "text", SLICE):
                 yield from stretch_rows(part, split(part.column("text")), known, kinds, lambda h: marked(stretches_wanted, h))
 
     texts = materialize(rows.mapInArrow(cut_out, f"id {kind}, key bigint, s int, a int, content binary"), "stretches")
@@ -449,7 +451,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = split(part.column("text"))
                 h = [chunks(found)["hash"], all_seeds(found, *kinds)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
@@ -462,7 +464,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def found_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = split(part.column("text"))
                 yield chunk_rows(part, found, known)
                 if any(kinds):
@@ -482,7 +484,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = docs.select(*(f"`{c}`" for c in keep)).join(small(materialize(found, "spans")), keyed, "left").drop(own_id, own_key)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in slices(batch, text_col)):
+        for batch in (part for batch in batches for part in slices(batch, text_col, SLICE)):
             lists, text = batch.column(drops), batch.column(text_col)
             counts, chars, new = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), {}
             for i in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
