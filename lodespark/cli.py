@@ -1,4 +1,4 @@
-"""ingest FILE, search QUERY and parse IMAGE from the command line."""
+"""ingest FILE, search QUERY, parse an image or a PDF, and evaluate retrieval from the command line."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from .functions import text as T
 
 
-def main(argv: list[str] | None = None, spark=None, generate=None) -> int:
+def main(argv: list[str] | None = None, spark=None, generate=None, render=None) -> int:
     ap = argparse.ArgumentParser(prog="lodespark")
     sub = ap.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest")
@@ -21,28 +21,45 @@ def main(argv: list[str] | None = None, spark=None, generate=None) -> int:
     c = sub.add_parser("parse")
     c.add_argument("file")
     c.add_argument("--out", default=None)
+    d = sub.add_parser("evaluate")
+    d.add_argument("file")
+    d.add_argument("cases")
     for p in (a, b):
         p.add_argument("--index-dir", default=None)
     args = ap.parse_args(argv)
-    if args.command in ("ingest", "parse") and not Path(args.file).is_file():
-        print(f"no such file: {args.file}", file=sys.stderr)
-        return 1
+    for name in (getattr(args, "file", None), getattr(args, "cases", None)):
+        if name is not None and not Path(name).is_file():
+            print(f"no such file: {name}", file=sys.stderr)
+            return 1
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("lodespark").getOrCreate()
     from pyspark.sql import functions as F
 
+    from .functions import registry
+    from .operators import chunk, evaluate
     from .plans.engine import Engine
     from .settings import settings
     from .sources import chat, files
 
     if args.command == "parse":
-        row = files.parsed(files.image_files(spark, args.file), generate or chat.generator(settings(), vision=True)).first()
+        if Path(args.file).suffix.lower() == ".pdf":
+            pages = files.pages(files.documents(spark, args.file), render or registry.renderer())
+        else:
+            pages = files.image_files(spark, args.file)
+        row = files.parsed(pages, generate or chat.generator(settings(), vision=True)).first()
         out = Path(args.out or Path(args.file).with_name(f"{Path(args.file).stem}_parsed.md"))
-        out.write_text(row.text, encoding="utf-8")
+        out.write_text(row.text if row else "", encoding="utf-8")
         print(out)
         return 0
+    if args.command == "evaluate":
+        conf = settings()
+        made = chunk.chunk(files.text_files(spark, args.file), conf.chunk_size, conf.chunk_overlap).select(F.col("chunk_id").alias("ord"), "text")
+        asked = files.cases(spark, args.cases)
+        rows = evaluate.by_mode(made, asked.select("qid", F.col("question").alias("text")), asked.select("qid", "gold"), ("bm25", "dense", "hybrid")).collect()
+        print(evaluate.table([r.asDict() for r in rows], ["mode", "hit_1", "hit_3", "hit_5", "mrr"]))
+        return 0
     engine = Engine(spark, path=args.index_dir)
     if args.command == "ingest":
         print(f"{engine.ingest(files.text_files(spark, args.file))} chunks")

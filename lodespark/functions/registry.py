@@ -1,4 +1,4 @@
-"""Tokenizers and embedders by name: built-in ones, and models that an environment may have.
+"""Tokenizers, embedders and a page renderer: built-in ones, and models and libraries that an environment may have.
 
 A tokenizer is a function from a text column to a column of tokens; an embedder is
 one from a table with a text column to a table with an embedding column."""
@@ -17,6 +17,7 @@ from . import text as T
 #: Tags of a morphological analyser whose words are kept: nouns, numerals, verbs, adjectives, roots, foreign words, digits, Chinese.
 KEPT_TAGS = ("NN", "NR", "NP", "VV", "VA", "XR", "SL", "SN", "SH")
 ANALYSER = "kiwipiepy"
+PDF = "pypdfium2"
 
 
 def morphemes(load: Callable[[], Callable[[str], list[tuple[str, str]]]]) -> Callable[[Column], Column]:
@@ -81,3 +82,26 @@ def embedder(name: str) -> Callable[[DataFrame], DataFrame]:
         return lambda texts: model.encode(texts, normalize_embeddings=True)
 
     return model_embedder(load)
+
+
+def renderer(scale: float = 2.0) -> Callable[[bytes], list[bytes]]:
+    """A document's pages as PNG, ``scale`` times 72 dots an inch, by a PDF library, where it is installed."""
+    if not importlib.util.find_spec(PDF):
+        raise ValueError(f"reading a PDF needs {PDF}")
+
+    def run(content: bytes) -> list[bytes]:
+        import io
+
+        import pypdfium2
+
+        made, pdf = [], pypdfium2.PdfDocument(content)
+        try:
+            for page in pdf:
+                out = io.BytesIO()
+                page.render(scale=scale).to_pil().save(out, format="PNG")
+                made.append(out.getvalue())
+        finally:
+            pdf.close()
+        return made
+
+    return run

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as T
 from ..functions import wire
 from ..operators import chunk as C
@@ -262,6 +263,22 @@ def chunk_keys(spark, sf_dir):
     return out.select(C.chunk_key(F.col("doc_id"), F.col("chunk_id")).alias("key"), "section", F.length("text").alias("n_chars"))
 
 
+@query(ORACLE["chunk_pack"])
+def chunk_text_sql(spark, sf_dir):
+    """The chunks of chunk_pack, by the table function in SQL."""
+    tables.register(spark)
+    sql = "select d.ord as doc_id, c.chunk_id, c.section, length(c.text) as n_chars, sha2(cast(c.text as binary), 256) as text_sha256 from {docs} d, lateral chunk_text(d.text) c"
+    return spark.sql(sql, docs=corpus(spark, sf_dir))
+
+
+@query(ORACLE["chunk_keys"])
+def chunk_keys_sql(spark, sf_dir):
+    """Those of chunk_keys likewise, with headings, a size and an overlap."""
+    tables.register(spark)
+    sql = "select concat(d.conv_id, '#', c.chunk_id) as key, c.section, length(c.text) as n_chars from {docs} d, lateral chunk_text(d.text, 200, 50) c"
+    return spark.sql(sql, docs=markdown(spark, sf_dir))
+
+
 @query("select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as part, length(substring(text, i + 1, 100)) as n_chars, sha256(substring(text, i + 1, 100)) as part_sha256 from (select doc_id, text, unnest(range(0, length(text), 100)) as i from documents)")
 def forced_split(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.slices(F.col("text"), 100)).alias("part", "t"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import schemas
 from ..functions import wire
 from ..workspace import materialize
 
@@ -44,6 +45,11 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filename", F.lit(0).alias("page"), "content", wire.media_type(F.col("filename")).alias("media"))
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, content) of a file or a folder's files."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("filename"), "content")
+
+
 def pages(files: DataFrame, render: Callable[[bytes], list[bytes]]) -> DataFrame:
     """(filename, page, content, media) of documents (filename, content), by a renderer that gives a document's pages as PNG. One without pages gives no row."""
 
@@ -91,6 +97,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), ["file", "place"]).select((F.col("start") + F.col("at") - F.col("first")).alias("n"), "line")
 
 
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question, gold) of a JSON lines file, numbered by line; a broken line is an error."""
+    parsed = F.from_json("line", schemas.EVAL_CASE, {"mode": "FAILFAST"})
+    return numbered_lines(spark, path).select(F.col("n").alias("qid"), parsed.alias("c")).select("qid", "c.question", "c.gold")
+
+
 def write_jsonl(df: DataFrame, path: str, nulls: bool = False) -> None:
     """Columns in their order, text as it is; null fields are left out unless ``nulls``."""
     df.write.mode("overwrite").option("ignoreNullFields", not nulls).json(path)

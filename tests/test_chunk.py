@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodespark.functions import tables
 from lodespark.operators import chunk as C
 
 
@@ -59,3 +60,26 @@ def test_many_documents_need_no_shuffle(spark):
     docs = spark.createDataFrame([(str(i), " ".join(rnd.choices(["a.", "bb", "c!"], k=50))) for i in range(20)], "doc_id string, text string")
     plan = C.chunk(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+PARTS = ("a", "Bc d", ".", "!", "…", "。", " ", "\n", "\r\n", "\x85", "\x1c", "\x1f", "\u3000", "\u2028", "# ", "## T", "#", "#######", "\t", "가나", "x" * 40)
+
+
+def test_table_function_equals_the_operator(spark):
+    """chunk_text in SQL, on texts of odd white space, breaks and headings, null and empty ones too."""
+    tables.register(spark)
+    rnd = random.Random(3)
+    texts = [None, "", "\n", "# only", *("".join(rnd.choices(PARTS, k=rnd.randrange(60))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = spark.sql("select d.doc_id, c.* from {docs} d, lateral chunk_text(d.text, 50, 20) c", docs=docs)
+    assert made.columns == ["doc_id", "chunk_id", "section", "text"]
+    assert sorted(made.collect()) == sorted(C.chunk(docs, 50, 20).collect())
+    assert spark.sql("select * from chunk_text('one. two.', null, null)").collect() == [(0, "", "one. two.")]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_by_lateral(spark):
+    tables.register(spark, lambda b: b.split(b"|") if b else [])
+    docs = spark.createDataFrame([("x", b"one|two"), ("y", b""), ("z", None)], "name string, content binary")
+    rows = spark.sql("select d.name, p.page, p.content, p.media from {docs} d, lateral document_pages(d.content) p order by name, page", docs=docs).collect()
+    assert [(r.name, r.page, bytes(r.content)) for r in rows] == [("x", 0, b"one"), ("x", 1, b"two")]  # no pages, no row

@@ -207,6 +207,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert "3 chunks" in out and "1. guide.md#1 score=0.0328" in out
 
 
+def test_evaluate_command(spark, tmp_path, capsys):
+    (tmp_path / "guide.md").write_text(GUIDE)
+    (tmp_path / "cases.jsonl").write_text('{"question": "vent above", "gold": "Vent above"}\n\n{"question": "nothing", "gold": "no such text"}\n')
+    assert cli.main(["evaluate", str(tmp_path / "guide.md"), str(tmp_path / "none")], spark) == 1
+    assert cli.main(["evaluate", str(tmp_path / "guide.md"), str(tmp_path / "cases.jsonl")], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "| mode | hit_1 | hit_3 | hit_5 | mrr |" and [x.split("|")[1].strip() for x in out[2:]] == ["bm25", "dense", "hybrid"] and out[2] == "| bm25 | 0.500 | 0.500 | 0.500 | 0.500 |"
+
+
+def test_parse_command_reads_a_pdf(spark, tmp_path):
+    (tmp_path / "report.pdf").write_bytes(b"one|two")
+    answered = lambda rows: rows.select("filename", "page", F.concat(F.lit("page "), "page").alias("answer"))
+    assert cli.main(["parse", str(tmp_path / "report.pdf"), "--out", str(tmp_path / "r.md")], spark, answered, lambda b: b.split(b"|")) == 0
+    assert (tmp_path / "r.md").read_text() == "page 0\n\n---\n\npage 1"
+    with pytest.raises(ValueError, match="needs"):
+        cli.main(["parse", str(tmp_path / "report.pdf")], spark, answered)
+
+
 def test_entry_registers_all_queries(spark, data):
     import __spark_entry__ as e
 
