@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodespark import cli, schemas
 from lodespark.functions import registry
+from lodespark.operators import chunk as C
 from lodespark.operators import lexical, prompt, serving, validate
 from lodespark.plans.engine import Engine
 from lodespark.settings import Settings, load
@@ -207,6 +208,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "3 chunks" in out and "1. guide.md#1 score=0.0328" in out
 
 
+def test_chunks_keep_their_meta_in_json_lines(spark, tmp_path):
+    made = C.chunk(spark.createDataFrame([("g.md", GUIDE)], "doc_id string, text string")).withColumn("meta", F.create_map(F.lit("lang"), F.lit("en"), F.lit("쪽"), F.col("chunk_id").cast("string")))
+    made = made.select(*schemas.CHUNK.names).union(spark.createDataFrame([("e", 0, "no meta\n\"x\"", "", {})], schemas.CHUNK))
+    files.write_jsonl(made, str(tmp_path / "chunks"))
+    back = files.read_jsonl(spark, str(tmp_path / "chunks"), schemas.CHUNK, strict=True)
+    order = lambda df: sorted(df.collect(), key=lambda r: (r.doc_id, r.chunk_id))
+    assert back.schema == schemas.CHUNK and order(back) == order(made)
+
+
 def test_evaluate_command(spark, tmp_path, capsys):
     (tmp_path / "guide.md").write_text(GUIDE)
     (tmp_path / "cases.jsonl").write_text('{"question": "vent above", "gold": "Vent above"}\n\n{"question": "nothing", "gold": "no such text"}\n')
