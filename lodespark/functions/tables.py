@@ -7,43 +7,16 @@
 
 Rows come as Arrow batches, and nothing is shuffled: each task makes the rows of its own
 texts. A text without chunks gives no row, and Spark keeps none for it in a left join
-either (as measured with 4.1). Sections and sentences are found by the patterns of functions/text.py, and
-packed by the function that operators/chunk.py packs with."""
+either (as measured with 4.1). Sections and sentences are found and packed by the functions of operators/chunk.py."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators.chunk import LEAST_BODY, OVERLAP, SIZE, packed
-from . import text as T
-
-BREAK = re.compile(T.BREAK)
-#: White space between sentences; a unit separator only ends lines and texts.
-WHITE = T.SPACE.translate({i: None for i in range(0x1C, 0x20)})
-SENTENCE_END = re.compile(f"(?<=[.!?…。])[{WHITE}]+")
-HEADING = re.compile(f"#{{1,6}}[{WHITE}]+(.*)", re.DOTALL)
-
-
-def sections(text: str) -> Iterator[tuple[str, str]]:
-    """(title, body) of each section with a body, in order; the text before the first heading has no title."""
-    title, open_ = "", []
-    for line in BREAK.split(text):
-        if found := HEADING.fullmatch(line):
-            yield title, "\n".join(open_)
-            title, open_ = found[1].strip(T.SPACE), []
-        else:
-            open_.append(line)
-    yield title, "\n".join(open_)
-
-
-def sentences(body: str) -> list[str]:
-    parts = (s.strip(T.SPACE) for line in body.split("\n") for s in SENTENCE_END.split(line.strip(T.SPACE)))
-    return [s for s in parts if s]
-
+from ..operators.chunk import LEAST_BODY, OVERLAP, SIZE, packed, sections, sentences
 
 class ChunkText:
     """(chunk_id, section, text) of a text's chunks of up to ``size`` characters. A null or empty text has none, and null numbers are the defaults."""
