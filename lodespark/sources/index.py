@@ -33,7 +33,7 @@ from ..functions import vectors as V
 from ..operators import chunk as C
 from ..operators import dense, fuse, lexical, number
 from ..operators.sizes import small
-from ..workspace import delete, exists
+from ..workspace import delete, exists, materialize, temporary_tables
 
 BUCKETS = 4096
 #: Parts of postings and frequencies, by a hash of the token.
@@ -167,10 +167,14 @@ class Index:
     # writing
 
     def write(self, name: str, batch: str, rows: DataFrame) -> None:
-        """One file a part for tokens, sorted by them."""
+        """Tokens by parts, each file sorted by them: one file a part, or of postings more where there are more shuffle partitions.
+
+        Rows are dealt out by hash, as a range would have to be sampled, and the rows made twice for that."""
         out = rows.write
         if name in ("postings", "terms"):
-            out = rows.withColumn("part", part_of(F.col("tok"))).repartitionByRange("part", "tok").sortWithinPartitions("part", "tok").write.partitionBy("part")
+            own = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // PARTS) if name == "postings" else 1
+            salt = F.pmod(F.xxhash64("ord"), F.lit(own)) if own > 1 else F.lit(0)
+            out = rows.withColumn("part", part_of(F.col("tok"))).repartition("part", salt).sortWithinPartitions("part", "tok").write.partitionBy("part")
         out.parquet(f"{self.path}/{name}/batch={batch}")
 
     def write_terms(self, batch: str) -> None:
@@ -184,13 +188,14 @@ class Index:
         if token is not None and any(r["token"] == token for r in self.log()):
             return 0
         batch = uuid.uuid4().hex
-        made = numbered(C.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), self.size, self.overlap))
-        made = made.withColumn("key", C.chunk_key(F.col("doc_id"), F.col("chunk_id"))).withColumn("dl", F.size(self.tokens(F.col("text"))))
-        self.write("chunks", batch, made.select("ord", "doc_id", "chunk_id", "section", "text", "key", "dl"))
+        with temporary_tables(self.spark):
+            made = C.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), self.size, self.overlap)
+            made = numbered(materialize(lexical.with_length(made, self.tokens), "chunks")).withColumn("key", C.chunk_key(F.col("doc_id"), F.col("chunk_id")))
+            self.write("chunks", batch, made.select("ord", "doc_id", "chunk_id", "section", "text", "key", "dl"))
         own = self.spark.read.parquet(f"{self.path}/chunks/batch={batch}")
         n, n_tokens = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if n:
-            self.write("postings", batch, lexical.postings(lexical.tokenized(own, tokens=self.tokens)).select("tok", "ord", "dl", "tf"))
+            self.write("postings", batch, lexical.all_postings(own.select("ord", "text"), self.tokens).select("tok", "ord", "dl", "tf"))
             self.write_terms(batch)
             self.write("embeddings", batch, self.embed(own.select("ord", "text")).select("ord", "embedding"))
         if n and self.commit(n, n_tokens, batch, token):
