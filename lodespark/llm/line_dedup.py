@@ -23,12 +23,13 @@ words. Seeds within text that goes with its chunks anyway are not compared."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -49,36 +50,49 @@ SEED_WINDOW = PASSAGE - SEED_WORDS + 1
 AROUND = PASSAGE - 1
 #: Neighbouring seeds are compared together, in stretches that end at one seed in so many and after so many.
 STRETCH_EVERY, STRETCH_SEEDS = 8, 32
+#: Pairs of stretches that are compared at once.
+COMPARED = 512
 #: Words that a finest chunk of lines has at most: longer ones are passages.
 LINE_WORDS = SEED_WORDS + AROUND
 #: Bytes of text that are taken apart at once; arrays over them take some fifty times as much.
 SLICE = 1 << 19
-WORD = re.compile(rb"[^ \t\n\v\f\r]+")
 SENTENCE = np.zeros(256, bool)
 SENTENCE[list(b".!?")] = True
-SPACE = np.zeros(256, bool)
-SPACE[list(b" \t\n\v\f\r")] = True
-SEED_TYPE = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("w", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
-SEEDS = "array<struct<h:bigint,s:int,w:int,a:int,b:int,n:int>>"
-PLACES = {"id": None, "key": "bigint", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "seeds": SEEDS}
+#: A seed as it is packed into the bytes of a text's row: hash, stretch, word in it, first and last byte around it, words of a finest chunk.
+SEED = np.dtype([("h", "<i8"), ("s", "<i4"), ("w", "<i4"), ("a", "<i4"), ("b", "<i4"), ("n", "<i4")])
+PLACES = {"id": None, "key": "bigint", "a": "int", "b": "int", "lines": "int", "words": "int", "again": "boolean", "content": "binary", "digest": "binary", "seeds": "binary"}
+#: Hashes are dealt out by their first HASH_BITS bits, HELD_HASHES of them at a time, packed.
+HASH_BITS, HELD_HASHES = 11, 1 << 20
+#: Rows of packed hashes that are held before they are put together.
+HELD_ROWS = 4096
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, where each text starts and the end, start, end and hash of each word, its text)."""
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where each text starts and the end, start, end and hash of each word, its text, whether a line ends with it)."""
     data, ends = byte_view(texts)
-    inside = np.concatenate([~SPACE[data], [False]])
-    before = np.concatenate([[False], inside[:-1]])
+    word, word_end = word_places(data, ends)
+    doc_of_word = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(word, ends)))
+    return data, ends, word, word_end, run_hashes(data, word, word_end), doc_of_word, line_ends(data, word, word_end, doc_of_word)
+
+
+def word_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the bytes of texts, of which each starts at one of ``ends``."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = (data != 32) & (data - np.uint8(9) > 4)
+    before = np.zeros(len(data) + 1, bool)
+    before[1:] = inside[:-1]
     before[ends] = False  # a text begins
     word = np.flatnonzero(inside & ~before)
-    after = np.concatenate([inside[1:], [False]])
+    after = np.zeros(len(data) + 1, bool)
+    after[:-1] = inside[1:]
     after[ends[1:] - 1] = False
-    word_end = np.flatnonzero(inside & ~after) + 1
-    return data, ends, word, word_end, run_hashes(data, word, word_end), np.searchsorted(ends, word, "right") - 1
+    return word, np.flatnonzero(inside & ~after) + 1
 
 
-def line_ends(found: tuple) -> np.ndarray:
+def line_ends(data: np.ndarray, word: np.ndarray, word_end: np.ndarray, doc_of_word: np.ndarray) -> np.ndarray:
     """Whether a line ends with each word."""
-    data, _, word, word_end, _, doc_of_word = found
+    if not len(word):
+        return np.zeros(0, bool)
     fold = SENTENCE[data[word_end - 1]]
     fold[np.searchsorted(word, np.flatnonzero(data == 10)) - 1] = True  # the word before the end of a line; before a text's first word, that is a word that ends a text anyway
     fold[np.append(doc_of_word[1:] != doc_of_word[:-1], True)] = True
@@ -89,11 +103,10 @@ def chunks(found: tuple) -> dict[str, np.ndarray]:
     """The chunks of texts that :func:`split` took apart: doc, start and end byte, lines, words and hash.
 
     A text's chunks make it up, but a text without words has none."""
-    data, ends, word, word_end, word_hash, doc_of_word = found
+    data, ends, word, word_end, word_hash, doc_of_word, fold = found
     if not len(word):
         none = np.zeros(0, np.int64)
         return {"doc": none, "start": none, "end": none, "lines": none, "words": none, "hash": none.view(np.uint64)}
-    fold = line_ends(found)
     fresh = np.concatenate([[True], doc_of_word[1:] != doc_of_word[:-1]])
     begins = np.flatnonzero(np.concatenate([[True], fold[:-1]]) | fresh)
     doc, first = doc_of_word[begins], fresh[begins]
@@ -163,7 +176,7 @@ def line_seeds(found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not len(hashes):
         return none, none.view(np.uint64), none
-    stops = np.flatnonzero(line_ends(found)) + 1
+    stops = np.flatnonzero(found[6]) + 1
     begins = np.concatenate([[0], stops[:-1]])
     last = np.maximum(np.arange(len(begins)) + 1, np.searchsorted(stops, begins + MIN_WORDS))
     begins, last = begins[last < len(stops)], last[last < len(stops)]
@@ -185,7 +198,7 @@ def all_seeds(found: tuple, passages: bool, lines: bool) -> tuple[np.ndarray, np
 def rows_of(part: pa.RecordBatch, of: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of PLACES for the rows ``of`` of a batch, with nulls for columns that are not given."""
     take = pa.array(of, pa.int64())
-    types = {"a": pa.int32(), "b": pa.int32(), "lines": pa.int32(), "words": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "seeds": pa.list_(SEED_TYPE)}
+    types = {"a": pa.int32(), "b": pa.int32(), "lines": pa.int32(), "words": pa.int32(), "again": pa.bool_(), "content": pa.binary(), "digest": pa.binary(), "seeds": pa.binary()}
     made = {n: columns[n].cast(t) if n in columns else pa.nulls(len(take), t) for n, t in types.items()}
     return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("key").take(take), *made.values()], ["id", "key", *made])
 
@@ -195,16 +208,17 @@ def chunk_rows(part: pa.RecordBatch, found: tuple, known: Callable) -> pa.Record
     c = chunks(found)
     at = np.flatnonzero(known(c["hash"]))
     doc, raw = c["doc"][at], found[0].tobytes() if len(at) else b""
-    contents, again, seen, of = [], [], set(), -1
+    contents, digests, again, seen, of = [], [], [], set(), -1
     for d, s, e in zip(doc.tolist(), c["start"][at].tolist(), c["end"][at].tolist(), strict=True):
         if d != of:
             seen, of = set(), d
         contents.append(raw[s:e].rstrip(b" \n"))
         again.append(contents[-1] in seen)
         seen.add(contents[-1])
+        digests.append(sha256(contents[-1]).digest())
     base = found[1][doc]
     numbers = {"a": c["start"][at] - base, "b": c["end"][at] - base, "lines": c["lines"][at], "words": c["words"][at]}
-    return rows_of(part, doc, **{n: pa.array(x) for n, x in numbers.items()}, again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()))
+    return rows_of(part, doc, **{n: pa.array(x) for n, x in numbers.items()}, again=pa.array(again, pa.bool_()), content=pa.array(contents, pa.binary()), digest=pa.array(digests, pa.binary()))
 
 
 @dataclass
@@ -227,14 +241,15 @@ class Stretches:
 
 def stretches(found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Stretches | None:
     """The seeds of these kinds (passages, lines) whose hashes are ``known``, if there are any."""
-    _, ends, word, word_end, _, doc_of_word = found
+    _, ends, word, word_end, _, doc_of_word, _ = found
     at, h, n = all_seeds(found, *kinds)
     take = known(h)
     at, h, n = at[take], h[take], n[take]
     if not len(at):
         return None
     doc = doc_of_word[at]
-    low, high = np.searchsorted(doc_of_word, doc), np.searchsorted(doc_of_word, doc, "right")
+    first = np.searchsorted(word, ends)
+    low, high = first[doc], first[doc + 1]
     fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
     far = np.concatenate([[True], at[1:] - at[:-1] > 2 * AROUND])
     begins = np.flatnonzero(fresh | far | (h % np.uint64(STRETCH_EVERY) == 0))
@@ -253,13 +268,60 @@ def stretches(found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Stretc
     return Stretches(h, doc, number, s, at - from_word[number], a, b, n, begins, word[from_word], to_byte)
 
 
+def twice_at_most(hashes: list[np.ndarray]) -> np.ndarray:
+    """The hashes in order, each once or, if it occurs again, twice."""
+    h = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    return h[np.concatenate([np.ones(min(len(h), 2), bool), h[2:] != h[:-2]])]
+
+
+def dealt_hashes(hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each beginning of HASH_BITS bits: that, and the hashes with it, packed."""
+    h = twice_at_most(hashes)
+    ends = np.append(np.searchsorted(h, np.arange(1 << HASH_BITS, dtype=np.uint64) << np.uint64(64 - HASH_BITS)), len(h))
+    part = np.flatnonzero(np.diff(ends))
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), packed_rows(h, np.append(ends[part], len(h)))], ["part", "h"])
+
+
+def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes that occur more than once, of rows of :func:`dealt_hashes` in order of their beginnings."""
+    held, of = [], None
+
+    def again() -> pa.RecordBatch:
+        h = twice_at_most(held)
+        return pa.RecordBatch.from_arrays([pa.array(h[1:][h[1:] == h[:-1]].view(np.int64))], ["h"])
+
+    for batch in batches:
+        for part, raw in zip(batch.column("part").to_pylist(), batch.column("h"), strict=True):
+            if part != of or len(held) >= HELD_ROWS:
+                if part != of:
+                    yield again()
+                    held = []
+                else:
+                    held = [twice_at_most(held)]
+                of = part
+            held.append(np.frombuffer(raw.as_buffer(), np.uint64))
+    yield again()
+
+
+def packed_rows(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between neighbouring ``ends``, a row each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, seed) of all seeds in a column of packed ones."""
+    each = np.asarray(pc.binary_length(column), np.int64) // SEED.itemsize
+    return np.repeat(np.arange(len(each)), each), np.frombuffer(b"".join(column.to_pylist()), SEED)
+
+
 def seed_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
     """A row for each text that has such seeds, with them."""
     if x := stretches(found, known, kinds):
-        fields = [x.h.view(np.int64), x.s, x.w, x.a, x.b, x.n]
-        struct = pa.StructArray.from_arrays([pa.array(v).cast(t.type) for v, t in zip(fields, SEED_TYPE, strict=True)], fields=list(SEED_TYPE))
+        packed = np.empty(len(x.h), SEED)
+        for name, values in zip(SEED.names, (x.h.view(np.int64), x.s, x.w, x.a, x.b, x.n), strict=True):
+            packed[name] = values
         of = np.flatnonzero(np.concatenate([[True], x.doc[1:] != x.doc[:-1]]))
-        yield rows_of(part, x.doc[of], seeds=pa.ListArray.from_arrays(pa.array(np.append(of, len(x.h)), pa.int32()), struct))
+        yield rows_of(part, x.doc[of], seeds=packed_rows(packed, np.append(of, len(packed))))
 
 
 #: A stretch among all, as one hash: its text's key with its number over the first bits. In SQL and numpy.
@@ -282,43 +344,47 @@ def stretch_rows(part: pa.RecordBatch, found: tuple, known: Callable, kinds: tup
             yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "s", "a", "content"])
 
 
-def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], least: int = PASSAGE) -> list[tuple[int, int]]:
-    """Bytes of ``own`` that agree with ``other`` around places, as words in each; the space behind goes with them.
+def alike(mine: list[bytes], theirs: list[bytes], i: int, j: int) -> int:
+    """How many words agree from word i of one and j of the other on; whole runs are compared at once."""
+    n, step, most = 0, 64, min(len(mine) - i, len(theirs) - j)
+    while n < most and mine[i + n : i + n + step] == theirs[j + n : j + n + step]:
+        n += step
+    while n < most and step > 1:
+        step //= 2
+        if mine[i + n : i + n + step] == theirs[j + n : j + n + step]:
+            n += step
+    return min(n, most)
+
+
+def agreeing(own: bytes, other: bytes, places: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray, least: int = PASSAGE) -> list[tuple[int, int]]:
+    """Bytes of ``own``, whose words have these ``starts`` and ``ends``, that agree with ``other`` around places, as words in each; the space behind goes with them.
 
     A place is the first word in each, and the number of words of a finest chunk of lines, which with
     the lines after it that agree is enough, or 0: then runs of ``least`` words or more are."""
-    mine, theirs, out, done, ended, spans = own.split(), other.split(), [], {}, {}, []
+    mine, theirs, out, done, ended, back = own.split(), other.split(), [], {}, {}, []
 
     def ends_line(k: int) -> bool:
-        return own[spans[k][1] - 1] in b".!?" or b"\n" in own[spans[k][1] : spans[k + 1][0] if k + 1 < len(spans) else len(own)]
+        return own[ends[k] - 1] in b".!?" or b"\n" in own[ends[k] : starts[k + 1] if k + 1 < len(starts) else len(own)]
 
     for i, j, n in sorted(places):
         if n:
             if i + n <= ended.get(i - j, 0) or mine[i : i + n] != theirs[j : j + n]:
                 continue
-            b, d, whole = i + n, j + n, i + n
-            while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
-                b, d = b + 1, d + 1
+            whole = i + n
+            b = whole + alike(mine, theirs, whole, j + n)
             if b > whole:
-                spans = spans or [m.span() for m in WORD.finditer(own)]
                 whole = next((x for x in range(b, whole, -1) if ends_line(x - 1)), whole)
             ended[i - j] = whole
             out.append((i, whole))
             continue
         if i < done.get(i - j, 0):
             continue
-        a, b, c, d = i, i, j, j
-        while a and c and mine[a - 1] == theirs[c - 1]:
-            a, c = a - 1, c - 1
-        while b < len(mine) and d < len(theirs) and mine[b] == theirs[d]:
-            b, d = b + 1, d + 1
+        back = back or [mine[::-1], theirs[::-1]]
+        a, b = i - alike(*back, len(mine) - i, len(theirs) - j), i + alike(mine, theirs, i, j)
         done[i - j] = b
         if b - a >= least:
             out.append((a, b))
-    if not out:
-        return []
-    spans = spans or [m.span() for m in WORD.finditer(own)]
-    return [(spans[a][0], spans[b][0] if b < len(spans) else spans[-1][1]) for a, b in out]
+    return [(int(starts[a]), int(starts[b] if b < len(starts) else ends[-1])) for a, b in out]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -339,27 +405,129 @@ def repeated_chunks(places: DataFrame, kind: str, min_words: int) -> DataFrame:
     equal = rows.groupBy("digest", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     equal = equal.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents")).where("contents = 1")
     equal = materialize(equal.select("digest", "first", "n"), "repeated-chunks")
-    found = lookup(rows.select("id", "key", "a", "b", "lines", "words", "again", "digest"), equal, "digest", "n")
+    found = lookup(rows.select("id", "key", "a", "b", "lines", "words", "again", "digest"), equal, "digest", "n", hashed=True)
     found = found.where(F.col("n").isNotNull() & (F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))))
     found = found.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b", "lines", "words"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for chunks_there in batch.column("found").to_pylist():
-                spans: list[list[int]] = []
-                for c in chunks_there:  # neighbours count together
-                    if spans and spans[-1][1] == c["a"]:
-                        spans[-1][1:] = c["b"], spans[-1][2] + c["lines"], spans[-1][3] + c["words"]
-                    else:
-                        spans.append([c["a"], c["b"], c["lines"], c["words"]])
-                out.append([{"a": a, "b": b} for a, b, lines, words in spans if lines >= MIN_LINES and words >= min_words])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out, SPANS)], ["id", "key", "gone"])
+            of, (a, b, lines, words) = list_fields(batch.column("found"), "a", "b", "lines", "words")
+            if not len(of):
+                continue
+            # neighbours count together
+            begins = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (a[1:] != b[:-1])]))
+            keep = (np.add.reduceat(lines, begins) >= MIN_LINES) & (np.add.reduceat(words, begins) >= min_words)
+            a, b, of = a[begins][keep], b[np.append(begins[1:], len(b)) - 1][keep], of[begins][keep]
+            spans = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(batch)))])
+            gone = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), gone], ["id", "key", "gone"])
 
     return found.mapInArrow(run, f"id {kind}, key bigint, gone array<struct<a:int,b:int>>").where("size(gone) > 0")
 
 
-SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+def list_fields(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct in a column of lists, null counting as empty, and the fields of them all."""
+    each = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(each)), each), [np.asarray(flat.field(n), np.int64) for n in names]
+
+
+#: Seeds of one batch of rows, and those that a task puts in order at once.
+HELD_SEEDS, SORTED_SEEDS = 1 << 16, 1 << 18
+#: Types of ids that Arrow orders as Spark does.
+ORDERED = ("bigint", "int", "smallint", "tinyint", "string")
+
+
+@dataclass
+class Places:
+    """The first place of each hash among some, as (hash, key, stretch, word, how often the hash occurs), and the place's id; in order of the hash."""
+
+    x: np.ndarray
+    ids: pa.Array
+
+    PLACE = np.dtype([("h", "<i8"), ("key", "<i8"), ("s", "<i4"), ("w", "<i4"), ("n", "<i8")])
+
+    @classmethod
+    def of(cls, many: list[Places]) -> Places:
+        x, ids = np.concatenate([p.x for p in many]), pa.concat_arrays([p.ids for p in many])
+        rank = pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+        order = np.lexsort((x["w"], x["s"], x["key"], rank, x["h"].view(np.uint64)))
+        begins = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x["h"][order[1:]] != x["h"][order[:-1]]]))
+        first = x[order[begins]]
+        first["n"] = np.add.reduceat(x["n"][order], begins) if len(x) else 0
+        return cls(first, ids.take(pa.array(order[begins])))
+
+
+def first_seeds(places: DataFrame, kind: str) -> DataFrame:
+    """(h, id, key, s, w, weight): the first place of each seed that occurs more than once, and how often it does.
+
+    First is the smallest id, null last, then the place."""
+    rows = places.where("seeds is not null").select("id", "key", "seeds")
+    if kind not in ORDERED:
+        place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "s", "w")
+        return every_seed(rows, kind).groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("weight")).where("weight > 1").select("h", "f.id", "f.key", "f.s", "f.w", "weight")
+
+    def dealt(held: list[Places]) -> pa.RecordBatch:
+        p = Places.of(held)
+        ends = np.append(np.searchsorted(p.x["h"].view(np.uint64), np.arange(1 << HASH_BITS, dtype=np.uint64) << np.uint64(64 - HASH_BITS)), len(p.x))
+        part = np.flatnonzero(np.diff(ends))
+        ends = np.append(ends[part], len(p.x))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), packed_rows(p.x, ends), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), p.ids)], ["part", "x", "ids"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            of, seed = unpacked(batch.column("seeds"))
+            for i in range(0, len(of), HELD_SEEDS):
+                row, some = of[i : i + HELD_SEEDS], seed[i : i + HELD_SEEDS]
+                x = np.ones(len(row), Places.PLACE)
+                x["key"] = np.asarray(batch.column("key"))[row]
+                for name in ("h", "s", "w"):
+                    x[name] = some[name]
+                held.append(Places(x, batch.column("id").take(pa.array(row))))
+                n += len(row)
+                if n >= SORTED_SEEDS:
+                    yield dealt(held)
+                    held, n = [], 0
+        if held:
+            yield dealt(held)
+
+    def again(held: list[Places]) -> pa.RecordBatch:
+        p = Places.of(held)
+        some = np.flatnonzero(p.x["n"] > 1)
+        x = p.x[some]
+        return pa.RecordBatch.from_arrays([pa.array(x["h"].copy()), p.ids.take(pa.array(some)), *(pa.array(x[n].copy()) for n in ("key", "s", "w", "n"))], ["h", "id", "key", "s", "w", "weight"])
+
+    def all_of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            for part, raw, ids in zip(batch.column("part").to_pylist(), batch.column("x"), batch.column("ids"), strict=True):
+                if part != of and held:
+                    yield again(held)
+                    held = []
+                elif len(held) >= HELD_ROWS:
+                    held = [Places.of(held)]
+                of = part
+                held.append(Places(np.frombuffer(raw.as_buffer(), Places.PLACE), ids.values))
+        if held:
+            yield again(held)
+
+    rows = rows.mapInArrow(own, f"part int, x binary, ids array<{kind}>").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(all_of_part, f"h bigint, id {kind}, key bigint, s int, w int, weight bigint")
+
+
+def every_seed(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, key, h, s, w) of all seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, x = unpacked(batch.column("seeds"))
+            for i in range(0, len(of), HELD_SEEDS):
+                take, some = pa.array(of[i : i + HELD_SEEDS], pa.int64()), x[i : i + HELD_SEEDS]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *(pa.array(some[n].copy()) for n in ("h", "s", "w"))], ["id", "key", "h", "s", "w"])
+
+    return rows.mapInArrow(run, f"id {kind}, key bigint, h bigint, s int, w int")
 
 
 def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
@@ -367,19 +535,14 @@ def open_seeds(places: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, out = [], []
-            for i in range(len(batch)):
-                spans = merged([(x["a"], x["b"]) for x in batch.column("gone")[i].as_py() or ()])
-                starts = np.array([a for a, _ in spans], np.int64)
-                stops = np.array([0, *(b for _, b in spans)], np.int64)  # of the last span that begins before
-                flat = batch.column("seeds")[i].values
-                a, b = (np.asarray(flat.field(n), np.int64) for n in ("a", "b"))
-                left = np.flatnonzero(stops[np.searchsorted(starts, a, "right")] < b)
-                of.append(np.full(len(left), i))
-                out.append([np.asarray(flat.field(n))[left] for n in ("s", "w", "h", "n")])
-            take = pa.array(np.concatenate(of), pa.int64()) if of else pa.array([], pa.int64())
-            made = [pa.array(np.concatenate([x[k] for x in out]), t) if out else pa.array([], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *made], ["id", "key", "s", "w", "h", "n"])
+            of, x = unpacked(batch.column("seeds"))
+            row, (start, stop) = list_fields(batch.column("gone"), "a", "b")
+            # the spans of a text are in order and apart; those of all texts are, as texts go into one line
+            start, stop = (row << 32) + start, np.concatenate([[-1], (row << 32) + stop])
+            left = np.flatnonzero(stop[np.searchsorted(start, (of << 32) + x["a"], "right")] < (of << 32) + x["b"])  # the last span that begins before ends before
+            for some in (left[i : i + HELD_SEEDS] for i in range(0, len(left), HELD_SEEDS)):
+                take = pa.array(of[some], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("key").take(take), *(pa.array(x[n][some]) for n in ("s", "w", "h", "n"))], ["id", "key", "s", "w", "h", "n"])
 
     rows = places.where("seeds is not null").select("id", "key", "seeds")
     gone = gone.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "gone")
@@ -391,12 +554,10 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
     """(id, key, a, b) of the passages that agree with those around the first occurrence of a seed.
 
     First is the smallest id, null last, then the place. Rows of one id but unlike texts are not compared."""
-    every = places.where("seeds is not null").select("id", "key", F.explode("seeds").alias("x")).select("id", "key", "x.h", "x.s", "x.w")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "s", "w")
-    first = every.groupBy("h").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("weight")).where("weight > 1")
-    first = materialize(first.select("h", "weight", F.struct("f.id", "f.key", "f.s").alias("f"), F.col("f.w").alias("f_w")), "first-seeds")
+    first = first_seeds(places, kind)
+    first = materialize(first.select("h", "weight", F.struct("id", "key", "s").alias("f"), F.col("w").alias("f_w")), "first-seeds")
     some = materialize(open_seeds(places, gone, kind), "open-seeds")
-    pairs = lookup(some, first, "h", "weight").where("weight is not null")
+    pairs = lookup(some, first, "h", "weight", hashed=True).where("weight is not null")
     same_row = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))
     pairs = pairs.where(F.when(same_row, (F.col("s") != F.col("f.s")) | (F.col("w") != F.col("f_w"))).otherwise(~F.col("id").eqNullSafe(F.col("f.id"))))
     # the places in one stretch; its words are read only now, from the texts that have some such stretch
@@ -421,11 +582,17 @@ def repeated_passages(rows: DataFrame, places: DataFrame, gone: DataFrame, kind:
     both = both.join(own, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("s") == F.col("s_")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some.slice(i, COMPARED) for some in batches for i in range(0, len(some), COMPARED)):
             of, spans = [], []
-            columns = (batch.column(c).to_pylist() for c in ("a", "content", "f_content", "at"))
-            for i, (a, mine, theirs, at) in enumerate(zip(*columns, strict=True)):
-                for x, y in agreeing(mine, theirs, [(p["w"], p["f_w"], p["n"]) for p in at]):
+            own, other, first = (batch.column(c).to_pylist() for c in ("content", "f_content", "a"))
+            base = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            word, word_end = word_places(np.frombuffer(b"".join(own), np.uint8), base)
+            words = np.searchsorted(word, base).tolist()
+            row, fields = list_fields(batch.column("at"), "w", "f_w", "n")
+            at, ends = list(zip(*(x.tolist() for x in fields), strict=True)), np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+            for i, a in enumerate(first):
+                mine = slice(words[i], words[i + 1])
+                for x, y in agreeing(own[i], other[i], at[ends[i] : ends[i + 1]], word[mine] - base[i], word_end[mine] - base[i]):
                     of.append(i)
                     spans.append((a + x, a + y))
             take = pa.array(of, pa.int64())
@@ -450,13 +617,18 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 found = split(part.column("text"))
-                h = [chunks(found)["hash"], all_seeds(found, *kinds)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
-
-    met = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+                more = [chunks(found)["hash"], *(seeds(found)[1:] if passages else ()), *(line_seeds(found)[1:2] if lines else ())]
+                held, n = held + more, n + sum(map(len, more))
+                if n >= HELD_HASHES:
+                    yield dealt_hashes(held)
+                    held, n = [], 0
+        yield dealt_hashes(held)
+
+    met = rows.select("text").mapInArrow(hashes, "part int, h binary").repartition("part").sortWithinPartitions("part").mapInArrow(met_again, "h bigint")
     sent = docs.sparkSession.sparkContext.broadcast(bit_words(materialize(met, "repeated-hashes"), bits))
 
     def known(h: np.ndarray) -> np.ndarray:
@@ -471,7 +643,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield from seed_rows(part, found, known, kinds)
 
     places = rows.mapInArrow(found_places, ", ".join(f"{n} {t or kind}" for n, t in PLACES.items()))
-    places = materialize(places.withColumn("digest", F.unhex(F.sha2("content", 256))), "chunk-places")
+    places = materialize(places, "chunk-places")
     gone = materialize(repeated_chunks(places, kind, min_words), "gone-chunks")
     spans = gone.select("id", "key", F.explode("gone").alias("x")).select("id", "key", "x.a", "x.b")
     spans = spans.unionByName(repeated_passages(rows, places, gone, kind, known, kinds)) if any(kinds) else spans

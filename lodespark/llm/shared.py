@@ -31,20 +31,22 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hashed: bool = False) -> DataFrame:
     """Left join on ``key`` that stays even when one key holds a third of ``left``.
 
     ``right`` has each key once, ``weight`` being the number of rows of ``left``
     with it. Keys above 1/HOT_SHARE of the weight are fewer than HOT_SHARE by
     arithmetic, so that part is broadcast; all other keys are shuffled. Both
     inputs should be tables or cheap scans, as they are read twice. Rows with a
-    null key come back unmatched."""
+    null key come back unmatched. ``hashed``: a partition of ``right`` is held as a hash map,
+    so that neither side is sorted; its rows must be small."""
     total = right.agg(F.sum(weight)).first()[0] or 0
     cut = max(total // HOT_SHARE, 100)
     hot = F.broadcast(right.where(F.col(weight) > cut))
-    cold = right.where(F.col(weight) <= cut)
+    held = (lambda x: x.hint("shuffle_hash")) if hashed else (lambda x: x)
+    cold = held(right.where(F.col(weight) <= cut))
     if total <= cut or hot.isEmpty():
-        return left.join(right, key, "left")
+        return left.join(held(right), key, "left")
     first = left.join(hot, key)
     rest = left.join(hot.select(key), key, "left_anti").join(cold, key, "left")
     return first.unionByName(rest)

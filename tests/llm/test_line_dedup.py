@@ -287,3 +287,29 @@ def test_blocks_and_passages_equal_a_plain_loop(spark):
     out = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), passages=True, lines=True).collect()}
     want = dict(without_blocks(rows))
     assert {i: t.split() for i, t in out.items()} == {i: t.split() for i, t in want.items()}
+
+
+def test_hashes_are_dealt_out_packed_and_met_again():
+    rnd = np.random.default_rng(3)
+    held = [rnd.integers(0, 1 << 63, 4000, np.uint64) << np.uint64(1) for _ in range(5)]
+    held += [held[0][:700], held[1][:300], np.full(5000, 7, np.uint64)]
+    rows = [L.dealt_hashes(held[:4]), L.dealt_hashes(held[4:]), L.dealt_hashes([])]
+    assert all(len(r) <= 1 << L.HASH_BITS for r in rows) and sum(len(x.as_py()) for r in rows for x in r.column("h")) < 8 * sum(map(len, held[:-1])) + 100  # a hash goes twice at most
+    every = pa.Table.from_batches(rows).sort_by("part").to_batches(max_chunksize=100)
+    got = [h for b in L.met_again(iter(every)) for h in b.column("h").to_numpy().view(np.uint64).tolist()]
+    value, n = np.unique(np.concatenate(held), return_counts=True)
+    assert sorted(got) == value[n > 1].tolist()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_first_seeds_equal_an_aggregate(spark, monkeypatch, kind):
+    rnd = random.Random(14)
+    rows = []
+    for i in range(300):
+        x = np.zeros(rnd.randrange(1, 30), L.SEED)
+        x["h"], x["s"], x["w"] = [rnd.choice([-5, 9, rnd.randrange(-300, 300) << 54]) for _ in x], range(len(x)), [rnd.randrange(9) for _ in x]
+        rows.append((None if i % 50 == 0 else i // 2 if kind == "bigint" else f"{chr(rnd.choice([97, 233, 65536]))}{i // 2}", rnd.randrange(-9, 9), bytearray(x.tobytes())))
+    places = spark.createDataFrame(rows, f"id {kind}, key bigint, seeds binary").repartition(3)
+    got = sorted(map(tuple, L.first_seeds(places, kind).collect()), key=str)
+    monkeypatch.setattr(L, "ORDERED", ())
+    assert got == sorted(map(tuple, L.first_seeds(places, kind).collect()), key=str) and len(got) > 100
