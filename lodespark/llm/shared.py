@@ -52,7 +52,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hashed: boo
     return first.unionByName(rest)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Runs of rows of a batch with at most ``most`` bytes of text, or one row."""
     text = batch.column(column)
     text = pa.array(text.to_pylist(), pa.large_string()) if not (pa.types.is_string(text.type) or pa.types.is_large_string(text.type)) else text

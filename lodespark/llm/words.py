@@ -31,7 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-BLOCK = 1 << 22
+#: Bytes that prefix sums run over at once. Each worker keeps 16 bytes of powers for each of them, and sums that fit a core's cache are made faster.
+BLOCK = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +57,11 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
                 total += int(((part + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(BASE), at - base, 1 << 64)
             out[i], j = np.uint64(total % (1 << 64)), i + 1
         else:
-            part = data[base : int(end[j - 1])]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])])
+            part = data[base : int(end[j - 1])].astype(np.uint64)
+            part += np.uint64(1)
+            part *= up[: len(part)]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part, out=sums[1:])
             a, b = start[i:j] - base, end[i:j] - base
             out[i:j] = (sums[b] - sums[a]) * down[a]
         i = j
