@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark=None, generate=None, render=None)
         conf = settings()
         made = chunk.chunk(files.text_files(spark, args.file), conf.chunk_size, conf.chunk_overlap).select(F.col("chunk_id").alias("ord"), "text")
         asked = files.cases(spark, args.cases)
-        rows = evaluate.by_mode(made, asked.select("qid", F.col("question").alias("text")), asked.select("qid", "gold"), ("bm25", "dense", "hybrid")).collect()
+        rows = evaluate.by_mode(made, asked.select("qid", F.col("question").alias("text")), asked.select("qid", "gold"), ("bm25", "dense", "hybrid")).orderBy("mode").collect()
         print(evaluate.table([r.asDict() for r in rows], ["mode", "hit_1", "hit_3", "hit_5", "mrr"]))
         return 0
     engine = Engine(spark, path=args.index_dir)
